@@ -31,8 +31,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
         .groupBy("_b")
         .agg(sketch.alias("_top"))
     )
+    # A share this small in every block cannot add up to a hot key.
+    worth = F.col("count") > hot_rows // (2 * SKETCH_BLOCKS)
     return (
         blocks.select(F.inline("_top").alias("hash", "count"))
+        .filter(worth)
         .groupBy("hash")
         .agg(F.sum("count").alias("n"))
         .filter(F.col("n") > hot_rows)
@@ -49,15 +52,19 @@ def skew_join(
     *,
     salt_by: Sequence[str],
     hot_rows: int = HOT_ROWS,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join a side with possibly hot keys to a side unique on ``on``.
 
     Left rows of a hot key are dealt to about ``n / hot_rows`` salts by a hash of ``salt_by``;
     the one matching right row is repeated once per salt.  The repeats add up to at most
-    ``rows(left) / hot_rows`` rows.  Other keys keep one salt.
+    ``rows(left) / hot_rows`` rows.  Other keys keep one salt.  A caller that knows ``left_rows``
+    spares small inputs the look for hot keys.
     """
     if how not in ("inner", "left"):
         raise ValueError("inner or left")
+    if left_rows is not None and left_rows <= hot_rows:
+        return left.join(right, list(on), how)
     entry = F.struct("hash", F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("salts"))
     hot = (
         hot_keys(left, on, hot_rows)
@@ -98,6 +105,7 @@ def rank_in_groups(
     order: Sequence[str],
     out: str,
     hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in its group; no group is sorted by one task alone.
 
@@ -105,9 +113,10 @@ def rank_in_groups(
     (group, order) and written with a running row id; a group that spans partitions gets its
     offset from the row counts of the partitions before.  That offset table has at most one row
     per partition plus one per hot group.  ``order`` must be unique within the group, and
-    ``df`` cheap to read more than once.
+    ``df`` cheap to read more than once.  ``rows`` is the row count of ``df``, if known.
     """
-    hashes = [row["hash"] for row in hot_keys(df, group, hot_rows).collect()]
+    may_be_hot = rows is None or rows > hot_rows
+    hashes = [r["hash"] for r in hot_keys(df, group, hot_rows).collect()] if may_be_hot else []
     window = W.partitionBy(*group).orderBy(*order)
     if not hashes:
         return df.withColumn(out, (F.row_number().over(window) - 1).cast("long"))

@@ -121,7 +121,8 @@ def thread_paths(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             F.col("lost").alias("up_lost"),
         )
         joined = skew_join(
-            todo, ancestor, ["post_id", "anc"], "left", salt_by=["id"], hot_rows=hot_rows
+            todo, ancestor, ["post_id", "anc"], "left",
+            salt_by=["id"], hot_rows=hot_rows, left_rows=left,
         )
         lost = F.coalesce("up_lost", F.lit(True))
         state = materialise(
