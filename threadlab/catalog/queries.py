@@ -88,7 +88,8 @@ def reply_network_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def upsert_post_stats(spark: SparkSession, sf: str) -> DataFrame:
-    raw = threads.pending_posts(views.comments(spark, sf), views.done(spark, sf))
+    pending = threads.pending_posts(views.posts(spark, sf), views.done(spark, sf))
+    raw = threads.comments_of(views.comments(spark, sf), pending)
     stats = threads.reply_network_stats(threads.reply_edges(raw))
     updated = threads.upsert_post_stats(views.posts(spark, sf), stats)
     return updated.select("post_id", "subreddit", "nodes", "edges", "time")

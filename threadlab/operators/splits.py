@@ -144,7 +144,7 @@ def _quota(
         )
         sized = sized.withColumn("_problem", problem).withColumn(
             "_n_test",
-            F.when(F.col("_problem").isNotNull(), F.raise_error("_problem").cast("bigint")).otherwise(n_test),
+            F.when(F.col("_problem").isNotNull(), F.raise_error(F.col("_problem")).cast("bigint")).otherwise(n_test),
         )
     # Products of two row counts need more than 64 bits.
     product = F.col(n).cast(wide) * (total - n_test).cast(wide)

@@ -58,6 +58,12 @@ def pending_posts(posts: DataFrame, done: DataFrame) -> DataFrame:
     return posts.join(done.select("post_id").distinct(), "post_id", "left_anti")
 
 
+def comments_of(raw: DataFrame, posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Comments of the listed posts; a post with very many comments is spread over tasks."""
+    listed = posts.select("post_id").distinct()
+    return skew_join(raw, listed, ["post_id"], salt_by=["id"], hot_rows=hot_rows).select(*raw.columns)
+
+
 def _is_reply() -> Column:
     return F.col("parent_fullname").startswith(COMMENT_PREFIX)
 
@@ -246,15 +252,18 @@ def thread_documents(
     submissions: DataFrame,
     max_comments: int = 10_000,
     hot_rows: int = HOT_ROWS,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """One nested record per thread: submission, comments and reply network in breadth-first order.
 
     A thread of more than ``max_comments`` comments continues in further records
     (``part`` = 0, 1, ...), so no record and no task holds an unbounded thread.  ``submissions`` has
-    post_id, title, url, score, num_comments, author, created_epoch.
+    post_id, title, url, score, num_comments, author, created_epoch; ``edges`` may pass the
+    result of ``reply_edges`` if it is at hand.
     """
-    order = bfs_order(raw, hot_rows)
-    edges = reply_edges(raw, hot_rows).select(
+    order = materialise(bfs_order(raw, hot_rows), "order")
+    edges = reply_edges(raw, hot_rows) if edges is None else edges
+    edges = edges.select(
         "post_id", F.col("comment_id").alias("id"), "source", "target"
     )
     author = F.coalesce("author", F.lit(UNKNOWN_AUTHOR))

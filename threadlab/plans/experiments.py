@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
@@ -13,7 +14,13 @@ from pyspark.sql import functions as F
 
 from threadlab.functions.registry import DEFAULT_TOPICS
 from threadlab.operators import metrics, splits
-from threadlab.operators.labels import class_index, encode_labels, prepare_gold, topic_filter
+from threadlab.operators.labels import (
+    class_index,
+    encode_labels,
+    missing_topics,
+    prepare_gold,
+    topic_filter,
+)
 from threadlab.operators.training import (
     DEFAULT_MODELS,
     MODELS,
@@ -81,34 +88,43 @@ def _history_rows(trained, experiment: str, model_key: str, fold: int) -> list[t
     ]
 
 
-def prepare_folds(gold: DataFrame, cfg: ExperimentConfig) -> DataFrame:
-    """Written table of every row's hashed words, label id, experiment and fold.
+def prepare_folds(gold: DataFrame, cfg: ExperimentConfig) -> tuple[DataFrame, DataFrame]:
+    """Written table of every row's hashed words, label id, experiment, fold and validation runs.
 
-    Text is turned into term counts before anything is shuffled, and folds are drawn once for all
-    models.
+    Text is turned into term counts once.  Folds and validation rows of all runs are drawn on keys
+    alone and joined to the rows once, so that each run later selects its rows by a filter, without
+    a shuffle.  The second table has the split sizes per experiment and run.
     """
     cfg.check()
     clean = prepare_gold(gold, cfg.text, cfg.topic, cfg.label)
-    counted = term_frequencies(clean, cfg.text, cfg.train.max_length, cfg.train.n_features)
-    rows = splits.expand_experiments(
-        counted, cfg.topic, cfg.run_pooled, cfg.run_per_topic, cfg.topics
-    )
+    if cfg.run_per_topic:
+        for topic in missing_topics(clean, cfg.topics, cfg.topic):
+            warnings.warn(f"no rows for topic {topic!r}", stacklevel=3)
+    which = (cfg.topic, cfg.run_pooled, cfg.run_per_topic, cfg.topics)
     group = ["experiment_name"]
-    splits.require_min_class_count(
-        splits.expand_experiments(clean, cfg.topic, cfg.run_pooled, cfg.run_per_topic, cfg.topics),
-        cfg.n_splits, cfg.label, group,
+    keys = splits.expand_experiments(clean.select(cfg.id_col, cfg.topic, cfg.label), *which)
+    splits.require_min_class_count(keys, cfg.n_splits, cfg.label, group)
+    coded = encode_labels(keys, class_index(keys, cfg.label, group), cfg.label, group, [cfg.id_col])
+    folded = splits.stratified_kfold(coded, cfg.n_splits, cfg.seed, cfg.label, cfg.id_col, group)
+    roles = materialise(
+        splits.fold_roles(folded, cfg.n_splits, cfg.val_size, cfg.seed, cfg.label, cfg.id_col, group),
+        "roles",
     )
-    coded = encode_labels(rows, class_index(rows, cfg.label, group), cfg.label, group, [cfg.id_col])
-    folded = splits.stratified_kfold(
-        coded, cfg.n_splits, cfg.seed, cfg.label, cfg.id_col, group
+    sizes = splits.split_sizes(roles, [*group, "run"])
+    drawn = roles.groupBy(*group, cfg.id_col).agg(
+        F.first("label_id").alias("label_id"),
+        F.first("fold").alias("fold"),
+        F.collect_list(F.when(F.col("role") == "val", F.col("run"))).alias("val_runs"),
     )
-    return materialise(folded, "folds", ["experiment_name", "fold"])
+    counted = term_frequencies(clean, cfg.text, cfg.train.max_length, cfg.train.n_features)
+    rows = drawn.join(counted, cfg.id_col)
+    return materialise(rows, "folds", ["experiment_name", "fold"]), sizes
 
 
 def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
     """All experiments x models x folds; metrics of all of them in one grouped job at the end."""
     spark = gold.sparkSession
-    data = prepare_folds(gold, cfg)
+    data, sizes = prepare_folds(gold, cfg)
     class_rows = data.select("experiment_name", cfg.label, "label_id").distinct().collect()
     classes: dict[str, list[str]] = {}
     for name in sorted({r["experiment_name"] for r in class_rows}):
@@ -118,13 +134,11 @@ def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
     def run_fold(experiment: str, model_key: str, fold: int) -> tuple[DataFrame, list, list]:
         rows = data.filter(F.col("experiment_name") == experiment)
         test = rows.filter(F.col("fold") == fold)
-        drawn = splits.stratified_split(
-            rows.filter(F.col("fold") != fold), cfg.val_size, cfg.seed, cfg.label, cfg.id_col,
-            names=("train", "val"),
-        ).persist()
-        train, val = (drawn.filter(F.col("role") == r) for r in ("train", "val"))
+        rest, is_val = rows.filter(F.col("fold") != fold), F.array_contains("val_runs", fold)
+        train_x, val_x, test_x = weighted_features(rest.filter(~is_val), rest.filter(is_val), test)
+        # Every epoch reads these again; lost blocks are rebuilt from the written table.
+        train_x, val_x = train_x.persist(), val_x.persist()
         try:
-            train_x, val_x, test_x = weighted_features(train, val, test)
             names = classes[experiment]
             trained = MODELS[model_key](train_x, val_x, names, cfg.train, cfg.seed + fold)
             tagged = predict(trained.model, test_x, names, cfg.label).withColumns(
@@ -134,15 +148,13 @@ def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
                     "model_name": F.lit(cfg.models[model_key]),
                     "experiment_name": F.lit(experiment),
                 }
-            )
-            done, n_test, per_row = timed_count(tagged, lambda df: materialise(df, "predictions"))
-            n_train, n_val = train.count(), val.count()
+            ).drop("val_runs")
+            done, _, per_row = timed_count(tagged, lambda df: materialise(df, "predictions"))
         finally:
-            drawn.unpersist()
+            train_x.unpersist()
+            val_x.unpersist()
         keys = (experiment, model_key, cfg.models[model_key], fold)
-        facts = [("n_train", n_train), ("n_val", n_val), ("n_test", n_test),
-                 ("avg_inference_time_sec", per_row)]
-        lines = [(*keys, k, float(v)) for k, v in facts if v is not None]
+        lines = [] if per_row is None else [(*keys, "avg_inference_time_sec", per_row)]
         return done, lines, _history_rows(trained, experiment, model_key, fold)
 
     jobs = [(e, m, f) for e in classes for m in cfg.models for f in range(1, cfg.n_splits + 1)]
@@ -153,12 +165,21 @@ def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
     group = [*KEYS, "fold"]
     counts = metrics.confusion_counts(predictions, "gold_label", "predicted_label", group)
     report = metrics.classification_report(counts, group, "union")
-    facts = spark.createDataFrame(
+    timings = spark.createDataFrame(
         [line for r in results for line in r[1]],
         "experiment_name string, model_key string, model_name string, fold int, metric string, value double",
     )
+    # Both models of an experiment share its splits.
+    names = ("n_train", "n_val", "n_test")
+    size_cells = F.array(
+        *[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
+    )
+    size_rows = timings.select(*group).join(
+        sizes.withColumnRenamed("run", "fold"), ["experiment_name", "fold"]
+    ).select(*group, F.inline(size_cells))
+    scores = metrics.metric_rows(report, group)
     fold_metrics = materialise(
-        facts.unionByName(metrics.metric_rows(report, group)), "fold-metrics"
+        timings.unionByName(size_rows).unionByName(scores), "fold-metrics"
     )
     history = spark.createDataFrame([line for r in results for line in r[2]], HISTORY)
     return CVResult(predictions, fold_metrics, report, metrics.fold_summary(fold_metrics), history)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from threadlab.operators import threads
+from threadlab.session import materialise
 
 
 @dataclass
@@ -21,17 +22,16 @@ def process_threads(posts: DataFrame, raw: DataFrame, done: DataFrame | None = N
     """All pending posts in one job.
 
     ``posts`` needs post_id, title, url, score, num_comments, author, created_epoch, nodes, edges.
-    ``done`` lists the post_ids already processed; comments of other posts are left out before any
-    join.
+    ``done`` lists the post_ids already processed; only comments of the other posts are worked on.
     """
     pending = posts if done is None else threads.pending_posts(posts, done)
-    comments = raw if done is None else threads.pending_posts(raw, done)
-    edges = threads.reply_edges(comments)
+    comments = raw if done is None else threads.comments_of(raw, pending)
+    edges = materialise(threads.reply_edges(comments), "edges")
     stats = threads.reply_network_stats(edges)
     # A thread nobody answered in has an empty network, not an unknown one.
     stats = pending.select("post_id").join(stats, "post_id", "left").fillna(0, ["nodes", "edges"])
     return ThreadTables(
-        documents=threads.thread_documents(comments, pending),
+        documents=threads.thread_documents(comments, pending, edges=edges),
         edges=edges,
         stats=stats,
         posts=threads.upsert_post_stats(posts, stats),

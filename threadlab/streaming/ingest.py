@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlab.operators.skew import skew_join
 from threadlab.operators.threads import flatten_threads, pending_posts, thread_edges
 from threadlab.sources.schemas import THREADS
 
-TABLES = ("posts", "comments", "edges")
+# Records are heavy (thousands of comments each), so a thread of this many parts is spread.
+HOT_PARTS = 64
 
 
 def read_table(spark: SparkSession, output: str, table: str) -> DataFrame:
@@ -30,7 +32,10 @@ def ingest_threads(spark: SparkSession, landing: str, output: str, checkpoint: s
         new = keyed.dropDuplicates(["post_id", "part"])
         done = _done_before(here, output, batch_id)
         if done is not None:
-            new = pending_posts(new, done)
+            # The anti-join runs on bare post ids; records then meet the ids that are left.
+            ids = pending_posts(keyed.select("post_id").distinct(), done)
+            new = skew_join(new, ids, ["post_id"], salt_by=["part"], hot_rows=HOT_PARTS)
+        new = new.persist()
         tables = {
             "comments": flatten_threads(new),
             "edges": thread_edges(new),
@@ -39,6 +44,7 @@ def ingest_threads(spark: SparkSession, landing: str, output: str, checkpoint: s
         }
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
+        new.unpersist()
 
     query = (
         spark.readStream.schema(THREADS)
