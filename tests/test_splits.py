@@ -85,14 +85,20 @@ def test_split_refuses_tiny_classes(spark):
 
 
 def test_folds_are_disjoint_and_exhaustive(spark):
-    folded = splits.stratified_kfold(labelled(spark, SIZES), 5, 42)
-    roles = splits.fold_roles(folded, 5, 0.15, 42)
+    df = labelled(spark, SIZES)
+    runs = splits.stratified_runs(df, 5, 0.15, 42)
+    folded = splits.stratified_kfold(df, 5, 42)
+    assert rows(runs.select("id", "fold"), "id") == rows(folded.select("id", "fold"), "id")
+    roles = splits.fold_roles(runs, 5)
     n = sum(SIZES.values())
     for run in range(1, 6):
         part = roles.filter(F.col("run") == run).collect()
         assert len(part) == n and len({r["id"] for r in part}) == n
         assert all((r["role"] == "test") == (r["fold"] == run) for r in part)
         rest = [r for r in part if r["role"] != "test"]
+        # The closed form gives what a split of the other folds' rows gives.
+        split = splits.stratified_split(folded.filter(F.col("fold") != run), 0.15, 42, names=("train", "val"))
+        assert sorted((r["id"], r["role"]) for r in rest) == rows(split.select("id", "role"), "id")
         assert sum(r["role"] == "val" for r in rest) == math.ceil(0.15 * len(rest))
     tested = [r["id"] for r in roles.filter("role = 'test'").collect()]
     assert sorted(tested) == list(range(n))

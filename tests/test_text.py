@@ -13,11 +13,19 @@ def test_every_space_splits_and_strips(spark):
     assert len(SPACES) == 29
     data = [(i, f"{s}ab{s}c{s}{s}d{s}") for i, s in enumerate(SPACES)]
     df = spark.createDataFrame(data, "i int, t string")
-    got = df.select("t", text.word_count("t").alias("n"), text.strip("t").alias("s"), text.words("t").alias("w"))
+    got = df.select("t", text.word_count("t").alias("n"), text.strip("t").alias("s"), text.first_words("t", 9).alias("w"))
     for t, n, s, w in got.collect():
         assert (n, s, w) == (len(t.split()), t.strip(), t.split())
 
 
+def test_word_limits(spark):
+    data = ["", "  ", "a", " a b", "a b ", "a\u00a0b\x1cc", "\n a  b\tc d e "]
+    df = spark.createDataFrame([(x,) for x in data], "t string")
+    for n in range(0, 7):
+        for t, has, first in df.select("t", text.has_words("t", n), text.first_words("t", n)).collect():
+            assert has == (len(t.split()) >= n) and first == t.split()[:n]
+
+
 def test_normalize_label_order(spark):
     data = ["  Fact_Check\n", "fact check", "FACT-CHECK", "a fact_check b fact check", "Belief ", "fact_ check"]
     df = spark.createDataFrame([(x,) for x in data], "x string")

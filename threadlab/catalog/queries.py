@@ -445,9 +445,8 @@ def stratified_kfold(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fold_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes of the train, validation and test sides of every run, per class."""
-    rows = splits.stratified_kfold(_gold_keys(spark, sf), 5, 42)
-    roles = splits.fold_roles(rows, 5, 0.15, 42)
-    return splits.split_sizes(roles, ["run", "label"])
+    rows = splits.stratified_runs(_gold_keys(spark, sf), 5, 0.15, 42)
+    return splits.split_sizes(splits.fold_roles(rows, 5), ["run", "label"])
 
 
 @query

@@ -37,9 +37,18 @@ def word_count(value: Column | str) -> Column:
     return F.regexp_count(_c(value), F.lit(f"[^{WHITESPACE}]+"))
 
 
-def words(value: Column | str) -> Column:
-    """Lower-cased whitespace-separated words."""
-    return F.regexp_extract_all(F.lower(_c(value)), F.lit(f"[^{WHITESPACE}]+"), F.lit(0))
+def has_words(value: Column | str, least: int) -> Column:
+    """At least that many words; unlike a count, reads no further than the last one needed."""
+    if least <= 0:
+        return _c(value).isNotNull()
+    gap, word = f"[{WHITESPACE}]", f"[^{WHITESPACE}]"
+    return F.rlike(_c(value), F.lit(f"^{gap}*+(?:{word}++{gap}++){{{least - 1}}}{word}"))
+
+
+def first_words(value: Column | str, most: int) -> Column:
+    """The first ``most`` words in lower case; the split stops there."""
+    pieces = F.split(F.lower(_c(value)), f"[{WHITESPACE}]+", most + 2)
+    return F.slice(F.filter(pieces, lambda w: w != ""), 1, most)
 
 
 def letters(value: Column | str, shortest: int = 3) -> Column:
@@ -64,7 +73,7 @@ def is_valid_comment(value: Column | str, min_words: int = 3) -> Column:
     return (
         (body != "")
         & ~F.lower(body).isin(*PLACEHOLDERS)
-        & (word_count(body) >= F.lit(min_words))
+        & has_words(body, min_words)
     )
 
 

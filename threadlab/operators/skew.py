@@ -78,10 +78,14 @@ def skew_join(
 
 
 def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame | None:
-    """``broadcast(small)`` if a count proves it within ``max_rows``, else None."""
-    if small.limit(max_rows + 1).count() > max_rows:
+    """``small`` as a broadcast local table if it proves to have ``max_rows`` rows at most, else None.
+
+    The table is computed once: the rows that prove the bound are the ones broadcast.
+    """
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
         return None
-    return F.broadcast(small)
+    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
 
 
 def lookup_join(

@@ -218,7 +218,16 @@ def train_val_test_split(
     return ranked.select(*df.columns, role.alias("role"))
 
 
-def fold_roles(
+def _dealt(start: Column, end: Column, fold: Column, n_splits: int) -> Column:
+    """How many of the class-order positions in [start, end) were dealt to ``fold``."""
+
+    def below(position: Column) -> Column:
+        return F.floor((position - fold) / F.lit(n_splits))
+
+    return below(end) - below(start)
+
+
+def stratified_runs(
     df: DataFrame,
     n_splits: int = 5,
     val_size: float = 0.15,
@@ -228,18 +237,48 @@ def fold_roles(
     group: Sequence[str] = (),
     strict: bool = True,
 ) -> DataFrame:
-    """Each row once per run: test where its ``fold`` is the run's, else train or val.
+    """Add ``fold`` and ``val_runs``: the runs whose training side lends this row to validation.
 
-    ``df`` has ``fold``; the result has ``run`` and ``role``.  The validation rows of all runs are
-    drawn in one ranking, grouped by run.
+    In run r fold r is the test side and ``stratified_split`` of the other rows gives train and
+    validation.  Rows are dealt to folds in turn, so a row's rank among the rows outside fold r
+    follows from its class rank by arithmetic: one ranking of the rows serves every run.
     """
-    runs = df.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n_splits))))
-    test = runs.filter(F.col("fold") == F.col("run")).withColumn("role", F.lit("test"))
-    rest = stratified_split(
-        runs.filter(F.col("fold") != F.col("run")),
-        val_size, seed, label, id_col, [*group, "run"], ("train", "val"), strict,
+    runs = F.sequence(F.lit(1), F.lit(n_splits))
+
+    def plan(classes: DataFrame) -> DataFrame:
+        groups = _groups_of(classes)
+        earlier = W.partitionBy(*groups).orderBy("_label").rowsBetween(W.unboundedPreceding, -1)
+        placed = classes.withColumn("_offset", F.coalesce(F.sum("_class_n").over(earlier), F.lit(0)))
+        per_run = placed.withColumn("_run", F.explode(runs)).withColumn(
+            "_rest_n",
+            F.col("_class_n")
+            - _dealt(F.col("_offset"), F.col("_offset") + F.col("_class_n"), F.col("_run"), n_splits),
+        )
+        quotas = _quota(per_run, "_rest_n", val_size, "_train", [*groups, "_run"], strict)
+        by_run = F.array_sort(F.collect_list(F.struct("_run", "_train")))
+        return quotas.groupBy(*groups, "_label", "_class_n", "_offset").agg(by_run.alias("_quotas"))
+
+    ranked = _ranked(df, label, id_col, seed, group, plan)
+    offset, position = F.col("_offset"), F.col("_offset") + F.col("_rank")
+    fold = F.pmod(position, F.lit(n_splits)).cast("int") + 1
+
+    def lends(run: Column) -> Column:
+        rank = F.col("_rank") - _dealt(offset, position, run, n_splits)
+        return (run != fold) & (rank >= F.element_at("_quotas", run)["_train"])
+
+    return ranked.select(*df.columns, fold.alias("fold"), F.filter(runs, lends).alias("val_runs"))
+
+
+def fold_roles(df: DataFrame, n_splits: int = 5) -> DataFrame:
+    """Rows of ``stratified_runs`` once per run, with ``run`` and ``role`` train, val or test."""
+    run = F.col("run")
+    role = (
+        F.when(F.col("fold") == run, "test")
+        .when(F.array_contains("val_runs", run), "val")
+        .otherwise("train")
     )
-    return rest.unionByName(test)
+    runs = F.explode(F.sequence(F.lit(1), F.lit(n_splits)))
+    return df.withColumn("run", runs).withColumn("role", role)
 
 
 def split_sizes(roles: DataFrame, group: Sequence[str]) -> DataFrame:

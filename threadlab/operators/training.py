@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlab.functions.text import words
+from threadlab.functions.text import first_words
 from threadlab.operators import metrics
 from threadlab.operators.history import should_stop
 
@@ -42,12 +42,17 @@ class Trained:
     history: list[dict] = field(default_factory=list)
     best_epoch: int = 0
 
+    def validation(self) -> dict[str, float]:
+        """Validation metrics of the best epoch."""
+        line = next(h for h in self.history if h["epoch"] == self.best_epoch)
+        return {k.removeprefix("eval_"): v for k, v in line.items() if k.startswith("eval_")}
+
 
 def term_frequencies(
     df: DataFrame, text: str, max_length: int, n_features: int, out: str = "tf"
 ) -> DataFrame:
     """Hashed counts of the first ``max_length`` words; row-local, so computed once for all folds."""
-    tokens = df.withColumn("_tokens", F.slice(words(text), 1, max_length))
+    tokens = df.withColumn("_tokens", first_words(text, max_length))
     return HashingTF(numFeatures=n_features, inputCol="_tokens", outputCol=out).transform(tokens).drop("_tokens")
 
 
@@ -72,8 +77,10 @@ def predict(model: Model, df: DataFrame, classes: Sequence[str], label: str = "l
 
 
 def evaluate(predictions: DataFrame, classes: Sequence[str]) -> dict[str, float]:
-    """Headline and per-class metrics as a dict; the driver receives k rows."""
-    counts = metrics.confusion_counts(predictions, "gold_label", "predicted_label")
+    """Headline and per-class metrics as a dict; the driver receives the k*k counts."""
+    counted = metrics.confusion_counts(predictions, "gold_label", "predicted_label")
+    # One partition: the steps on these few rows then need no shuffle.
+    counts = predictions.sparkSession.createDataFrame(counted.collect(), counted.schema).coalesce(1)
     report = metrics.classification_report(counts, grid="declared", classes=classes)
     return {r["metric"]: r["value"] for r in metrics.metric_rows(report, []).collect()}
 

@@ -91,34 +91,33 @@ def _history_rows(trained, experiment: str, model_key: str, fold: int) -> list[t
 def prepare_folds(gold: DataFrame, cfg: ExperimentConfig) -> tuple[DataFrame, DataFrame]:
     """Written table of every row's hashed words, label id, experiment, fold and validation runs.
 
-    Text is turned into term counts once.  Folds and validation rows of all runs are drawn on keys
-    alone and joined to the rows once, so that each run later selects its rows by a filter, without
-    a shuffle.  The second table has the split sizes per experiment and run.
+    Text is turned into term counts once, and written.  Folds and the validation rows of all runs
+    come from one ranking, so that each run later selects its rows by a filter, without a shuffle.
+    The second table has the split sizes per experiment and run.
     """
     cfg.check()
-    clean = prepare_gold(gold, cfg.text, cfg.topic, cfg.label)
+    clean = materialise(
+        term_frequencies(
+            prepare_gold(gold, cfg.text, cfg.topic, cfg.label),
+            cfg.text, cfg.train.max_length, cfg.train.n_features,
+        ),
+        "counted",
+    )
     if cfg.run_per_topic:
         for topic in missing_topics(clean, cfg.topics, cfg.topic):
             warnings.warn(f"no rows for topic {topic!r}", stacklevel=3)
-    which = (cfg.topic, cfg.run_pooled, cfg.run_per_topic, cfg.topics)
-    group = ["experiment_name"]
-    keys = splits.expand_experiments(clean.select(cfg.id_col, cfg.topic, cfg.label), *which)
-    splits.require_min_class_count(keys, cfg.n_splits, cfg.label, group)
-    coded = encode_labels(keys, class_index(keys, cfg.label, group), cfg.label, group, [cfg.id_col])
-    folded = splits.stratified_kfold(coded, cfg.n_splits, cfg.seed, cfg.label, cfg.id_col, group)
-    roles = materialise(
-        splits.fold_roles(folded, cfg.n_splits, cfg.val_size, cfg.seed, cfg.label, cfg.id_col, group),
-        "roles",
+    rows = splits.expand_experiments(
+        clean, cfg.topic, cfg.run_pooled, cfg.run_per_topic, cfg.topics
     )
-    sizes = splits.split_sizes(roles, [*group, "run"])
-    drawn = roles.groupBy(*group, cfg.id_col).agg(
-        F.first("label_id").alias("label_id"),
-        F.first("fold").alias("fold"),
-        F.collect_list(F.when(F.col("role") == "val", F.col("run"))).alias("val_runs"),
+    group = ["experiment_name"]
+    splits.require_min_class_count(rows, cfg.n_splits, cfg.label, group)
+    coded = encode_labels(rows, class_index(rows, cfg.label, group), cfg.label, group, [cfg.id_col])
+    drawn = splits.stratified_runs(
+        coded, cfg.n_splits, cfg.val_size, cfg.seed, cfg.label, cfg.id_col, group
     )
-    counted = term_frequencies(clean, cfg.text, cfg.train.max_length, cfg.train.n_features)
-    rows = drawn.join(counted, cfg.id_col)
-    return materialise(rows, "folds", ["experiment_name", "fold"]), sizes
+    data = materialise(drawn, "folds", ["experiment_name", "fold"])
+    keys = data.select("experiment_name", "fold", "val_runs")
+    return data, splits.split_sizes(splits.fold_roles(keys, cfg.n_splits), [*group, "run"])
 
 
 def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
@@ -204,8 +203,10 @@ def run_topic(
     """One topic: 70/15/15 split, one model, validation and test metrics, matrices, error table."""
     spark = gold.sparkSession
     rows = topic_filter(gold, topic, cfg.topic).dropna(subset=[cfg.text, cfg.label])
-    counted = term_frequencies(rows, cfg.text, cfg.train.max_length, cfg.train.n_features)
-    coded = encode_labels(counted, class_index(rows, cfg.label), cfg.label, salt_by=[cfg.id_col])
+    counted = materialise(
+        term_frequencies(rows, cfg.text, cfg.train.max_length, cfg.train.n_features), "counted"
+    )
+    coded = encode_labels(counted, class_index(counted, cfg.label), cfg.label, salt_by=[cfg.id_col])
     drawn = materialise(
         splits.train_val_test_split(coded, 0.3, 0.5, cfg.seed, cfg.label, cfg.id_col), "split"
     )
@@ -213,9 +214,13 @@ def run_topic(
     names = [r[cfg.label] for r in found]
     train, val, test = (drawn.filter(F.col("role") == r) for r in ("train", "val", "test"))
     train_x, val_x, test_x = weighted_features(train, val, test)
-    trained = MODELS[model_key](train_x, val_x, names, cfg.train, cfg.seed)
-
-    predictions = materialise(predict(trained.model, test_x, names, cfg.label), "predictions")
+    train_x, val_x = train_x.persist(), val_x.persist()
+    try:
+        trained = MODELS[model_key](train_x, val_x, names, cfg.train, cfg.seed)
+        predictions = materialise(predict(trained.model, test_x, names, cfg.label), "predictions")
+    finally:
+        train_x.unpersist()
+        val_x.unpersist()
     counts = metrics.confusion_counts(predictions, "gold_label", "predicted_label")
     errors = metrics.error_analysis(predictions, [cfg.id_col], "gold_label", "predicted_label").select(
         cfg.id_col,
@@ -228,7 +233,7 @@ def run_topic(
     declared = {"grid": "declared", "classes": names}
     return WorkflowResult(
         history=spark.createDataFrame(_history_rows(trained, f"topic_{topic}", model_key, 0), HISTORY),
-        validation=evaluate(predict(trained.model, val_x, names, cfg.label), names),
+        validation=trained.validation(),
         test=evaluate(predictions, names),
         predictions=predictions,
         report=metrics.classification_report(counts, **declared),
