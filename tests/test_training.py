@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from threadlab.operators import history, metrics
 from threadlab.operators.training import TrainConfig, term_frequencies
-from threadlab.plans.experiments import ExperimentConfig, run_config, run_cv, run_topic
+from threadlab.plans.experiments import ExperimentConfig, run_config, run_cv, run_experiments, run_topic
 from threadlab.sources import writers
 
 CLASSES = ["belief", "fact-check", "other"]
@@ -30,7 +30,7 @@ def test_truncation(spark):
 
 def test_cross_validation(spark, gold, tmp_path):
     cfg = ExperimentConfig(topics=["en"], n_splits=2, train=TINY, models={"softmax": "s", "logreg": "l"})
-    result = run_cv(gold, cfg)
+    result = run_experiments(gold, cfg, str(tmp_path / "cv"))
     folds = result.fold_metrics
     runs = folds.select("experiment_name", "model_key", "fold").distinct()
     assert runs.count() == 2 * 2 * 2
@@ -49,12 +49,13 @@ def test_cross_validation(spark, gold, tmp_path):
     f1 = result.summary.filter("metric = 'macro_f1' AND model_key = 'logreg'").collect()
     assert all(r["mean"] > 0.8 for r in f1)
     assert result.summary.filter("metric = 'avg_inference_time_sec'").count() == 4
-    writers.write_cv(result, str(tmp_path / "cv"))
-    summary = spark.read.option("header", True).csv(str(tmp_path / "cv" / "summary_metrics"))
+    (out,) = (tmp_path / "cv").glob("run_ts=*")
+    assert spark.read.json(str(tmp_path / "cv" / "run_config")).first().n_splits == 2
+    summary = spark.read.option("header", True).csv(str(out / "summary_metrics"))
     assert summary.count() == 4 and "macro_f1_mean" in summary.columns and "macro_f1_std" in summary.columns
 
 
-def test_topic_workflow(spark, gold):
+def test_topic_workflow(spark, gold, tmp_path):
     result = run_topic(gold, "en", ExperimentConfig(train=TINY))
     assert set(result.test) >= {"accuracy", "macro_f1", "weighted_f1", "fact_check_f1"}
     assert result.predictions.count() == 7
@@ -65,6 +66,11 @@ def test_topic_workflow(spark, gold):
     assert stopped["stop_epoch"] == lines.count()
     losses = [r["value"] for r in result.history.filter("key = 'loss'").orderBy("epoch").collect()]
     assert losses == sorted(losses, reverse=True)
+    writers.write_workflow(result, spark, str(tmp_path / "wf"))
+    matrix = spark.read.option("header", True).csv(str(tmp_path / "wf" / "confusion_matrix_normalized"))
+    assert matrix.columns == ["true_label", *CLASSES] and matrix.count() == 3
+    written = {p.name for p in (tmp_path / "wf").iterdir()}
+    assert {"training_history", "validation_metrics", "test_metrics", "error_analysis"} <= written
 
 
 def test_configuration_checks(spark, gold):

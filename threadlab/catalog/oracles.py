@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from threadlab.catalog.views import PRIORS, TERMS
-from threadlab.functions.registry import CLASSES, COARSE_LABELS, LABEL_MAP
+from threadlab.catalog.views import FINE_TERMS, FINE_TOPICS, PRIORS, TERMS
+from threadlab.functions.registry import CLASSES, COARSE_LABELS, FINE_LABELS, LABEL_MAP
 from threadlab.functions.text import WHITESPACE
 
 ORACLES: dict[str, str] = {}
@@ -272,12 +272,12 @@ def _hits(label: str) -> str:
     return f"CAST(len(list_filter(toks, lambda t: t IN ({words}))) AS DOUBLE) + {prior}"
 
 
-def _zero_shot(source: str, scores: list[str], columns: str) -> str:
+def _zero_shot(source: str, scores: list[str], columns: str, names=COARSE_LABELS) -> str:
     """Labelled rows from per-label score expressions over ``toks`` or ``comment``."""
     named = ", ".join(f"{s} AS s{i}" for i, s in enumerate(scores))
     every = ", ".join(f"s{i}" for i in range(len(scores)))
     top = f"greatest({every})"
-    cases = " ".join(f"WHEN s{i} = {top} THEN '{x}'" for i, x in enumerate(COARSE_LABELS))
+    cases = " ".join(f"WHEN s{i} = {top} THEN '{x}'" for i, x in enumerate(names))
     total = " + ".join(f"exp(s{i} - {top})" for i in range(len(scores)))
     return f"""
 t0 AS (SELECT *, {_valid("comment")} AS valid,
@@ -300,6 +300,18 @@ _STUB = [
 ORACLES["zero_shot_lexicon"] = f"WITH {DIRTY}, " + _zero_shot("v_dirty", _LEXICON, "SELECT * FROM labelled")
 ORACLES["zero_shot_model"] = f"WITH {DIRTY}, " + _zero_shot("v_dirty", _STUB, "SELECT * FROM labelled")
 
+def _fine(topic: str) -> str:
+    names = FINE_LABELS[FINE_TOPICS[topic]]
+    scores = [
+        f"CAST(len(list_filter(toks, lambda t: t = '{term}')) AS DOUBLE) + {0.5 if i == len(names) - 1 else 0.0}"
+        for i, term in enumerate(FINE_TERMS[topic])
+    ]
+    source = f"(SELECT * FROM v_gold WHERE topic = '{topic}')"
+    return "SELECT * FROM (WITH " + _zero_shot(source, scores, "SELECT * FROM labelled", names) + ")"
+
+
+ORACLES["zero_shot_topics"] = f"WITH {GOLD} " + " UNION ALL ".join(_fine(t) for t in FINE_TOPICS)
+
 ORACLES["label_prototypes"] = """
 WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x
            FROM embeddings)

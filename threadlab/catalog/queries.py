@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlab.catalog import views
 from threadlab.functions import text
-from threadlab.functions.registry import CLASSES, COARSE_LABELS, LABEL_MAP
+from threadlab.functions.registry import CLASSES, COARSE_LABELS, FINE_LABELS, LABEL_MAP, Topic
 from threadlab.operators import history, labels, metrics, scoring, splits, threads, training
 from threadlab.plans import experiments, zero_shot
 from threadlab.plans.threads import process_threads
@@ -268,6 +268,18 @@ def zero_shot_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_lexicon_labelled(spark, sf, dirty=True).drop("comment"))
 
 
+@query
+def zero_shot_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics with fine candidate labels of their own; one of them has no coarse counterpart."""
+    topics, scorers = [], {}
+    for name, registered in views.FINE_TOPICS.items():
+        names = FINE_LABELS[registered]
+        terms = {x: (term,) for x, term in zip(names, views.FINE_TERMS[name])}
+        topics.append(Topic(name, labels=names))
+        scorers[name] = scoring.lexicon_scorer(names, terms, {names[-1]: 0.5})
+    return _rounded(zero_shot.label_topics(views.gold(spark, sf), topics, scorers).drop("comment"))
+
+
 @query
 def zero_shot_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """How well the lexicon labels each class of each topic."""

@@ -68,15 +68,22 @@ def confusion_matrix(
     return pairs.select(*group, "true_label", "pred_label", F.coalesce(n, F.lit(0)).alias("n"))
 
 
+def wide_matrix(
+    matrix: DataFrame, classes: Sequence[str], group: Sequence[str] = (), value: str = "n"
+) -> DataFrame:
+    """A long matrix as one row per true label and one column per class of ``classes``."""
+    return matrix.groupBy(*group, "true_label").pivot("pred_label", list(classes)).sum(value)
+
+
 def confusion_matrix_wide(
     counts: DataFrame,
     classes: Sequence[str],
     group: Sequence[str] = (),
     grid: str = "declared",
 ) -> DataFrame:
-    """One row per true label, one column per class of ``classes``."""
+    """Confusion counts in wide form."""
     matrix = confusion_matrix(counts, group, grid, classes if grid == "declared" else None)
-    return matrix.groupBy(*group, "true_label").pivot("pred_label", list(classes)).sum("n")
+    return wide_matrix(matrix, classes, group)
 
 
 def confusion_matrix_normalized(

@@ -32,6 +32,7 @@ from threadlab.operators.training import (
     weighted_features,
 )
 from threadlab.session import materialise
+from threadlab.sources import writers
 
 HISTORY = "experiment_name string, model_key string, fold int, epoch int, key string, value double"
 KEYS = ["experiment_name", "model_key", "model_name"]
@@ -184,8 +185,20 @@ def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
     return CVResult(predictions, fold_metrics, report, metrics.fold_summary(fold_metrics), history)
 
 
+def run_experiments(gold: DataFrame, cfg: ExperimentConfig, path: str) -> CVResult:
+    """``run_cv`` with everything written below ``path``: parameters first, then the results."""
+    cfg.check()
+    spark = gold.sparkSession
+    stamp = writers.run_stamp(spark)
+    writers.write_json(run_config(spark, cfg), f"{path}/run_config/run_ts={stamp}")
+    result = run_cv(gold, cfg)
+    writers.write_cv(result, f"{path}/run_ts={stamp}")
+    return result
+
+
 @dataclass
 class WorkflowResult:
+    classes: list[str]
     history: DataFrame
     validation: dict[str, float]
     test: dict[str, float]
@@ -232,6 +245,7 @@ def run_topic(
     )
     declared = {"grid": "declared", "classes": names}
     return WorkflowResult(
+        classes=names,
         history=spark.createDataFrame(_history_rows(trained, f"topic_{topic}", model_key, 0), HISTORY),
         validation=trained.validation(),
         test=evaluate(predictions, names),

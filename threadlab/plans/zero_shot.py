@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlab.functions.registry import COARSE_LABELS, LABEL_MAP
+from threadlab.functions.registry import COARSE_LABELS, LABEL_MAP, Topic
 from threadlab.operators import metrics
+from threadlab.operators.labels import topic_filter
 from threadlab.operators.scoring import Scorer, zero_shot
 
 
@@ -36,6 +38,21 @@ def label_gold(
     )
 
 
+def label_topics(
+    gold: DataFrame, topics: Sequence[Topic], scorers: Mapping[str, Scorer], label: str = "label"
+) -> DataFrame:
+    """Topics with candidate labels of their own, in one job.
+
+    ``scorers`` has one scorer per topic name.  Each topic reads only its own rows: the filter is an
+    exact match, which prunes folders where the gold table is partitioned by topic.
+    """
+    parts = [
+        label_gold(topic_filter(gold, t.name), scorers[t.name], t.labels, t.label_map, label)
+        for t in topics
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def evaluate(
     predictions: DataFrame,
     gold: str = "assigned_label",

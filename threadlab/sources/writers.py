@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlab.functions.text import class_file_name
+from threadlab.operators.metrics import binary_cells, wide_matrix
 from threadlab.sources.schemas import POST_LIST_CSV
 
 CSV = {
@@ -95,6 +96,24 @@ def write_history(history: DataFrame, path: str, keys: Sequence[str] = ("experim
     write_json(wide, f"{path}/json")
 
 
+def write_workflow(result, spark: SparkSession, path: str) -> None:
+    """Everything a single-topic run reports: history, metrics, report, matrices, errors."""
+    stamp = run_stamp(spark)
+    write_history(result.history, f"{path}/training_history")
+    write_metrics(result.validation, spark, f"{path}/validation_metrics", "VALIDATION SET RESULTS", stamp)
+    write_metrics(result.test, spark, f"{path}/test_metrics", "TEST SET RESULTS", stamp)
+    write_json(result.report, f"{path}/classification_report/run_ts={stamp}")
+    write_csv(wide_matrix(result.matrix, result.classes, value="share"), f"{path}/confusion_matrix_normalized")
+    write_csv(result.errors, f"{path}/error_analysis")
+    write_csv(result.one_vs_rest, f"{path}/binary_confusion_matrices_summary")
+    write_binary_cells(binary_cells(result.one_vs_rest), f"{path}/binary_confusion_matrices")
+
+
+def land(df: DataFrame, path: str, partition_by: Sequence[str] = ("topic",), mode: str = "append") -> None:
+    """Land a parsed input as Parquet by topic, so that later reads prune folders and columns."""
+    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+
+
 def write_cv(result, path: str) -> None:
     """Predictions, fold metrics, reports, summary and history of a cross-validated run."""
     parts = ["experiment_name", "model_key", "fold"]
