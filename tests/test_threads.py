@@ -60,12 +60,12 @@ def random_thread(seed, n, post):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [20, 1_000_000])
-def test_bfs_order_equals_queue_walk(spark, hot_rows):
+@pytest.mark.parametrize(("hot_rows", "max_path"), [(20, 64), (1_000_000, 64), (1_000_000, 2), (50, 4)])
+def test_bfs_order_equals_queue_walk(spark, hot_rows, max_path):
     data = random_thread(1, 200, "p") + random_thread(2, 60, "q") + [
         ("r", f"c{i}", "u", "t3_r" if i == 0 else f"t1_c{i - 1}", i) for i in range(70)
     ]
-    order = threads.bfs_order(raw(spark, data), hot_rows).collect()
+    order = threads.bfs_order(raw(spark, data), hot_rows, max_path).collect()
     for post in "pqr":
         comments = [
             (i, None if parent.startswith("t3") else parent[3:], s)
@@ -92,6 +92,23 @@ def test_orphans_and_loops_are_kept_apart(spark):
     assert rows(threads.bfs_order(raw(spark, data)).select("id", "bfs_pos"), "bfs_pos") == [("a", 0), ("b", 1)]
 
 
+def test_paths_of_a_deep_chain_stay_short(spark):
+    data = [("r", f"c{i}", "u", "t3_r" if i == 0 else f"t1_c{i - 1}", i) for i in range(150)]
+    got = threads.thread_paths(raw(spark, data), max_path=8).select("id", "depth", F.size("path").alias("n"))
+    assert all(r["id"] == f"c{r['depth']}" and r["n"] <= 16 for r in got.collect())
+
+
+def test_siblings_without_distinct_order_numbers(spark):
+    """Order numbers may repeat among cousins; parents decide first, ids break real ties."""
+    data = [
+        ("p", "a", "u", "t3_p", 0), ("p", "b", "u", "t3_p", 1), ("p", "a1", "u", "t1_a", 1),
+        ("p", "a0", "u", "t1_a", 0), ("p", "b0", "u", "t1_b", 0), ("p", "b1", "u", "t1_b", 0),
+    ]
+    for max_path in (1, 64):
+        order = threads.bfs_order(raw(spark, data), max_path=max_path).orderBy("bfs_pos").collect()
+        assert [r["id"] for r in order] == ["a", "b", "a0", "a1", "b0", "b1"]
+
+
 def test_pending_and_upsert(spark):
     posts = spark.createDataFrame(
         [("p", 1, 1, 0.5), ("q", None, None, None), ("r", 4, 5, 0.1)],

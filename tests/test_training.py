@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlab.operators import history, metrics
-from threadlab.operators.training import TrainConfig, term_frequencies
+from threadlab.operators.training import TrainConfig, evaluate, term_frequencies
 from threadlab.plans.experiments import ExperimentConfig, run_config, run_cv, run_experiments, run_topic
 from threadlab.sources import writers
 
@@ -28,6 +28,16 @@ def test_truncation(spark):
     assert sum(tf.values) == 3.0
 
 
+def test_driver_figures_equal_the_report(spark):
+    data = [("belief", "other")] * 3 + [("fact-check", "fact-check")] * 4 + [("other", "belief")] + [("other", "other")] * 5
+    df = spark.createDataFrame(data, "gold_label string, predicted_label string")
+    counts = metrics.confusion_counts(df, "gold_label", "predicted_label")
+    for classes in (CLASSES, [*CLASSES, "never seen"]):
+        report = metrics.classification_report(counts, grid="declared", classes=classes)
+        want = {r["metric"]: r["value"] for r in metrics.metric_rows(report, []).collect()}
+        assert evaluate(df, classes) == pytest.approx(want)
+
+
 def test_cross_validation(spark, gold, tmp_path):
     cfg = ExperimentConfig(topics=["en"], n_splits=2, train=TINY, models={"softmax": "s", "logreg": "l"})
     result = run_experiments(gold, cfg, str(tmp_path / "cv"))

@@ -22,6 +22,9 @@ LINK_PATTERN = r"/r/([^/]+)/comments/([^/]+)/([^/]+)"
 
 KEY = ["post_id", "id"]
 
+# Longest ancestor path a row carries before it is replaced by a rank.
+MAX_PATH = 64
+
 
 def resolve_links(posts: DataFrame, link: str = "link", pattern: str = LINK_PATTERN) -> DataFrame:
     """Add the three parts a post's link names (community, post id, title slug), null if absent."""
@@ -96,34 +99,43 @@ def thread_edges(threads: DataFrame) -> DataFrame:
     ).select("post_id", "e.*")
 
 
-def thread_paths(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def thread_paths(
+    raw: DataFrame, hot_rows: int = HOT_ROWS, max_path: int = MAX_PATH
+) -> DataFrame:
     """``(post_id, id, depth, path, reachable)`` for every comment.
 
-    ``path`` holds the sibling order numbers from the top-level ancestor down to the comment, so
-    breadth-first order is the order of (depth, path).  Computed by pointer doubling: each round
-    joins the unfinished comments to the ancestor they point at and doubles the distance, so a
-    thread of depth d takes about log2(d) rounds.  Finished comments are written once and not
-    touched again.  Comments whose chain of parents leaves the dump or loops are kept with
-    ``reachable = false`` and null depth.
+    ``path`` orders the comments of one depth of a thread: breadth-first order is the order of
+    (depth, path, id).  It starts as the sibling order numbers from the top-level ancestor down.
+    Computed by pointer doubling: each round joins the unfinished comments to the ancestor they
+    point at and doubles the distance, so a thread of depth d takes about log2(d) rounds.  Finished
+    comments are not touched again.  When paths reach ``max_path`` numbers, each is replaced by its
+    rank in the thread, which keeps the order and bounds the row.  Comments whose chain of parents
+    leaves the dump or loops are kept with ``reachable = false`` and null depth.
     """
     state = materialise(
         raw.select(
             *KEY,
             F.when(_is_reply(), bare_id("parent_fullname")).alias("anc"),
             F.array("seq").alias("path"),
+            F.lit(1).cast("bigint").alias("levels"),
             F.lit(False).alias("lost"),
         ),
         "paths",
     )
     finished, todo = [state.filter("anc IS NULL")], state.filter("anc IS NOT NULL")
-    left = todo.count()
+    left, width = todo.count(), 1
     while left:
         known = reduce(DataFrame.unionByName, finished + [todo])
+        if width >= max_path:
+            ranked = rank_in_groups(known, ["post_id"], ["path", "id"], "rank", hot_rows)
+            known = materialise(ranked.withColumn("path", F.array("rank")).drop("rank"), "paths")
+            finished, todo, width = [known.filter("anc IS NULL")], known.filter("anc IS NOT NULL"), 1
         ancestor = known.select(
             "post_id",
             F.col("id").alias("anc"),
             F.col("anc").alias("up_anc"),
             F.col("path").alias("up_path"),
+            F.col("levels").alias("up_levels"),
             F.col("lost").alias("up_lost"),
         )
         joined = skew_join(
@@ -136,11 +148,12 @@ def thread_paths(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
                 *KEY,
                 F.when(~lost, F.col("up_anc")).alias("anc"),
                 F.when(~lost, F.concat("up_path", "path")).otherwise(F.col("path")).alias("path"),
+                F.when(~lost, F.col("up_levels") + F.col("levels")).otherwise(0).alias("levels"),
                 lost.alias("lost"),
             ),
             "paths",
         )
-        todo = state.filter("anc IS NOT NULL")
+        todo, width = state.filter("anc IS NOT NULL"), 2 * width
         still = todo.count()
         if still == left:
             # In a forest the number of unfinished comments falls every round, so all that remain
@@ -151,7 +164,7 @@ def thread_paths(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         left = still
     return reduce(DataFrame.unionByName, finished).select(
         *KEY,
-        F.when(~F.col("lost"), F.size("path") - 1).alias("depth"),
+        F.when(~F.col("lost"), F.col("levels") - 1).cast("int").alias("depth"),
         F.when(~F.col("lost"), F.col("path")).alias("path"),
         (~F.col("lost")).alias("reachable"),
     )
@@ -162,9 +175,9 @@ def comment_depth(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return thread_paths(raw, hot_rows).select(*KEY, "depth")
 
 
-def bfs_order(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def bfs_order(raw: DataFrame, hot_rows: int = HOT_ROWS, max_path: int = MAX_PATH) -> DataFrame:
     """``(post_id, id, depth, bfs_pos)``: breadth-first position, 0-based, siblings by ``seq``."""
-    paths = thread_paths(raw, hot_rows).filter("reachable").drop("reachable")
+    paths = thread_paths(raw, hot_rows, max_path).filter("reachable").drop("reachable")
     ranked = rank_in_groups(paths, ["post_id"], ["depth", "path", "id"], "bfs_pos", hot_rows)
     return ranked.select(*KEY, "depth", "bfs_pos")
 
