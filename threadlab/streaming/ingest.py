@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +17,25 @@ HOT_PARTS = 64
 
 
 def read_table(spark: SparkSession, output: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{output}/{table}")
+    """One of the tables ``posts``, ``comments`` and ``edges``."""
+    return spark.read.parquet(f"{output}/{table}").drop("source_id", "batch")
 
 
 def ingest_threads(spark: SparkSession, landing: str, output: str, checkpoint: str) -> None:
     """Process the thread files that arrived since the last call, then stop.
 
     The checkpoint remembers files; threads already in the output are skipped too, so a thread
-    landed again changes nothing.  Each record (or run of parts) is a complete thread, hence no
-    state is kept between batches.  A batch owns the folder ``batch=<id>`` and replaces it when
-    retried, so a failure half-way leaves no duplicates.
+    landed again changes nothing, even with a new checkpoint.  Each record (or run of parts) is a
+    complete thread, hence no state is kept between batches.  A batch owns one folder per
+    checkpoint and batch number and replaces it when retried, so a failure half-way leaves no
+    duplicates.
     """
+    source_id = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        here = batch.sparkSession
         keyed = batch.withColumn("post_id", F.col("submission.id"))
         new = keyed.dropDuplicates(["post_id", "part"])
-        done = _done_before(here, output, batch_id)
+        done = _done_elsewhere(batch.sparkSession, output, source_id, batch_id)
         if done is not None:
             # The anti-join runs on bare post ids; records then meet the ids that are left.
             ids = pending_posts(keyed.select("post_id").distinct(), done)
@@ -42,9 +47,12 @@ def ingest_threads(spark: SparkSession, landing: str, output: str, checkpoint: s
             # Written last: a post counts as done once its comments and edges are there.
             "posts": new.filter(F.coalesce("part", F.lit(0)) == 0).select("post_id", "submission.*"),
         }
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
-        new.unpersist()
+        try:
+            for name, table in tables.items():
+                folder = f"{output}/{name}/source_id=s{source_id}/batch={batch_id}"
+                table.write.mode("overwrite").parquet(folder)
+        finally:
+            new.unpersist()
 
     query = (
         spark.readStream.schema(THREADS)
@@ -57,9 +65,15 @@ def ingest_threads(spark: SparkSession, landing: str, output: str, checkpoint: s
     query.awaitTermination()
 
 
-def _done_before(spark: SparkSession, output: str, batch_id: int) -> DataFrame | None:
-    """Post ids written by earlier batches; None before the first."""
-    if batch_id == 0:
+def _done_elsewhere(
+    spark: SparkSession, output: str, source_id: str, batch_id: int
+) -> DataFrame | None:
+    """Post ids written by any other batch; None before the first."""
+    try:
+        posts = spark.read.parquet(f"{output}/posts")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    done = read_table(spark, output, "posts")
-    return done.filter(F.col("batch") < batch_id).select("post_id")
+    own = (F.col("source_id") == f"s{source_id}") & (F.col("batch") == batch_id)
+    return posts.filter(~own).select("post_id")
