@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tests.helpers import rows
 from threadlab.functions.registry import COARSE_LABELS, FINE_LABELS, LABEL_MAP, default_topics, topics_frame

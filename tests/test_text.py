@@ -81,8 +81,3 @@ def test_score_expressions(spark):
         scores.ratio(F.lit(1), F.lit(0)),
     ).first()
     assert soft == [0.5, 0.5, 0.0] and label == "a" and zero == 0.0
-    dot, length = spark.range(1).select(
-        scores.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))),
-        scores.norm(F.array(F.lit(3.0), F.lit(4.0))),
-    ).first()
-    assert (dot, length) == (11.0, 5.0)

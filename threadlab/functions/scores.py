@@ -33,12 +33,3 @@ def pick_label(labels: list[str], scores: Column) -> Column:
     """Label at the first maximum of an aligned score array."""
     names = F.array(*[F.lit(name) for name in labels])
     return F.element_at(names, first_argmax(scores).cast("int"))
-
-
-def dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
-
-
-def norm(vector: Column) -> Column:
-    return F.sqrt(dot(vector, vector))
