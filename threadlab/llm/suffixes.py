@@ -28,8 +28,8 @@ from threadlab.session import materialise
 LENGTH = 100
 GRAM = 32  # bytes hashed for a window's name
 LONGEST = 512  # windows of a run; longer ones are cut
-SHARD = 2_000_000  # bytes a suffix array is built over, about
-MERGE = 100_000  # windows that are merged at once, about
+SHARD = 400_000  # bytes a suffix array is built over, about
+MERGE = 20_000  # windows that are merged at once, about
 JOINED = 1 << 20  # bytes of documents that are named at once
 
 
