@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -33,14 +35,14 @@ def get_spark(app: str = "threadlab", master: str | None = None, **conf: str) ->
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
 
-    Without that setting only a local master may use a temporary folder; on a cluster a
-    machine-local folder would be lost with its executor.
+    Without that setting only a master inside this process (tests) may use a temporary folder; on a
+    cluster, ``local-cluster`` included, a machine-local folder would be lost with its executor.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/") + "/threadlab"
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     app = context.applicationId
     if app not in _LOCAL_SCRATCH:
@@ -56,12 +58,21 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """Write ``df`` once as Parquet and read it back: cuts lineage, survives lost executors.
 
     Unlike an eager checkpoint it computes the input once, and later readers get column
-    pruning and size statistics.
+    pruning and size statistics. Shuffle files of the finished write are let go at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a finished job when the driver has collected its plan as
+    garbage, which may be half an hour later. In a job of many steps that is as much disk as all
+    steps together, so the collection is asked for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
