@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
@@ -58,21 +58,18 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """Write ``df`` once as Parquet and read it back: cuts lineage, survives lost executors.
 
     Unlike an eager checkpoint it computes the input once, and later readers get column
-    pruning and size statistics. Shuffle files of the finished write are let go at once.
+    pruning and size statistics. The shuffle files of the write go when it ends; otherwise a job
+    of many steps keeps those of all steps until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    release_shuffles(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of a finished job when the driver has collected its plan as
-    garbage, which may be half an hour later. In a job of many steps that is as much disk as all
-    steps together, so the collection is asked for."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
