@@ -344,7 +344,9 @@ def repeated_spans(docs: DataFrame, shard: int = SHARD, merge: int = MERGE) -> D
     )
     settled = windows.where("window is null").select("doc_id", "text_key", "begin", "stop")
     every = copies.unionByName(spans).unionByName(merged).unionByName(settled)
-    return every.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    return materialise(
+        every.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "stop")).alias("spans")), "spans"
+    )
 
 
 def kept_bytes(text: str | None, spans: list | None) -> tuple[bytes, int, int, int]:
