@@ -203,9 +203,9 @@ def _spans(later: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 PLACE = ["none", "doc_id", "text_key", "start"]
 RUNS = pa.schema([
     ("name", pa.int64()), ("digest", pa.binary()), ("none", pa.bool_()), ("doc_id", pa.int64()),
-    ("text_key", pa.int64()), ("start", pa.int64()), ("run", pa.binary()),
+    ("text_key", pa.int64()), ("start", pa.int64()), ("again", pa.bool_()), ("run", pa.binary()),
 ])
-RUN_ROWS = "name long, digest binary, none boolean, doc_id long, text_key long, start long, run binary"
+RUN_ROWS = "name long, digest binary, none boolean, doc_id long, text_key long, start long, again boolean, run binary"
 SPAN_ROWS = "doc_id long, text_key long, begin long, stop long"
 WINDOW_ROWS = SPAN_ROWS + ", window binary, none boolean"
 
@@ -230,7 +230,7 @@ def suspect_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The runs (``RUN_ROWS``) whose name is in the ``names`` of their row."""
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for numbers, texts, batch in _portions(batches, 0):
-            who, start, count, name, _ = runs(texts)
+            who, start, count, name, again = runs(texts)
             made: list[list] = [[] for _ in RUNS]
             for i, row in enumerate(numbers):
                 lo, hi = np.searchsorted(who, [i, i + 1])
@@ -239,7 +239,7 @@ def suspect_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 for k in (np.flatnonzero(np.isin(name[lo:hi], known)) + lo).tolist():
                     s = int(start[k])
                     run = texts[i][s:s + int(count[k]) + LENGTH - 1]
-                    values = (int(name[k]), xxhash.xxh3_128_digest(run), doc is None, doc, key, s, run)
+                    values = (int(name[k]), xxhash.xxh3_128_digest(run), doc is None, doc, key, s, bool(again[k]), run)
                     for column, value in zip(made, values, strict=True):
                         column.append(value)
             if made[0]:
@@ -310,7 +310,7 @@ def repeated_spans(docs: DataFrame, shard: int = SHARD, merge: int = MERGE) -> D
 
     place = F.struct(*PLACE)
     distinct = materialise(
-        found.groupBy("name", "digest").agg(F.min(F.struct(*PLACE, "run")).alias("first"))
+        found.groupBy("name", "digest").agg(F.min(F.struct(*PLACE, "again", "run")).alias("first"))
         .select("name", "digest", "first.*"),
         "distinct-runs",
     )
@@ -321,18 +321,20 @@ def repeated_spans(docs: DataFrame, shard: int = SHARD, merge: int = MERGE) -> D
         .join(firsts, ["name", "digest"]).where(place != F.col("first"))
         .select("doc_id", "text_key", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("stop"))
     )
-    weight = distinct.groupBy("name").agg(F.sum(F.octet_length("run")).alias("bytes"))
-    heavy = materialise(
-        weight.where(F.col("bytes") > shard).select("name", F.ceil(F.col("bytes") / shard).alias("shards")), "heavy-names"
+    # A run that is alone under its name and holds its naming string once repeats nothing.
+    shared = materialise(
+        distinct.groupBy("name")
+        .agg(F.sum(F.octet_length("run")).alias("bytes"), F.count("*").alias("n"), F.bool_or("again").alias("again"))
+        .where("n > 1 or again").select("name", "bytes", F.ceil(F.col("bytes") / shard).alias("shards")),
+        "shared-names",
     )
-    total = distinct.agg(F.sum(F.octet_length("run"))).first()[0] or 0
-    shards = max(1, ceil(total / shard))
-    light = distinct.join(heavy, "name", "left_anti")
+    shards = max(1, ceil((shared.agg(F.sum("bytes")).first()[0] or 0) / shard))
+    light = distinct.join(shared.where("shards = 1").select("name"), "name")
     spans = (
         light.select(F.pmod(F.xxhash64("name"), F.lit(shards)).alias("shard"), *PLACE, "run")
         .groupBy("shard").applyInPandas(shard_spans, SPAN_ROWS)
     )
-    dealt = distinct.join(heavy, "name").select(
+    dealt = distinct.join(shared.where("shards > 1").select("name", "shards"), "name").select(
         F.xxhash64("name", F.pmod(F.xxhash64("digest"), F.col("shards"))).alias("shard"), *PLACE, "run"
     )
     windows = materialise(dealt.groupBy("shard").applyInPandas(shard_windows, WINDOW_ROWS), "shard-windows")
