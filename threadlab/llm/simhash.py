@@ -187,7 +187,8 @@ def near_duplicates(
     marked = own.join(groups, own.fingerprint == groups.node, "left").select(
         "fingerprint", "first", F.coalesce("component", "fingerprint").alias("component")
     )
-    lowest = marked.groupBy("component").agg(F.min("first").alias("lowest"))
+    # Written first, so that a join on a large component can be split.
+    lowest = materialise(marked.groupBy("component").agg(F.min("first").alias("lowest")), "lowest")
     member = materialise(
         marked.join(lowest, "component").select("fingerprint", "lowest"), "fingerprint-components"
     )
