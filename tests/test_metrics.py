@@ -163,3 +163,10 @@ def test_metric_names(spark):
         "fact_check_precision", "fact_check_recall", "fact_check_f1", "fact_check_support",
         "accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1",
     }
+
+
+def test_rows_without_a_true_label_are_no_hits(spark):
+    df = spark.createDataFrame([(None, None), ("a", "a"), ("a", "b")], "gold string, pred string")
+    counts = metrics.confusion_counts(df, "gold", "pred")
+    assert metrics.accuracy(counts).first().accuracy == 0.5
+    assert rows(metrics.per_class_metrics(counts).select("label", "support")) == [("a", 2)]

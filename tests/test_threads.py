@@ -182,3 +182,19 @@ def test_links(spark):
 
 def test_parent_id_is_taken_after_the_last_underscore(spark):
     assert spark.range(1).select(bare_id(F.lit("t3_p"))).first()[0] == "p"
+
+
+def test_comments_landed_twice_count_once(spark):
+    data = raw(spark, SMALL)
+    twice = data.unionByName(data)
+    for made in (threads.bfs_order, threads.reply_edges, threads.comment_depth):
+        assert sorted(rows(made(twice)), key=repr) == sorted(rows(made(data)), key=repr)
+
+
+def test_loops_of_repeated_ids_end(spark):
+    loop = [("p", "a", "ann", "t1_b", 1), ("p", "b", "bob", "t1_a", 2)]
+    data = raw(spark, loop * 2 + SMALL[9:])
+    assert rows(threads.orphan_comments(data), "id") == [("p", "a"), ("p", "b")]
+    assert rows(threads.comment_depth(data).filter("post_id = 'q'"), "id") == [
+        ("q", "a", 0), ("q", "b", 1), ("q", "c", 2),
+    ]

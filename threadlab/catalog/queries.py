@@ -492,11 +492,13 @@ def text_features(spark: SparkSession, sf: str) -> DataFrame:
     return weighted.select("id", "label", F.size(F.filter(size, lambda x: x > 0)).alias("active"))
 
 
-SMALL = training.TrainConfig(epochs=4, n_features=512, steps_per_epoch=5)
+# Pooled, and the topics of the gold view that pass the class guard: es and fr have classes of fewer
+# rows than folds at the small scale.
+TOPICS = ("de", "en")
 
 
 def _experiment() -> experiments.ExperimentConfig:
-    return experiments.ExperimentConfig(run_per_topic=False, topics=(), train=SMALL)
+    return experiments.ExperimentConfig(topics=TOPICS)
 
 
 @query

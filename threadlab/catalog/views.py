@@ -17,11 +17,12 @@ TERMS = {
 PRIORS = {COARSE_LABELS[2]: 0.5}
 # One term per fine label and topic of the registered per-topic query; the last label
 # wins where no term occurs.
-FINE_TOPICS = {"en": "environment", "de": "health", "fr": "immigration"}
+FINE_TOPICS = {"en": "environment", "de": "health", "fr": "immigration", "es": "environment"}
 FINE_TERMS = {
     "en": ("the", "and", "that", "her", "ing", "not"),
     "de": ("der", "und", "die", "ein", "ich", "nicht"),
     "fr": ("les", "que", "est", "dans", "une", "pas"),
+    "es": ("los", "que", "del", "una", "con", "por"),
 }
 THREADS = 50
 

@@ -126,7 +126,7 @@ def class_totals(
     """``(group..., label, tp, pred_n, support, total, correct)`` without a join.
 
     Each cell adds its count to its true label (support) and to its predicted label (pred_n); the
-    diagonal is tp.  For a declared grid each group also gets a zero entry per class.
+    diagonal is tp.  Cells without a true label are left out.  For a declared grid each group also gets a zero entry per class.
     """
     _check(grid, classes)
     zero = F.lit(0).cast("bigint")
@@ -145,7 +145,8 @@ def class_totals(
         entries += [entry(F.lit(c), zero, zero, zero) for c in classes]
     sums = [F.sum(c).alias(c) for c in ("support", "pred_n", "tp")]
     by_label = (
-        counts.select(*group, F.inline(F.array(*entries)))
+        counts.filter("true_label IS NOT NULL")
+        .select(*group, F.inline(F.array(*entries)))
         .groupBy(*group, "label")
         .agg(*sums)
     )
@@ -182,9 +183,9 @@ def per_class_metrics(
 
 
 def accuracy(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """``(group..., n, correct, accuracy)`` over all rows, whatever was predicted."""
+    """``(group..., n, correct, accuracy)`` over all rows with a true label, whatever was predicted."""
     hit = F.col("true_label").eqNullSafe(F.col("pred_label"))
-    summed = counts.groupBy(*group).agg(
+    summed = counts.filter("true_label IS NOT NULL").groupBy(*group).agg(
         F.sum("n").alias("n"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("correct")
     )
     return summed.withColumn("accuracy", ratio(F.col("correct"), F.col("n")))

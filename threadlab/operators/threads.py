@@ -99,6 +99,15 @@ def thread_edges(threads: DataFrame) -> DataFrame:
     ).select("post_id", "e.*")
 
 
+def unique_comments(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per comment: dumps are landed again, and a repeated id would multiply every join.
+
+    Of the rows of one id the one with the lowest ``seq`` counts, then the lowest ``columns``.
+    """
+    row = F.min(F.struct("seq", *columns)).alias("row")
+    return raw.groupBy(*KEY).agg(row).select(*KEY, "row.*")
+
+
 def thread_paths(
     raw: DataFrame, hot_rows: int = HOT_ROWS, max_path: int = MAX_PATH
 ) -> DataFrame:
@@ -113,7 +122,7 @@ def thread_paths(
     leaves the dump or loops are kept with ``reachable = false`` and null depth.
     """
     state = materialise(
-        raw.select(
+        unique_comments(raw, ["parent_fullname"]).select(
             *KEY,
             F.when(_is_reply(), bare_id("parent_fullname")).alias("anc"),
             F.array("seq").alias("path"),
@@ -124,7 +133,10 @@ def thread_paths(
     )
     finished, todo = [state.filter("anc IS NULL")], state.filter("anc IS NOT NULL")
     left, width = todo.count(), 1
+    # After r rounds only chains of more than 2^r ancestors are unfinished; none is longer than the dump.
+    rounds = left.bit_length() + 1
     while left:
+        rounds -= 1
         known = reduce(DataFrame.unionByName, finished + [todo])
         if width >= max_path:
             ranked = rank_in_groups(known, ["post_id"], ["path", "id"], "rank", hot_rows)
@@ -155,7 +167,7 @@ def thread_paths(
         )
         todo, width = state.filter("anc IS NOT NULL"), 2 * width
         still = todo.count()
-        if still == left:
+        if still and (still == left or not rounds):
             # In a forest the number of unfinished comments falls every round, so all that remain
             # hang on a loop of parents.
             finished += [state.filter("anc IS NULL"), todo.withColumn("lost", F.lit(True))]
@@ -193,6 +205,7 @@ def reply_edges(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     A plain equi-join on the parent: filters run before it, and a parent with very many answers
     is salted.
     """
+    raw = unique_comments(raw, ["parent_fullname", "author"])
     replies = raw.filter(_is_reply() & F.col("author").isNotNull()).select(
         "post_id",
         bare_id("parent_fullname").alias("parent_id"),
@@ -281,7 +294,7 @@ def thread_documents(
     )
     author = F.coalesce("author", F.lit(UNKNOWN_AUTHOR))
     placed = (
-        comment_rows(raw)
+        comment_rows(unique_comments(raw, [c for c in raw.columns if c not in {*KEY, "seq"}]))
         .join(order, KEY)
         .join(edges, KEY, "left")
         .withColumn("part", F.floor(F.col("bfs_pos") / F.lit(max_comments)).cast("bigint"))

@@ -2,50 +2,53 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlab.operators.skew import skew_join
-from threadlab.operators.threads import flatten_threads, pending_posts, thread_edges
+from threadlab.operators.threads import flatten_threads, thread_edges
 from threadlab.sources.schemas import THREADS
 
-# Records are heavy (thousands of comments each), so a thread of this many parts is spread.
-HOT_PARTS = 64
+PART = ["post_id", "part"]
 
 
 def read_table(spark: SparkSession, output: str, table: str) -> DataFrame:
-    """One of the tables ``posts``, ``comments`` and ``edges``."""
-    return spark.read.parquet(f"{output}/{table}").drop("source_id", "batch")
+    """One of the tables ``posts``, ``comments`` and ``edges``: the rows of finished batches."""
+    finished = spark.read.parquet(f"{output}/parts").select("source_id", "batch").distinct()
+    rows = spark.read.parquet(f"{output}/{table}").join(finished, ["source_id", "batch"], "left_semi")
+    return rows.drop("source_id", "batch")
 
 
 def ingest_threads(spark: SparkSession, landing: str, output: str, checkpoint: str) -> None:
     """Process the thread files that arrived since the last call, then stop.
 
-    The checkpoint remembers files; threads already in the output are skipped too, so a thread
-    landed again changes nothing, even with a new checkpoint.  Each record (or run of parts) is a
-    complete thread, hence no state is kept between batches.  A batch owns one folder per
-    checkpoint and batch number and replaces it when retried, so a failure half-way leaves no
-    duplicates.
+    The checkpoint remembers files; parts of threads already in the output are skipped too, so a
+    thread landed again changes nothing, even with a new checkpoint, while the parts of a long
+    thread may arrive in any number of batches.  A batch owns one folder per run and batch number
+    and replaces it when retried.  The run is named inside the checkpoint: a checkpoint that lost
+    its contents starts a new run and never replaces the folders of another.  ``parts`` is written
+    last; without its rows a batch that failed half-way is not read.
     """
-    source_id = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    source_id = _run_id(spark, checkpoint)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn("post_id", F.col("submission.id"))
-        new = keyed.dropDuplicates(["post_id", "part"])
+        keyed = batch.withColumn("post_id", F.col("submission.id")).withColumn(
+            "part", F.coalesce("part", F.lit(0).cast("bigint"))
+        )
+        new = keyed.dropDuplicates(PART)
         done = _done_elsewhere(batch.sparkSession, output, source_id, batch_id)
         if done is not None:
-            # The anti-join runs on bare post ids; records then meet the ids that are left.
-            ids = pending_posts(keyed.select("post_id").distinct(), done)
-            new = skew_join(new, ids, ["post_id"], salt_by=["part"], hot_rows=HOT_PARTS)
+            # The anti-join runs on bare keys; records then meet the keys that are left.
+            left = keyed.select(*PART).distinct().join(done, PART, "left_anti")
+            new = new.join(left, PART)
         new = new.persist()
         tables = {
             "comments": flatten_threads(new),
             "edges": thread_edges(new),
-            # Written last: a post counts as done once its comments and edges are there.
-            "posts": new.filter(F.coalesce("part", F.lit(0)) == 0).select("post_id", "submission.*"),
+            "posts": new.filter("part = 0").select("post_id", "submission.*"),
+            "parts": new.select(*PART),
         }
         try:
             for name, table in tables.items():
@@ -65,15 +68,28 @@ def ingest_threads(spark: SparkSession, landing: str, output: str, checkpoint: s
     query.awaitTermination()
 
 
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run, kept in the checkpoint folder."""
+    path = f"{checkpoint}/run-name"
+    try:
+        return spark.read.schema("name string").text(path).first()[0]
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = uuid.uuid4().hex[:12]
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(path)
+    return name
+
+
 def _done_elsewhere(
     spark: SparkSession, output: str, source_id: str, batch_id: int
 ) -> DataFrame | None:
-    """Post ids written by any other batch; None before the first."""
+    """Parts written by any other batch; None before the first."""
     try:
-        posts = spark.read.parquet(f"{output}/posts")
+        parts = spark.read.parquet(f"{output}/parts")
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     own = (F.col("source_id") == f"s{source_id}") & (F.col("batch") == batch_id)
-    return posts.filter(~own).select("post_id")
+    return parts.filter(~own).select(*PART)
