@@ -21,7 +21,9 @@ BITS = 18
 SAMPLE = 8_000  # labelled documents that are learned from
 EPOCHS = 150
 RATE = 0.1
-DECAY = 2e-3
+DECAY = 2e-4
+CUT_DECAY = 0.2  # pull of the thresholds to the shares of the grades: a text without evidence gets those
+BEARING = 4.0  # standard errors that the mean grade of a feature's documents must be off
 MIN_DOCS = 4  # training documents a feature needs
 KEEP = 0.5
 CACHE = 200_000
@@ -54,9 +56,9 @@ class Features(dict):
         return made
 
 
-def _bin(kind: str, share: float) -> int:
-    """Shares in steps of a twentieth."""
-    return _slot(kind, str(int(20 * share)))
+def _reached(kind: str, share: float) -> set[int]:
+    """One feature for each twentieth that a share reaches."""
+    return {_slot(kind, str(k)) for k in range(1, int(20 * share) + 1)}
 
 
 def features(text: str | None, known: Features) -> np.ndarray:
@@ -69,8 +71,9 @@ def features(text: str | None, known: Features) -> np.ndarray:
     n = len(words)
     repeated = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
     shouted = sum(map(str.isupper, words)) / n
-    made |= {_bin("repeat", repeated), _bin("shout", shouted), _slot("size", str(n.bit_length()))}
-    made.add(_bin("marked", sum(not w[-1].isalnum() for w in words) / n))
+    marked = sum(not w[-1].isalnum() for w in words) / n
+    made |= _reached("repeat", repeated) | _reached("shout", shouted) | _reached("marked", marked)
+    made.add(_slot("size", str(n.bit_length())))
     return np.fromiter(made, np.int32, len(made))
 
 
@@ -103,21 +106,21 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3, epochs: int
         return Model(np.zeros(1 << BITS), np.full(levels - 1, -30.0))
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    common = np.bincount(flat, minlength=1 << BITS) >= MIN_DOCS
+    count = np.bincount(flat, minlength=1 << BITS)
+    # Features without a bearing on the grade only add noise: how far is their documents' mean grade off?
+    shift = np.bincount(flat, (grades - grades.mean())[owner], minlength=1 << BITS)
+    common = (count >= MIN_DOCS) & (np.abs(shift) >= BEARING * grades.std() * np.sqrt(np.maximum(count, 1)))
     slots = np.flatnonzero(common)
     renumber = np.full(1 << BITS, -1, np.int32)
     renumber[slots] = np.arange(len(slots))
     used = common[flat]
     flat, owner = renumber[flat[used]], owner[used]
     n, y = len(rows), grades
-    weight = np.ones(n)
-    for g in range(levels):  # grades count alike
-        if (y == g).any():
-            weight[y == g] = n / (levels * (y == g).sum())
     share = np.cumsum([max((y == g).sum(), 1) for g in range(levels)])[:-1] / (n + levels)
     first = np.log(share / (1 - share))
     # Parameters: weights, first threshold, logarithms of the steps to the next ones.
     theta = np.concatenate([np.zeros(len(slots)), first[:1], np.log(np.maximum(np.diff(first), 0.1))])
+    prior = theta[len(slots):].copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     k = len(slots)
 
@@ -134,7 +137,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3, epochs: int
         sig[:, 0], sig[:, -1] = 0.0, 1.0
         hi, lo = sig[rows_at, y + 1], sig[rows_at, y]
         p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p * weight / n, lo * (1 - lo) / p * weight / n
+        d_hi, d_lo = hi * (1 - hi) / p / n, lo * (1 - lo) / p / n
         d_score = d_hi - d_lo  # of the negative log likelihood
         gradient = np.zeros_like(theta)
         gradient[:k] = np.bincount(flat, d_score[owner], minlength=k) + DECAY * w / 2
@@ -142,6 +145,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3, epochs: int
         gradient[k] = d_cut.sum()
         steps = np.exp(theta[k + 1:])
         gradient[k + 1:] = [d_cut[j + 1:].sum() * steps[j] for j in range(levels - 2)]
+        gradient[k:] += CUT_DECAY * (theta[k:] - prior)
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
