@@ -14,7 +14,6 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +27,42 @@ CHAIN = 256  # words; a chain ends with its line or after so many words
 SWITCH = 0.15  # share of training chains that are joined with one of another document
 LEXICON_COUNT = 5
 LEXICON_SHARE = 0.8
-CACHE = 200_000
+CACHE = 300_000
 NONE = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def _slot(kind: str, value: str) -> int:
-    return xxhash.xxh32_intdigest(kind + value) & ((1 << BITS) - 1)
-
-
-def word_features(word: str) -> tuple[int, ...]:
-    """Slots of a lower-case word: the word, affixes up to three letters, bigrams and trigrams."""
-    edged = f"<{word}>"
-    out = {_slot("w", word)}
-    out |= {_slot("p", word[:n]) for n in (1, 2, 3)} | {_slot("s", word[-n:]) for n in (1, 2, 3)}
-    out |= {_slot("n", edged[i:i + n]) for n in (2, 3) for i in range(len(edged) - n + 1)}
-    return tuple(out)
+def _slots(mixed: np.ndarray, kind: int) -> np.ndarray:
+    x = mixed * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind * 0xBF58476D1CE4E5B9 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, slot) of the features of lower-case words: the word, affixes up to three
+    letters, bigrams and trigrams with the edges of the word."""
+    text = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(text)) - starts[owner]
+    power = np.multiply.accumulate(np.full(int(sizes.max(initial=1)), 0x100000001B3, np.uint64))
+    whole = np.add.reduceat(text * power[place], starts) if len(words) else text
+    owners, slots = [np.arange(len(words))], [_slots(whole, 0)]
+    gram, wide = text, 1
+    while True:  # strings of one, two and three characters
+        first = starts + 1
+        able = sizes - 2 >= wide
+        owners += [np.flatnonzero(able)] * 2
+        slots += [_slots(gram[first[able]], wide), _slots(gram[(starts + sizes - 1 - wide)[able]], 10 + wide)]
+        if wide > 1:
+            inside = np.flatnonzero(place[:len(gram)] + wide <= sizes[owner[:len(gram)]])
+            owners.append(owner[inside])
+            slots.append(_slots(gram[inside], 20 + wide))
+        if wide == 3:
+            return np.concatenate(owners), np.concatenate(slots)
+        gram = gram[:-1] * np.uint64(0x1FFFFF) + text[wide:]
+        wide += 1
 
 
 def chains(text: str | None) -> list[list[str]]:
@@ -56,9 +75,10 @@ def chains(text: str | None) -> list[list[str]]:
 
 
 def forward_backward(
-    scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray
+    scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, counts: bool = True
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Label probabilities of each word, and the expected counts of transitions and of first labels.
+    """Label probabilities of each word, and (with ``counts``) the expected counts of transitions and
+    of first labels.
 
     scores: emission scores of all words, chain after chain. All chains advance together.
     """
@@ -80,7 +100,8 @@ def forward_backward(
         at = begins[:active[t + 1]] + t
         onward = emit[at + 1] * backward[at + 1]
         b = onward @ step.T
-        expected += _pairs(forward[at], onward, step)
+        if counts:
+            expected += _pairs(forward[at], onward, step)
         backward[at] = b / b.sum(axis=1, keepdims=True)
     both = forward * backward
     both /= both.sum(axis=1, keepdims=True)
@@ -101,27 +122,38 @@ class Model:
     start: np.ndarray
     lexicon: np.ndarray  # languages x languages: weight of being in a language's lexicon
     lexicons: dict[str, int] = field(default_factory=dict)  # word -> language whose lexicon holds it
+    known: Scores | None = None
 
-    def word_scores(self, word: str) -> np.ndarray:
-        out = self.weights[list(word_features(word))].sum(axis=0)
-        return out + self.lexicon[self.lexicons[word]] if word in self.lexicons else out
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        owner, slots = word_features(words)
+        weight = self.weights[slots]
+        out = np.stack([np.bincount(owner, w, minlength=len(words)) for w in weight.T], axis=1)
+        held = [(i, self.lexicons[w]) for i, w in enumerate(words) if w in self.lexicons]
+        if held:
+            rows, langs = np.array(held).T
+            out[rows] += self.lexicon[langs]
+        return out
 
 
-class Scores(dict):
-    """Row number of a word in a growing table of emission scores."""
+class Scores:
+    """Emission scores of the words met so far; emptied when it holds too many."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
         self.model = model
-        self.table = np.zeros((1024, len(model.languages)), np.float32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.model.languages)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.model.word_scores(word)
-        self[word] = at
-        return at
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > CACHE:
+            self.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, self.model.word_scores(new).astype(np.float32)])
+        return self.table[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))]
 
 
 def label(texts: list[str | None], model: Model, known: Scores) -> tuple[list[list[list[str]]], np.ndarray]:
@@ -130,9 +162,9 @@ def label(texts: list[str | None], model: Model, known: Scores) -> tuple[list[li
     flat = list(chain.from_iterable(found))
     if not flat:
         return found, np.zeros((0, len(model.languages)))
-    rows = np.fromiter((known[w] for part in flat for w in part), np.int64)
     lengths = np.array([len(part) for part in flat], np.int64)
-    return found, forward_backward(known.table[rows], lengths, model.transitions, model.start)[0]
+    scores = known.of(list(chain.from_iterable(flat)))
+    return found, forward_backward(scores, lengths, model.transitions, model.start, counts=False)[0]
 
 
 def fit(docs: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
@@ -163,10 +195,10 @@ def fit(docs: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     share = counts / counts.sum(axis=1, keepdims=True)
     in_lexicon = (counts.sum(axis=1) >= LEXICON_COUNT) & (share.max(axis=1) >= LEXICON_SHARE)
     member = np.where(in_lexicon, counts.argmax(axis=1), size)  # the last row of the padded table is zero
-    found = [word_features(w) for w in types]
-    flat = np.fromiter(chain.from_iterable(found), np.int64)
-    owner = np.repeat(np.arange(len(types)), [len(f) for f in found])
-    offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])[:-1]])
+    owner, flat = word_features(types)
+    order = np.argsort(owner, kind="stable")
+    owner, flat = owner[order], flat[order]
+    offsets = np.searchsorted(owner, np.arange(len(types)))
     slots, inner = np.unique(flat, return_inverse=True)
     params = [np.zeros((len(slots), size)), np.zeros((size, size)), np.zeros(size), np.zeros((size, size))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -235,10 +267,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         if own is None:
             return pd.DataFrame({"lang_pred": [NONE] * len(texts), "score": [0.0] * len(texts)})
         langs, scores = [], []
-        known = Scores(own)
+        known = own.known = own.known or Scores(own)  # lives as long as the worker
         for i in range(0, len(texts), 512):
-            if len(known) > CACHE:
-                known = Scores(own)
             found, probabilities = label(list(texts[i:i + 512]), own, known)
             at = 0
             for parts in found:
