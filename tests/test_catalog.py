@@ -10,6 +10,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracles import rows_of
+from threadlab.catalog.queries import QUERIES
 
 CHECKED = [name for name in queries() if name in oracle_sql()]
 
@@ -33,7 +34,7 @@ def test_query_matches_sql(spark, sf, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"text_features", "train_history", "topic_workflow", "cv_fold_metrics"}
+    assert set(QUERIES) - set(oracle_sql()) == {"text_features", "train_history", "topic_workflow", "cv_fold_metrics"}
 
 
 def test_entry(spark):
