@@ -47,11 +47,13 @@ def candidates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) ->
 
     ``origin`` is the smallest leaf of the whole document: copies of one document share it.
     """
-    each = docs.select(
+    parsed = docs.select(
         "doc_id",
         text_key("text").alias("text_key"),
         F.transform(_lines(F.col("text")), lambda s: F.struct(leaf(s, depth).alias("leaf"), s.alias("line"))).alias("l"),
-    ).withColumn("origin", F.array_min(F.transform("l", lambda x: x["leaf"])))
+    )
+    # Written once: both readers below, and the filter Spark puts before an explode, would parse again.
+    each = materialise(parsed.withColumn("origin", F.array_min("l.leaf")), "document-lines")
     leaves = materialise(
         each.select(F.explode("l.leaf").alias("leaf"))
         .groupBy("leaf").agg(F.count("*").alias("n_leaf")).where(F.col("n_leaf") >= min_docs),
