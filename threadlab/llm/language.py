@@ -244,12 +244,17 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     not held out, ``sample`` in all; rows without id, text or language are left out. None without
     any such row."""
     usable = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out())
-    total = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    rows = (
-        usable.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("draw"))
-        .join(total, "lang")
+    drawn = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("draw"))
+    total = drawn.groupBy("lang").agg(F.count("*").alias("n"))
+    picked = (
+        drawn.distinct().join(total, "lang")
         .where(F.col("draw") * F.col("n") <= per_language * 1_000_000.0)
-        .orderBy("draw", "doc_id", "text").limit(sample)
+        .orderBy("draw", "doc_id", "lang").limit(sample)
+    )
+    rows = (  # texts are not shuffled: only those of the picked ids leave the scan
+        usable.select("doc_id", "lang", "text")
+        .join(F.broadcast(picked.select("doc_id", "lang", "draw")), ["doc_id", "lang"])  # ``sample`` rows at most
+        .orderBy("draw", "doc_id", "lang", "text").limit(sample)
         .select("lang", "text").collect()
     )
     return fit([(r.lang, r.text) for r in rows]) if rows else None
