@@ -174,9 +174,9 @@ def test_links(spark):
     df = spark.createDataFrame(
         [("https://www.host.com/r/pics/comments/1gcle2b/a_title/", None, "pics", None),
          ("http://host.com/r/x/comments/4w/t/", "4w", "y", "t"), ("nonsense", "1", "s", "t")],
-        "link string, id string, subreddit string, title string",
+        "link string, post_id string, subreddit string, title string",
     )
-    got = [tuple(r) for r in threads.fill_from_links(df).select("id", "subreddit", "title", "link_ok").collect()]
+    got = [tuple(r) for r in threads.fill_from_links(df).select("post_id", "subreddit", "title", "link_ok").collect()]
     assert got == [("1gcle2b", "pics", "a_title", True), ("4w", "y", "t", False), ("1", "s", "t", True)]
 
 

@@ -54,7 +54,6 @@ def map_labels(
     mapping: Mapping[str, str] | DataFrame,
     column: str = "pred_label",
     out: str = "pred_label_mapped",
-    salt_by: Sequence[str] = ("id",),
 ) -> DataFrame:
     """Replace labels found in ``mapping``; the others pass through unchanged.
 
@@ -63,7 +62,7 @@ def map_labels(
     """
     if isinstance(mapping, DataFrame):
         table = mapping.select(F.col("label").alias(column), F.col("mapped").alias("_mapped"))
-        joined = lookup_join(df, table, [column], salt_by=salt_by)
+        joined = lookup_join(df, table, [column])
         return joined.withColumn(out, F.coalesce("_mapped", column)).select(
             *[c for c in df.columns if c != out], out
         )
@@ -95,10 +94,9 @@ def encode_labels(
     classes: DataFrame,
     label: str = "label",
     group: Sequence[str] = (),
-    salt_by: Sequence[str] = ("id",),
 ) -> DataFrame:
     """Add ``label_id``; a label outside ``classes`` is an error, as it would be at training."""
-    known = lookup_join(df, classes, [*group, label], salt_by=salt_by)
+    known = lookup_join(df, classes, [*group, label])
     problem = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("null"))))
     return known.withColumn(
         "label_id", F.when(F.col("label_id").isNull(), problem.cast("int")).otherwise(F.col("label_id"))

@@ -10,71 +10,10 @@ from pyspark.sql import functions as F
 
 from threadlab.session import materialise
 
-# A key with more rows than this is spread over several tasks.
+# A group with more rows than this is not sorted by one task.
 HOT_ROWS = 1_000_000
-# Most keys ever treated as hot; rarer ones are left to the ordinary shuffle.
-MAX_HOT_KEYS = 4_096
-# Items each frequent-item sketch tracks, and the number of sketches merged per block.
-SKETCH_ITEMS = 10_000
-SKETCH_BLOCKS = 512
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(hash, n)`` of the keys estimated above ``hot_rows`` rows, MAX_HOT_KEYS at most.
-
-    One pass with frequent-item sketches, no shuffle by key.  The estimate only decides how
-    rows are spread, never which rows are kept, so its error cannot change a result.
-    """
-    sketch = F.expr(f"approx_top_k(_h, {MAX_HOT_KEYS}, {SKETCH_ITEMS})")
-    blocks = (
-        df.select(F.xxhash64(*keys).alias("_h"), (F.spark_partition_id() % SKETCH_BLOCKS).alias("_b"))
-        .groupBy("_b")
-        .agg(sketch.alias("_top"))
-    )
-    # A share this small in every block cannot add up to a hot key.
-    worth = F.col("count") > hot_rows // (2 * SKETCH_BLOCKS)
-    return (
-        blocks.select(F.inline("_top").alias("hash", "count"))
-        .filter(worth)
-        .groupBy("hash")
-        .agg(F.sum("count").alias("n"))
-        .filter(F.col("n") > hot_rows)
-        .orderBy(F.desc("n"), "hash")
-        .limit(MAX_HOT_KEYS)
-    )
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    *,
-    salt_by: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    left_rows: int | None = None,
-) -> DataFrame:
-    """Equi-join a side with possibly hot keys to a side unique on ``on``.
-
-    Left rows of a hot key are dealt to about ``n / hot_rows`` salts by a hash of ``salt_by``;
-    the one matching right row is repeated once per salt.  The repeats add up to at most
-    ``rows(left) / hot_rows`` rows.  Other keys keep one salt.  A caller that knows ``left_rows``
-    spares small inputs the look for hot keys.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("inner or left")
-    if left_rows is not None and left_rows <= hot_rows:
-        return left.join(right, list(on), how)
-    entry = F.struct("hash", F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("salts"))
-    hot = (
-        hot_keys(left, on, hot_rows)
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-        .scalar()
-    )
-    salts = F.coalesce(F.try_element_at(hot, F.xxhash64(*on)), F.lit(1))
-    dealt = left.withColumn("_salt", F.pmod(F.hash(*salt_by), salts))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+# Most groups named one by one as large; beyond it all rows are ranked the way large groups are.
+MAX_NAMED = 1_000
 
 
 def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame | None:
@@ -88,19 +27,13 @@ def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame | None:
     return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
 
 
-def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    *,
-    salt_by: Sequence[str],
-    max_rows: int = 10_000,
-) -> DataFrame:
-    """Left join to a lookup table unique on ``on``: broadcast if small, salted otherwise."""
+def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], max_rows: int = 10_000) -> DataFrame:
+    """Left join to a lookup table unique on ``on``: broadcast if proven small, else left to Spark.
+
+    A plain join on a key with very many rows is split by adaptive execution.
+    """
     small = checked_broadcast(table, max_rows)
-    if small is not None:
-        return rows.join(small, list(on), "left")
-    return skew_join(rows, table, on, "left", salt_by=salt_by)
+    return rows.join(table if small is None else small, list(on), "left")
 
 
 def rank_in_groups(
@@ -111,22 +44,25 @@ def rank_in_groups(
     hot_rows: int = HOT_ROWS,
     rows: int | None = None,
 ) -> DataFrame:
-    """0-based position of each row in its group; no group is sorted by one task alone.
-
-    Ordinary groups use one window.  Rows of hot groups are range-partitioned on
-    (group, order) and written with a running row id; a group that spans partitions gets its
-    offset from the row counts of the partitions before.  That offset table has at most one row
-    per partition plus one per hot group.  ``order`` must be unique within the group, and
-    ``df`` cheap to read more than once.  ``rows`` is the row count of ``df``, if known.
+    """0-based position of each row in its group; no large group is sorted by one task alone.
+
+    Group sizes are counted, partially before the shuffle. Groups of at most ``hot_rows`` rows use one
+    window. Rows of larger ones are range-partitioned on (group, order) and written with a running row
+    id; a group that spans partitions gets its offset from the row counts of the partitions before.
+    That offset table has at most one row per partition plus one per group. With more than
+    ``MAX_NAMED`` large groups all rows go that way. ``order`` must be unique within the group, and
+    ``df`` cheap to read more than once. ``rows`` is the row count of ``df``, if known.
     """
-    may_be_hot = rows is None or rows > hot_rows
-    hashes = [r["hash"] for r in hot_keys(df, group, hot_rows).collect()] if may_be_hot else []
     window = W.partitionBy(*group).orderBy(*order)
+    by_window = (F.row_number().over(window) - 1).cast("long")
+    if rows is not None and rows <= hot_rows:
+        return df.withColumn(out, by_window)
+    large = df.groupBy(*group).count().filter(F.col("count") > hot_rows).select(F.xxhash64(*group).alias("h"))
+    hashes = [r["h"] for r in large.limit(MAX_NAMED + 1).collect()]
     if not hashes:
-        return df.withColumn(out, (F.row_number().over(window) - 1).cast("long"))
-
-    is_hot = F.xxhash64(*group).isin(hashes)
-    plain = df.filter(~is_hot).withColumn(out, (F.row_number().over(window) - 1).cast("long"))
+        return df.withColumn(out, by_window)
+    is_hot = F.xxhash64(*group).isin(hashes) if len(hashes) <= MAX_NAMED else F.lit(True)
+    plain = df.filter(~is_hot).withColumn(out, by_window)
 
     hot = df.filter(is_hot)
     spark = df.sparkSession
@@ -148,7 +84,7 @@ def rank_in_groups(
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
     placed = (
-        sorted_rows.join(F.broadcast(offsets), [*group, "_part"])
+        sorted_rows.join(offsets, [*group, "_part"])
         .withColumn(out, F.col("_row") + F.col("_shift"))
         .select(*df.columns, out)
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlab.functions.text import bare_id, epoch_to_iso
-from threadlab.operators.skew import HOT_ROWS, rank_in_groups, skew_join
+from threadlab.operators.skew import HOT_ROWS, rank_in_groups
 from threadlab.session import materialise
 
 # Kind prefix of a parent that is a comment; text written for an unknown author.
@@ -38,17 +38,18 @@ def resolve_links(posts: DataFrame, link: str = "link", pattern: str = LINK_PATT
     )
 
 
-def fill_from_links(posts: DataFrame) -> DataFrame:
-    """Fill missing id/subreddit/title from the link; ``link_ok`` is false where they disagree."""
-    resolved = resolve_links(posts)
+def fill_from_links(posts: DataFrame, pattern: str = LINK_PATTERN) -> DataFrame:
+    """Fill missing post_id/subreddit/title from the link; ``link_ok`` is false where they disagree.
+
+    Takes what ``readers.read_posts`` returns.
+    """
+    resolved = resolve_links(posts, pattern=pattern)
+    parts = {"subreddit": "link_subreddit", "post_id": "link_id", "title": "link_title"}
     agrees = reduce(
         lambda a, b: a & b,
-        [
-            F.coalesce(F.col(c) == F.col(f"link_{c}"), F.lit(True))
-            for c in ("subreddit", "id", "title")
-        ],
+        [F.coalesce(F.col(c) == F.col(found), F.lit(True)) for c, found in parts.items()],
     )
-    filled = {c: F.coalesce(c, F.col(f"link_{c}")) for c in ("subreddit", "id", "title")}
+    filled = {c: F.coalesce(c, found) for c, found in parts.items()}
     return (
         resolved.withColumn("link_ok", agrees)
         .withColumns(filled)
@@ -61,10 +62,9 @@ def pending_posts(posts: DataFrame, done: DataFrame) -> DataFrame:
     return posts.join(done.select("post_id").distinct(), "post_id", "left_anti")
 
 
-def comments_of(raw: DataFrame, posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Comments of the listed posts; a post with very many comments is spread over tasks."""
-    listed = posts.select("post_id").distinct()
-    return skew_join(raw, listed, ["post_id"], salt_by=["id"], hot_rows=hot_rows).select(*raw.columns)
+def comments_of(raw: DataFrame, posts: DataFrame) -> DataFrame:
+    """Comments of the listed posts; adaptive execution splits a post with very many comments."""
+    return raw.join(posts.select("post_id").distinct(), "post_id", "left_semi").select(*raw.columns)
 
 
 def _is_reply() -> Column:
@@ -109,15 +109,15 @@ def unique_comments(raw: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def thread_paths(
-    raw: DataFrame, hot_rows: int = HOT_ROWS, max_path: int = MAX_PATH
+    raw: DataFrame, hot_rows: int = HOT_ROWS, max_path: int = MAX_PATH, with_path: bool = True
 ) -> DataFrame:
-    """``(post_id, id, depth, path, reachable)`` for every comment.
+    """``(post_id, id, depth, path, reachable)`` for every comment; ``path`` is empty unless wanted.
 
     ``path`` orders the comments of one depth of a thread: breadth-first order is the order of
     (depth, path, id).  It starts as the sibling order numbers from the top-level ancestor down.
     Computed by pointer doubling: each round joins the unfinished comments to the ancestor they
     point at and doubles the distance, so a thread of depth d takes about log2(d) rounds.  Finished
-    comments are not touched again.  When paths reach ``max_path`` numbers, each is replaced by its
+    comments are not written again, but each round reads them as possible ancestors.  When paths reach ``max_path`` numbers, each is replaced by its
     rank in the thread, which keeps the order and bounds the row.  Comments whose chain of parents
     leaves the dump or loops are kept with ``reachable = false`` and null depth.
     """
@@ -125,7 +125,7 @@ def thread_paths(
         unique_comments(raw, ["parent_fullname"]).select(
             *KEY,
             F.when(_is_reply(), bare_id("parent_fullname")).alias("anc"),
-            F.array("seq").alias("path"),
+            (F.array("seq") if with_path else F.array().cast("array<bigint>")).alias("path"),
             F.lit(1).cast("bigint").alias("levels"),
             F.lit(False).alias("lost"),
         ),
@@ -138,7 +138,7 @@ def thread_paths(
     while left:
         rounds -= 1
         known = reduce(DataFrame.unionByName, finished + [todo])
-        if width >= max_path:
+        if with_path and width >= max_path:
             ranked = rank_in_groups(known, ["post_id"], ["path", "id"], "rank", hot_rows)
             known = materialise(ranked.withColumn("path", F.array("rank")).drop("rank"), "paths")
             finished, todo, width = [known.filter("anc IS NULL")], known.filter("anc IS NOT NULL"), 1
@@ -150,10 +150,8 @@ def thread_paths(
             F.col("levels").alias("up_levels"),
             F.col("lost").alias("up_lost"),
         )
-        joined = skew_join(
-            todo, ancestor, ["post_id", "anc"], "left",
-            salt_by=["id"], hot_rows=hot_rows, left_rows=left,
-        )
+        # An ancestor with very many comments below it is split by adaptive execution.
+        joined = todo.join(ancestor, ["post_id", "anc"], "left")
         lost = F.coalesce("up_lost", F.lit(True))
         state = materialise(
             joined.select(
@@ -182,9 +180,9 @@ def thread_paths(
     )
 
 
-def comment_depth(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def comment_depth(raw: DataFrame) -> DataFrame:
     """Depth per comment, 0 at the top level; null where no top-level ancestor exists."""
-    return thread_paths(raw, hot_rows).select(*KEY, "depth")
+    return thread_paths(raw, with_path=False).select(*KEY, "depth")
 
 
 def bfs_order(raw: DataFrame, hot_rows: int = HOT_ROWS, max_path: int = MAX_PATH) -> DataFrame:
@@ -194,18 +192,18 @@ def bfs_order(raw: DataFrame, hot_rows: int = HOT_ROWS, max_path: int = MAX_PATH
     return ranked.select(*KEY, "depth", "bfs_pos")
 
 
-def orphan_comments(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def orphan_comments(raw: DataFrame) -> DataFrame:
     """Comments that no top-level comment leads to; an intact dump has none."""
-    return thread_paths(raw, hot_rows).filter("NOT reachable").select(*KEY)
+    return thread_paths(raw, with_path=False).filter("NOT reachable").select(*KEY)
 
 
-def reply_edges(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def reply_edges(raw: DataFrame) -> DataFrame:
     """``(post_id, source, target, comment_id)``: who answered whom; self-replies are kept.
 
-    A plain equi-join on the parent: filters run before it, and a parent with very many answers
-    is salted.
+    A plain equi-join on the parent: filters run before it, the unique comments without their texts
+    are written once for both sides, and a parent with very many answers is split by adaptive execution.
     """
-    raw = unique_comments(raw, ["parent_fullname", "author"])
+    raw = materialise(unique_comments(raw, ["parent_fullname", "author"]), "names")
     replies = raw.filter(_is_reply() & F.col("author").isNotNull()).select(
         "post_id",
         bare_id("parent_fullname").alias("parent_id"),
@@ -215,9 +213,7 @@ def reply_edges(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     parents = raw.filter(F.col("author").isNotNull() & (F.col("author") != "")).select(
         "post_id", F.col("id").alias("parent_id"), F.col("author").alias("target")
     )
-    return skew_join(
-        replies, parents, ["post_id", "parent_id"], salt_by=["comment_id"], hot_rows=hot_rows
-    ).select("post_id", "source", "target", "comment_id")
+    return replies.join(parents, ["post_id", "parent_id"]).select("post_id", "source", "target", "comment_id")
 
 
 def distinct_edges(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -229,7 +225,7 @@ def distinct_edges(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "post_id", F.col("id").alias("comment_id"), F.struct("depth", "path", "id").alias("at")
     )
     return (
-        reply_edges(raw, hot_rows)
+        reply_edges(raw)
         .join(order, ["post_id", "comment_id"])
         .groupBy("post_id", "source", "target")
         .agg(F.max_by("comment_id", "at").alias("comment_id"), F.count(F.lit(1)).alias("n_replies"))
@@ -288,7 +284,7 @@ def thread_documents(
     result of ``reply_edges`` if it is at hand.
     """
     order = materialise(bfs_order(raw, hot_rows), "order")
-    edges = reply_edges(raw, hot_rows) if edges is None else edges
+    edges = reply_edges(raw) if edges is None else edges
     edges = edges.select(
         "post_id", F.col("comment_id").alias("id"), "source", "target"
     )

@@ -112,7 +112,7 @@ def prepare_folds(gold: DataFrame, cfg: ExperimentConfig) -> tuple[DataFrame, Da
     )
     group = ["experiment_name"]
     splits.require_min_class_count(rows, cfg.n_splits, cfg.label, group)
-    coded = encode_labels(rows, class_index(rows, cfg.label, group), cfg.label, group, [cfg.id_col])
+    coded = encode_labels(rows, class_index(rows, cfg.label, group), cfg.label, group)
     drawn = splits.stratified_runs(
         coded, cfg.n_splits, cfg.val_size, cfg.seed, cfg.label, cfg.id_col, group
     )
@@ -219,7 +219,7 @@ def run_topic(
     counted = materialise(
         term_frequencies(rows, cfg.text, cfg.train.max_length, cfg.train.n_features), "counted"
     )
-    coded = encode_labels(counted, class_index(counted, cfg.label), cfg.label, salt_by=[cfg.id_col])
+    coded = encode_labels(counted, class_index(counted, cfg.label), cfg.label)
     drawn = materialise(
         splits.train_val_test_split(coded, 0.3, 0.5, cfg.seed, cfg.label, cfg.id_col), "split"
     )
