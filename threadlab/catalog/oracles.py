@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
-from threadlab.catalog.views import FINE_TERMS, FINE_TOPICS, PRIORS, TERMS
-from threadlab.functions.registry import CLASSES, COARSE_LABELS, FINE_LABELS, LABEL_MAP
 from threadlab.functions.text import WHITESPACE
 
 ORACLES: dict[str, str] = {}
 
+# Fixed values, written out here so that a wrong constant of the library shows as a difference.
+CLASSES = ("belief", "fact-check", "other")
+MISINFORMS, CORRECTS, NEUTRAL = COARSE_LABELS = (
+    "spreads misinformation", "corrects misinformation", "provides neutral or unrelated commentary",
+)
+LABEL_MAP = {
+    **dict.fromkeys((MISINFORMS, "outrage", "endorse", "disbelief", "insistence", "criminal"), "belief"),
+    **dict.fromkeys((CORRECTS, "fact-check", "skepticism", "clarification", "photoshop"), "fact-check"),
+    **dict.fromkeys((NEUTRAL, "off-topic", "meta"), "other"),
+}
+TERMS = {
+    MISINFORMS: "trash idiot clown scum worthless moron pathetic loser stupid disgusting".split(),
+    CORRECTS: "thaner oninth atthen ndthble".split(),
+}
+PRIORS = {NEUTRAL: 0.5}
+# Per topic: the candidate labels, and the term that stands for each.
+FINE = {
+    "en": {"outrage": "the", "endorse": "and", "skepticism": "that", "fact-check": "her",
+           "off-topic": "ing", "meta": "not"},
+    "de": {"disbelief": "der", "insistence": "und", "clarification": "die", "skepticism": "ein",
+           "political": "ich", "meta": "nicht"},
+    "fr": {"criminal": "les", "insistence": "que", "clarification": "est", "photoshop": "dans",
+           "political": "une", "meta": "pas"},
+    "es": {"outrage": "los", "endorse": "que", "skepticism": "del", "fact-check": "una",
+           "off-topic": "con", "meta": "por"},
+}
+
 
 def _list(items) -> str:
     return ", ".join("'" + x + "'" for x in items)
@@ -231,6 +256,20 @@ FROM pages"""
 ORACLES["scan_gold"] = f"""
 WITH {DIRTY} SELECT CAST(id AS VARCHAR) AS id, md5(comment) AS comment_md5, topic, label FROM v_dirty"""
 
+ORACLES["filled_posts"] = f"""
+WITH l AS (
+  SELECT page_id, nullif(regexp_extract(url, '{_URL}', 1), '') AS part_0,
+         nullif(regexp_extract(url, '{_URL}', 2), '') AS part_1,
+         nullif(regexp_extract(url, '{_URL}', 3), '') AS part_2,
+         CASE WHEN page_id % 2 = 1 THEN 'g' || page_id END AS given_id,
+         nullif(CASE page_id % 3 WHEN 1 THEN regexp_extract(url, '^https?://([^/?#]+)', 1)
+                                 WHEN 2 THEN 'elsewhere' END, '') AS given_place
+  FROM pages)
+SELECT page_id, coalesce(given_id, part_1) AS post_id, coalesce(given_place, part_0) AS subreddit,
+       part_2 AS title,
+       coalesce(given_id = part_1, true) AND coalesce(given_place = part_0, true) AS link_ok
+FROM l"""
+
 ORACLES["prepare_gold"] = f"""
 WITH {DIRTY}
 SELECT id, md5(comment) AS comment_md5, lower({_strip("topic")}) AS topic, {_label("label")} AS label
@@ -301,16 +340,16 @@ ORACLES["zero_shot_lexicon"] = f"WITH {DIRTY}, " + _zero_shot("v_dirty", _LEXICO
 ORACLES["zero_shot_model"] = f"WITH {DIRTY}, " + _zero_shot("v_dirty", _STUB, "SELECT * FROM labelled")
 
 def _fine(topic: str) -> str:
-    names = FINE_LABELS[FINE_TOPICS[topic]]
+    names = list(FINE[topic])
     scores = [
         f"CAST(len(list_filter(toks, lambda t: t = '{term}')) AS DOUBLE) + {0.5 if i == len(names) - 1 else 0.0}"
-        for i, term in enumerate(FINE_TERMS[topic])
+        for i, term in enumerate(FINE[topic].values())
     ]
     source = f"(SELECT * FROM v_gold WHERE topic = '{topic}')"
     return "SELECT * FROM (WITH " + _zero_shot(source, scores, "SELECT * FROM labelled", names) + ")"
 
 
-ORACLES["zero_shot_topics"] = f"WITH {GOLD} " + " UNION ALL ".join(_fine(t) for t in FINE_TOPICS)
+ORACLES["zero_shot_topics"] = f"WITH {GOLD} " + " UNION ALL ".join(_fine(t) for t in FINE)
 
 ORACLES["label_prototypes"] = """
 WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x
@@ -371,6 +410,14 @@ ORACLES["zero_shot_evaluation"] = f"WITH {GOLD}, " + _zero_shot(
     + f"SELECT {_CLASS_COLUMNS} FROM m",
 )
 
+ORACLES["labelled_results"] = f"WITH {GOLD}, " + _zero_shot("v_gold", _LEXICON, "SELECT * FROM labelled")
+ORACLES["evaluation_outputs"] = f"WITH {GOLD}, " + _zero_shot(
+    "v_gold", _LEXICON,
+    "," + _per_class("labelled", "assigned_label", "pred_label_mapped", ["topic"], True)
+    + ", hits AS (SELECT topic, round(avg(CASE WHEN assigned_label = pred_label_mapped THEN 1.0 ELSE 0.0 END), 6)"
+    + f" AS accuracy FROM labelled GROUP BY topic) SELECT {_CLASS_COLUMNS}, accuracy FROM m JOIN hits USING (topic)",
+)
+
 ORACLES["accuracy"] = f"""
 WITH {PRED}
 SELECT topic, count(*) AS n, count(*) FILTER (WHERE gold = pred) AS correct,
@@ -542,6 +589,35 @@ k AS (SELECT run, label, count(*) FILTER (WHERE fold <> run) AS n,
 {_quota("k", "n", "0.15", "quota", "q", "run")}
 SELECT run, label, quota AS n_train, n - quota AS n_val, n_test FROM q"""
 
+ORACLES["cv_outputs"] = f"""
+WITH {EXPERIMENTS},
+f AS (SELECT experiment_name AS e, label,
+             (row_number() OVER (PARTITION BY experiment_name ORDER BY label, {_KEY}, id) - 1) % 5 + 1 AS fold
+      FROM v_exp WHERE experiment_name IN ('ul_all_topics', 'ul_de', 'ul_en')),
+runs AS (SELECT e || r.run AS run, e, CAST(r.run AS INT) AS n_run, label, fold
+         FROM f, (VALUES (1), (2), (3), (4), (5)) r(run)),
+k AS (SELECT run, e, n_run, label, count(*) FILTER (WHERE fold <> n_run) AS n,
+             count(*) FILTER (WHERE fold = n_run) AS n_test FROM runs GROUP BY ALL),
+{_quota("k", "n", "0.15", "quota", "q", "run")}
+SELECT e AS experiment_name, m.model_key, n_run AS fold, sum(quota) AS n_train, sum(n - quota) AS n_val,
+       sum(n_test) AS n_test,
+       {", ".join(f"sum(n_test) FILTER (WHERE label = '{c}') AS {c.replace('-', '_')}_support" for c in CLASSES)}
+FROM q, (VALUES ('softmax'), ('hidden')) m(model_key) GROUP BY e, m.model_key, n_run"""
+
+ORACLES["workflow_outputs"] = f"""
+WITH {GOLD.replace("v_gold", "v_all")}, v_gold AS (SELECT * FROM v_all WHERE topic = 'en'),
+{_CLASSES}, {_quota("k", "n", "0.3", "train_n", "q")},
+h AS (SELECT *, n - train_n AS held FROM q), {_quota("h", "held", "0.5", "val_n", "w")},
+t AS (SELECT label, held - val_n AS n_test FROM w)
+SELECT 'report' AS output, label AS key, CAST(n_test AS BIGINT) AS value FROM t
+UNION ALL SELECT 'report', x.label, CAST((SELECT sum(n_test) FROM t) AS BIGINT)
+FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) x(label)
+UNION ALL SELECT 'binary_cells', label, CAST(n_test AS BIGINT) FROM t
+UNION ALL SELECT 'history', 'stops_by_rule', 1"""
+
+ORACLES["text_feature_totals"] = f"""
+WITH {GOLD} SELECT id, label, least({_words("coalesce(comment, '')")}, 256) AS tokens FROM v_gold"""
+
 # ---- histories -------------------------------------------------------------------------------
 
 ORACLES["early_stopping"] = f"""

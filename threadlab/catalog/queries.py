@@ -197,6 +197,28 @@ def scan_gold(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.md5("comment").alias("comment_md5"), "topic", "label")
 
 
+@query
+def filled_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """A post list with gaps, written and read back, its gaps filled from the links."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    page = F.col("page_id")
+    nothing = F.lit(None).cast("string")
+    rows = views.table(spark, sf, "pages").select(
+        F.col("url").alias("link"),
+        F.when(page % 2 == 0, nothing).otherwise(F.concat(F.lit("g"), "page_id")).alias("post_id"),
+        F.when(page % 3 == 0, "nan").when(page % 3 == 1, host).otherwise(F.lit("elsewhere")).alias("subreddit"),
+        nothing.alias("title"), nothing.alias("upvotes"), page.cast("string").alias("comments"),
+        nothing.alias("cites"), nothing.alias("notes"), nothing.alias("nodes"), nothing.alias("edges"),
+        F.lit(0.0).alias("time"),
+    )
+    path = scratch_path(spark, "posts")
+    writers.write_posts(rows, path)
+    filled = threads.fill_from_links(
+        readers.read_posts(spark, {"web": path}), r"^https?://([^/?#]+)/([^/?#]+)/([^/?#]+)"
+    )
+    return filled.select(F.col("comments").alias("page_id"), "post_id", "subreddit", "title", "link_ok")
+
+
 @query
 def prepare_gold(spark: SparkSession, sf: str) -> DataFrame:
     ready = labels.prepare_gold(views.gold_dirty(spark, sf), topics=["de", "en", "es"])
@@ -287,6 +309,28 @@ def zero_shot_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(result.per_class)
 
 
+@query
+def labelled_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled gold table written as CSV, line breaks included, and read back."""
+    path = scratch_path(spark, "labelled")
+    writers.write_labelled(_lexicon_labelled(spark, sf), path)
+    back = spark.read.options(**readers.CSV, multiLine=True).csv(path).drop("comment")
+    return _rounded(back.withColumns({"id": F.col("id").cast("bigint"), "pred_score": F.col("pred_score").cast("double")}))
+
+
+@query
+def evaluation_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of an evaluation read back: the class table, with the accuracy of the overall figures."""
+    path = scratch_path(spark, "evaluation")
+    writers.write_evaluation(zero_shot.evaluate(_lexicon_labelled(spark, sf)), path)
+    table = spark.read.options(**readers.CSV).csv(f"{path}/per_class_metrics")
+    numbers = {c: F.col(c).cast("double") for c in ("precision", "recall", "f1")}
+    overall = spark.read.json(f"{path}/overall_metrics").select("topic", "accuracy")
+    return _rounded(
+        table.withColumns({**numbers, "support": F.col("support").cast("bigint")}).join(overall, "topic")
+    )
+
+
 LETTERS = "eao"
 
 
@@ -497,6 +541,15 @@ def text_features(spark: SparkSession, sf: str) -> DataFrame:
 TOPICS = ("de", "en")
 
 
+@query
+def text_feature_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the hashed counts of a document hold."""
+    rows = training.term_frequencies(views.gold(spark, sf), "comment", 256, 1024)
+    counts = training.vector_to_array("tf")
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x).cast("bigint")
+    return rows.select("id", "label", total.alias("tokens"))
+
+
 def _experiment() -> experiments.ExperimentConfig:
     return experiments.ExperimentConfig(topics=TOPICS)
 
@@ -516,3 +569,42 @@ def train_history(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cv_fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(experiments.run_cv(views.gold(spark, sf), _experiment()).fold_metrics)
+
+
+@query
+def workflow_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of a single-topic run read back: class sizes of the test rows, and the stop of training.
+
+    ``stops_by_rule`` is 1 if the history ends where the early-stopping rule says.
+    """
+    config = _experiment()
+    result = experiments.run_topic(views.gold(spark, sf), "en", config)
+    path = scratch_path(spark, "workflow")
+    writers.write_workflow(result, spark, path)
+    report = spark.read.json(f"{path}/classification_report").filter("support IS NOT NULL")
+    cells = spark.read.options(**readers.CSV).csv(f"{path}/binary_confusion_matrices")
+    found = cells.filter(F.col("metric").isin("True Positive", "False Negative"))
+    log = spark.read.json(f"{path}/training_history/json").select("fold", "epoch", "eval_macro_f1")
+    stop = history.early_stopping(log, config.train.patience, ["fold"], "epoch", "eval_macro_f1")
+    last = log.agg(F.max("epoch").alias("last"))
+    parts = [
+        report.select(F.lit("report").alias("output"), F.col("label").alias("key"), F.col("support").cast("bigint").alias("value")),
+        found.groupBy("class").agg(F.sum(F.col("value").cast("bigint"))).select(F.lit("binary_cells"), "*"),
+        stop.join(last, stop.stop_epoch == last["last"]).select(
+            F.lit("history"), F.lit("stops_by_rule"), F.lit(1).cast("bigint")
+        ),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query
+def cv_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of all cross-validation runs read back: split sizes and class sizes of each run."""
+    path = scratch_path(spark, "cv")
+    experiments.run_experiments(views.gold(spark, sf), _experiment(), path)
+    folds = spark.read.options(**readers.CSV).csv(f"{path}/run_ts=*/all_folds_metrics")
+    sizes = ("n_train", "n_val", "n_test", "belief_support", "fact_check_support", "other_support")
+    return folds.select(
+        "experiment_name", "model_key", F.col("fold").cast("int").alias("fold"),
+        *[F.col(c).cast("double").cast("bigint").alias(c) for c in sizes],
+    )

@@ -29,7 +29,7 @@ def first_argmax(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores))
 
 
-def pick_label(labels: list[str], scores: Column) -> Column:
+def pick_label(labels: list[str] | Column, scores: Column) -> Column:
     """Label at the first maximum of an aligned score array."""
-    names = F.array(*[F.lit(name) for name in labels])
+    names = labels if isinstance(labels, Column) else F.array(*[F.lit(name) for name in labels])
     return F.element_at(names, first_argmax(scores).cast("int"))

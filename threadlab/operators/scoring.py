@@ -72,7 +72,7 @@ def model_scorer(load: ModelLoader, n_labels: int) -> Scorer:
 
 def zero_shot(
     df: DataFrame,
-    labels: Sequence[str],
+    labels: Sequence[str] | Column,
     scorer: Scorer,
     mapping: Mapping[str, str],
     text: str = "comment",
@@ -82,8 +82,8 @@ def zero_shot(
     """Add ``pred_label``, ``pred_label_mapped`` and ``pred_score`` (soft-max of the best label).
 
     Comments too short, removed or missing get the default label with score 1 and are not scored.
+    ``labels`` may be an array column, for rows with candidate labels of their own.
     """
-    names = list(labels)
     masked = df.withColumn("_valid", is_valid_comment(text)).withColumn(
         "_input", F.when(F.col("_valid"), F.col(text))
     )
@@ -91,7 +91,7 @@ def zero_shot(
     scores = F.col("_scores")
     labelled = scored.withColumns(
         {
-            "pred_label": F.when(F.col("_valid"), pick_label(names, scores)).otherwise(
+            "pred_label": F.when(F.col("_valid"), pick_label(labels, scores)).otherwise(
                 F.lit(default_label)
             ),
             "pred_score": F.when(F.col("_valid"), F.array_max(softmax(scores))).otherwise(F.lit(1.0)),
@@ -100,6 +100,21 @@ def zero_shot(
     return map_labels(labelled, mapping)
 
 
+def topic_scorer(scorers: Mapping[str, Scorer], topic: str = "topic") -> Scorer:
+    """One scorer of many: each row gets the scores of its topic's scorer, other scorers see it as null."""
+
+    def score(df: DataFrame, text: str, out: str) -> DataFrame:
+        chosen = F.lit(None).cast("array<double>")
+        for i, (name, scorer) in enumerate(scorers.items()):
+            is_own = F.col(topic) == name
+            df = scorer(df.withColumn(f"_own{i}", F.when(is_own, F.col(text))), f"_own{i}", f"_by{i}")
+            chosen = F.when(is_own, F.col(f"_by{i}")).otherwise(chosen)
+        spent = [f"_{kind}{i}" for i in range(len(scorers)) for kind in ("own", "by")]
+        return df.withColumn(out, chosen).drop(*spent)
+
+    return score
+
+
 def explode_scores(df: DataFrame, labels: Sequence[str], scores: str, keys: Sequence[str]) -> DataFrame:
     """Aligned score arrays -> long ``(keys..., label, pos, score)``."""
     names = F.array(*[F.lit(x) for x in labels])

@@ -14,6 +14,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ from threadlab.operators import metrics
 from threadlab.operators.history import should_stop
 
 
+RATES = ("precision", "recall", "f1")
+
+
 @dataclass(frozen=True)
 class TrainConfig:
     max_length: int = 256
@@ -77,35 +81,16 @@ def predict(model: Model, df: DataFrame, classes: Sequence[str], label: str = "l
 
 
 def evaluate(predictions: DataFrame, classes: Sequence[str]) -> dict[str, float]:
-    """Headline and per-class metrics as a dict.
+    """Headline and per-class metrics as a dict, with the names of ``metrics.metric_rows``.
 
-    Spark counts; the driver receives k*k numbers and divides them, with the names and rules of
-    ``metrics.metric_rows`` over the declared classes.
+    Averages run over gold and predicted labels; a declared class that neither has gets zeros.
     """
-    rows = metrics.confusion_counts(predictions, "gold_label", "predicted_label").collect()
-    total = sum(r["n"] for r in rows)
-
-    def share(part: float, whole: float) -> float:
-        return part / whole if whole else 0.0
-
-    out: dict[str, float] = {}
-    f1s, supports, hits = [], [], 0
-    for c in classes:
-        tp = sum(r["n"] for r in rows if r["true_label"] == c == r["pred_label"])
-        support = sum(r["n"] for r in rows if r["true_label"] == c)
-        precision = share(tp, sum(r["n"] for r in rows if r["pred_label"] == c))
-        recall = share(tp, support)
-        f1 = share(2 * precision * recall, precision + recall)
-        values = {"precision": precision, "recall": recall, "f1": f1, "support": float(support)}
-        out.update({f"{c.replace('-', '_').replace(' ', '_')}_{m}": v for m, v in values.items()})
-        f1s.append((precision, recall, f1))
-        supports.append(support)
-        hits += tp
-    for i, m in enumerate(("precision", "recall", "f1")):
-        out[f"macro_{m}"] = sum(x[i] for x in f1s) / len(classes)
-    out["weighted_f1"] = share(sum(x[2] * n for x, n in zip(f1s, supports)), sum(supports))
-    out["accuracy"] = share(hits, total)
-    return out
+    counts = metrics.confusion_counts(predictions, "gold_label", "predicted_label")
+    report = metrics.classification_report(counts, grid="union")
+    found = {r["metric"]: r["value"] for r in metrics.metric_rows(report, []).collect()}
+    names = [f"{c.replace('-', '_').replace(' ', '_')}_{m}" for c in classes for m in (*RATES, "support")]
+    names += [*[f"macro_{m}" for m in RATES], "weighted_f1", "accuracy"]
+    return {**dict.fromkeys(names, 0.0), **found}
 
 
 def _train_epochs(
@@ -133,7 +118,10 @@ def _train_epochs(
 def train_softmax(
     train: DataFrame, val: DataFrame, classes: Sequence[str], cfg: TrainConfig, seed: int, hidden: Sequence[int] = ()
 ) -> Trained:
-    """Soft-max classifier whose every epoch continues from the weights of the one before."""
+    """Soft-max classifier whose every epoch continues from the weights of the one before.
+
+    Weight decay is applied between epochs: each starts from the last weights times ``1 - weight_decay``.
+    """
     layers = [cfg.n_features, *hidden, len(classes)]
 
     def make(weights: object) -> tuple[Model, float, object]:
@@ -142,7 +130,7 @@ def train_softmax(
             seed=seed, blockSize=cfg.block_size,
         )
         if weights is not None:
-            estimator.setInitialWeights(weights)
+            estimator.setInitialWeights(Vectors.dense(weights.toArray() * (1.0 - cfg.weight_decay)))
         model = estimator.fit(train)
         return model, float(model.summary().objectiveHistory[-1]), model.weights
 
@@ -171,13 +159,13 @@ def train_logreg(train: DataFrame, val: DataFrame, classes: Sequence[str], cfg:
     return Trained(model, history, len(history))
 
 
-# Two model families run per experiment by default; any of these keys may be listed.
+# The two families trained by epoch run per experiment by default; any of these keys may be listed.
 MODELS: dict[str, Callable[..., Trained]] = {
     "softmax": train_softmax,
     "logreg": train_logreg,
     "hidden": train_hidden,
 }
-DEFAULT_MODELS = {"softmax": "hashed-tfidf-softmax", "logreg": "hashed-tfidf-logistic"}
+DEFAULT_MODELS = {"softmax": "hashed-tfidf-softmax", "hidden": "hashed-tfidf-hidden"}
 
 
 def timed_count(df: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int, float | None]:

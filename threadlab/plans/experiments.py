@@ -131,35 +131,40 @@ def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
         own = sorted((r["label_id"], r[cfg.label]) for r in class_rows if r["experiment_name"] == name)
         classes[name] = [label for _, label in own]
 
-    def run_fold(experiment: str, model_key: str, fold: int) -> tuple[DataFrame, list, list]:
+    def fit(experiment: str, model_key: str, fold: int, train_x, val_x, test_x) -> tuple[DataFrame, list, list]:
+        names = classes[experiment]
+        trained = MODELS[model_key](train_x, val_x, names, cfg.train, cfg.seed + fold)
+        tagged = predict(trained.model, test_x, names, cfg.label).withColumns(
+            {
+                "fold": F.lit(fold),
+                "model_key": F.lit(model_key),
+                "model_name": F.lit(cfg.models[model_key]),
+                "experiment_name": F.lit(experiment),
+            }
+        ).drop("val_runs")
+        done, _, per_row = timed_count(tagged, lambda df: materialise(df, "predictions"))
+        keys = (experiment, model_key, cfg.models[model_key], fold)
+        lines = [] if per_row is None else [(*keys, "avg_inference_time_sec", per_row)]
+        return done, lines, _history_rows(trained, experiment, model_key, fold)
+
+    def run_fold(experiment: str, fold: int) -> list[tuple[DataFrame, list, list]]:
+        """All models of one run: they share its weighted features."""
         rows = data.filter(F.col("experiment_name") == experiment)
         test = rows.filter(F.col("fold") == fold)
         rest, is_val = rows.filter(F.col("fold") != fold), F.array_contains("val_runs", fold)
         train_x, val_x, test_x = weighted_features(rest.filter(~is_val), rest.filter(is_val), test)
-        # Every epoch reads these again; lost blocks are rebuilt from the written table.
+        # Every epoch of every model reads these again; lost blocks are rebuilt from the written table.
         train_x, val_x = train_x.persist(), val_x.persist()
         try:
-            names = classes[experiment]
-            trained = MODELS[model_key](train_x, val_x, names, cfg.train, cfg.seed + fold)
-            tagged = predict(trained.model, test_x, names, cfg.label).withColumns(
-                {
-                    "fold": F.lit(fold),
-                    "model_key": F.lit(model_key),
-                    "model_name": F.lit(cfg.models[model_key]),
-                    "experiment_name": F.lit(experiment),
-                }
-            ).drop("val_runs")
-            done, _, per_row = timed_count(tagged, lambda df: materialise(df, "predictions"))
+            return [fit(experiment, m, fold, train_x, val_x, test_x) for m in cfg.models]
         finally:
             train_x.unpersist()
             val_x.unpersist()
-        keys = (experiment, model_key, cfg.models[model_key], fold)
-        lines = [] if per_row is None else [(*keys, "avg_inference_time_sec", per_row)]
-        return done, lines, _history_rows(trained, experiment, model_key, fold)
 
-    jobs = [(e, m, f) for e in classes for m in cfg.models for f in range(1, cfg.n_splits + 1)]
+    jobs = [(e, f) for e in classes for f in range(1, cfg.n_splits + 1)]
     with ThreadPoolExecutor(cfg.parallelism) as pool:
-        results = list(pool.map(inheritable_thread_target(spark)(lambda job: run_fold(*job)), jobs))
+        runs = list(pool.map(inheritable_thread_target(spark)(lambda job: run_fold(*job)), jobs))
+    results = [result for run in runs for result in run]
 
     predictions = reduce(DataFrame.unionByName, [r[0] for r in results])
     group = [*KEYS, "fold"]

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlab.functions.registry import COARSE_LABELS, LABEL_MAP, Topic
+from threadlab.functions.registry import COARSE_LABELS, LABEL_MAP, Topic, topics_frame
 from threadlab.operators import metrics
-from threadlab.operators.labels import topic_filter
-from threadlab.operators.scoring import Scorer, zero_shot
+from threadlab.operators.scoring import Scorer, topic_scorer, zero_shot
 
 
 @dataclass
@@ -27,7 +25,7 @@ class Evaluation:
 def label_gold(
     gold: DataFrame,
     scorer: Scorer,
-    labels: Sequence[str] = COARSE_LABELS,
+    labels: Sequence[str] | Column = COARSE_LABELS,
     mapping: Mapping[str, str] = LABEL_MAP,
     label: str = "label",
 ) -> DataFrame:
@@ -41,16 +39,17 @@ def label_gold(
 def label_topics(
     gold: DataFrame, topics: Sequence[Topic], scorers: Mapping[str, Scorer], label: str = "label"
 ) -> DataFrame:
-    """Topics with candidate labels of their own, in one job.
+    """Topics with candidate labels of their own, in one scan.
 
-    ``scorers`` has one scorer per topic name.  Each topic reads only its own rows: the filter is an
-    exact match, which prunes folders where the gold table is partitioned by topic.
+    ``scorers`` has one scorer per topic name. The registry joins as a table, so that candidate labels
+    are a column; rows of topics outside it are left out. The topics share one label map.
     """
-    parts = [
-        label_gold(topic_filter(gold, t.name), scorers[t.name], t.labels, t.label_map, label)
-        for t in topics
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    mapping = topics[0].label_map
+    if any(t.label_map != mapping for t in topics):
+        raise ValueError("topics labelled together share one label map")
+    registry = topics_frame(gold.sparkSession, topics).select("topic", "label_set")
+    by_topic = topic_scorer({t.name: scorers[t.name] for t in topics})
+    return label_gold(gold.join(registry, "topic"), by_topic, F.col("label_set"), mapping, label)
 
 
 def evaluate(

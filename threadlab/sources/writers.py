@@ -82,8 +82,16 @@ def write_evaluation(evaluation, path: str, group: Sequence[str] = ("topic",)) -
     write_json(overall_metrics(evaluation.averages, group), f"{path}/overall_metrics")
 
 
+LABELLED = ("id", "topic", "comment", "assigned_label", "pred_label", "pred_label_mapped", "pred_score")
+
+
+def write_labelled(labelled: DataFrame, path: str) -> None:
+    """The labelled gold rows as CSV."""
+    write_csv(labelled.select(*LABELLED), path)
+
+
 def write_binary_cells(cells: DataFrame, path: str) -> None:
-    """One folder of four counts per class."""
+    """One folder of four counts per class; classes that share a file name share its folder."""
     named = cells.withColumn("class", class_file_name("class"))
     named.write.options(**CSV).partitionBy("class").csv(path)
 
