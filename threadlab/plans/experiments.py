@@ -51,7 +51,7 @@ class ExperimentConfig:
     n_splits: int = 5
     seed: int = 42
     val_size: float = 0.15
-    parallelism: int = 3
+    parallelism: int = 6
     train: TrainConfig = field(default_factory=TrainConfig)
 
     def check(self) -> None:
@@ -163,8 +163,9 @@ def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
 
     jobs = [(e, f) for e in classes for f in range(1, cfg.n_splits + 1)]
     with ThreadPoolExecutor(cfg.parallelism) as pool:
-        runs = list(pool.map(inheritable_thread_target(spark)(lambda job: run_fold(*job)), jobs))
-    results = [result for run in runs for result in run]
+        # Wrapped one by one: a wrapped function hands its one copy of the local properties to every thread.
+        runs = [pool.submit(inheritable_thread_target(spark)(run_fold), *job) for job in jobs]
+        results = [result for run in runs for result in run.result()]
 
     predictions = reduce(DataFrame.unionByName, [r[0] for r in results])
     group = [*KEYS, "fold"]

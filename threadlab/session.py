@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_SCRATCH: dict[str, str] = {}
+_LOCK = threading.Lock()
+_WRITES: dict[str, str | int] = {"open": 0}
 
 
 def get_spark(app: str = "threadlab", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,6 +59,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their query. Threads share the setting: the last one restores it."""
+    with _LOCK:
+        if not _WRITES["open"]:
+            _WRITES["before"] = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        _WRITES["open"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITES["open"] -= 1
+            if not _WRITES["open"]:
+                spark.conf.set(CLEANUP, _WRITES["before"])
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: cuts lineage, survives lost executors.
 
@@ -66,10 +88,6 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffle_cleanup(spark):
         writer.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
