@@ -12,7 +12,9 @@ from __spark_entry__ import entry, oracle_sql, queries
 from check_oracles import rows_of
 from threadlab.catalog.queries import QUERIES
 
-CHECKED = [name for name in queries() if name in oracle_sql()]
+# The smallest tables fail the class guard of the cross-validation; check_oracles.py compares it on larger ones.
+GUARDED = "cv_outputs"
+CHECKED = [name for name in queries() if name in oracle_sql() and name != GUARDED]
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +34,11 @@ def test_query_matches_sql(spark, sf, con, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
+def test_class_guard_on_the_smallest_tables(spark, sf):
+    with pytest.raises(ValueError, match="fewer than 5 rows"):
+        queries()[GUARDED](spark, sf)
+
+
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
     assert set(QUERIES) - set(oracle_sql()) == {"text_features", "train_history", "topic_workflow", "cv_fold_metrics"}

@@ -87,7 +87,8 @@ def evaluate(predictions: DataFrame, classes: Sequence[str]) -> dict[str, float]
     """
     counts = metrics.confusion_counts(predictions, "gold_label", "predicted_label")
     report = metrics.classification_report(counts, grid="union")
-    found = {r["metric"]: r["value"] for r in metrics.metric_rows(report, []).collect()}
+    lines = metrics.metric_rows(report, []).collect()
+    found = {r["metric"]: r["value"] for r in lines if r["value"] is not None}
     names = [f"{c.replace('-', '_').replace(' ', '_')}_{m}" for c in classes for m in (*RATES, "support")]
     names += [*[f"macro_{m}" for m in RATES], "weighted_f1", "accuracy"]
     return {**dict.fromkeys(names, 0.0), **found}
