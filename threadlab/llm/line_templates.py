@@ -18,7 +18,6 @@ DEPTH = 3
 MIN_DOCS = 5
 SHARE = 0.01  # of a leaf's lines, for a token to be constant
 SIMILARITY = 0.6  # of a line's tokens that must be constant
-SPREAD = 0.2  # of a template's documents that must differ as whole documents
 FIELD = "<*>"
 
 
@@ -90,23 +89,19 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_key, dropped): digests of the lines of a document whose template recurs.
 
-    A template recurs if ``min_docs`` documents have it and they are not just copies of a few
-    documents: at least ``min_docs`` of them, and the share ``SPREAD``, differ in ``origin``.
+    A template recurs if at least ``min_docs`` documents that differ in ``origin`` have it, however
+    many copies there are of each: copies neither make a template nor protect one.
     """
     lines = candidates(docs, depth, min_docs)
     known = lines.join(materialise(templates(lines, min_docs), "templates"), ["leaf", "line"])
     rows = materialise(
         known.select("doc_id", "text_key", "origin", "template", F.md5("line").alias("line")), "template-lines"
     )
-    counts = (
-        rows.select("template", "origin", "doc_id", "text_key").distinct()
-        .groupBy("template", "origin").agg(F.count("*").alias("n"))
-        .groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_origins"))
+    common = (
+        rows.select("template", "origin").distinct()
+        .groupBy("template").agg(F.count("*").alias("n_origins")).where(F.col("n_origins") >= min_docs)
+        .select("template")
     )
-    common = counts.where(
-        (F.col("n_docs") >= min_docs) & (F.col("n_origins") >= min_docs)
-        & (F.col("n_origins") >= SPREAD * F.col("n_docs"))
-    ).select("template")
     return (
         rows.join(materialise(common, "recurring-templates"), "template")
         .groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("__dropped"))
