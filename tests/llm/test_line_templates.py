@@ -14,3 +14,14 @@ def test_copies_do_not_protect_a_line(spark):
     rows += [(1000 + i, f"{sentences(2, 'copied')}\n{line}") for i in range(300)]
     got = dropped(spark, rows)
     assert set(got.values()) == {1} and len(got) == 320
+
+
+def test_documents_made_of_templates_only(spark):
+    rows = [(i, f"job {i} was started\ndisk use is {i} percent now\nuser u{i} has logged out") for i in range(40)]
+    assert set(dropped(spark, rows).values()) == {3}
+
+
+def test_origin_does_not_depend_on_the_leaf_of_the_line(spark):
+    lines = [f"{a} {b} {c}" for a in "abcd" for b in "efgh" for c in "ijk"]  # some leaves are below those of the texts
+    rows = [(i, "\n".join([f"q{'r' * i} s t u", *lines])) for i in range(6)]
+    assert set(dropped(spark, rows).values()) == {len(lines)}

@@ -42,31 +42,38 @@ def _lines(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Lines of leaves that enough documents reach: (doc_id, text_key, origin, leaf, line, n_leaf).
+    """Lines of leaves that enough documents reach: (doc_id, text_key, once, leaf, line, n_leaf).
 
-    ``origin`` is the smallest leaf of the whole document: copies of one document share it.
+    ``once`` is true in one row of each distinct text: copies of a document count once.
     """
     parsed = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         text_key("text").alias("text_key"),
         F.transform(_lines(F.col("text")), lambda s: F.struct(leaf(s, depth).alias("leaf"), s.alias("line"))).alias("l"),
     )
-    # Written once: both readers below, and the filter Spark puts before an explode, would parse again.
-    each = materialise(parsed.withColumn("origin", F.array_min("l.leaf")), "document-lines")
+    # Written once: the readers below, and the filter Spark puts before an explode, would parse again.
+    each = materialise(parsed, "document-lines")
+    copied = materialise(
+        each.where(F.size("l") > 0).groupBy("text_key").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+        .where("n > 1").drop("n"),
+        "copied-texts",
+    )
+    counted = each.join(copied, "text_key", "left").withColumn("once", F.coalesce(F.col("row") == F.col("first"), F.lit(True)))
     leaves = materialise(
-        each.select(F.explode("l.leaf").alias("leaf"))
+        counted.where("once").select(F.explode("l.leaf").alias("leaf"))
         .groupBy("leaf").agg(F.count("*").alias("n_leaf")).where(F.col("n_leaf") >= min_docs),
         "leaves",
     )
-    lines = each.select("doc_id", "text_key", "origin", F.explode("l").alias("x")).select(
-        "doc_id", "text_key", "origin", "x.leaf", "x.line"
+    lines = counted.select("doc_id", "text_key", "once", F.explode("l").alias("x")).select(
+        "doc_id", "text_key", "once", "x.leaf", "x.line"
     )
     return materialise(lines.join(leaves, "leaf"), "candidate-lines")
 
 
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Recurring templates among candidate lines: (leaf, line, template), one row per distinct line."""
-    distinct = lines.groupBy("leaf", "line", "n_leaf").agg(F.count("*").alias("n"))
+    distinct = lines.groupBy("leaf", "line", "n_leaf").agg(F.count_if("once").alias("n"))
     tokens = distinct.select("leaf", "n_leaf", "n", F.posexplode(words(F.col("line"))).alias("i", "token"))
     constant = (
         tokens.groupBy("leaf", "n_leaf", "i", "token").agg(F.sum("n").alias("n"))
@@ -89,18 +96,15 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_key, dropped): digests of the lines of a document whose template recurs.
 
-    A template recurs if at least ``min_docs`` documents that differ in ``origin`` have it, however
-    many copies there are of each: copies neither make a template nor protect one.
+    A template recurs if at least ``min_docs`` distinct texts have it, however many copies there
+    are of each: copies neither make a template nor protect one.
     """
     lines = candidates(docs, depth, min_docs)
     known = lines.join(materialise(templates(lines, min_docs), "templates"), ["leaf", "line"])
-    rows = materialise(
-        known.select("doc_id", "text_key", "origin", "template", F.md5("line").alias("line")), "template-lines"
-    )
+    rows = materialise(known.select("doc_id", "text_key", "once", "template", F.md5("line").alias("line")), "template-lines")
     common = (
-        rows.select("template", "origin").distinct()
-        .groupBy("template").agg(F.count("*").alias("n_origins")).where(F.col("n_origins") >= min_docs)
-        .select("template")
+        rows.where("once").select("template", "text_key").distinct()
+        .groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     )
     return (
         rows.join(materialise(common, "recurring-templates"), "template")
