@@ -3,6 +3,8 @@ from __future__ import annotations
 from tests.llm.helpers import sentences, table
 from threadlab.llm import line_templates
 
+LETTERS = str.maketrans("0123456789", "abcdefghij")
+
 
 def dropped(spark, rows):
     return {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(table(spark, rows)).collect()}
@@ -25,3 +27,20 @@ def test_origin_does_not_depend_on_the_leaf_of_the_line(spark):
     lines = [f"{a} {b} {c}" for a in "abcd" for b in "efgh" for c in "ijk"]  # some leaves are below those of the texts
     rows = [(i, "\n".join([f"q{'r' * i} s t u", *lines])) for i in range(6)]
     assert set(dropped(spark, rows).values()) == {len(lines)}
+
+
+def test_constants_do_not_depend_on_how_full_the_leaf_is(spark):
+    rows = [(i, f"{sentences(2, i)}\nRead more about our terms of use") for i in range(20)]
+    rows += [(100 + i, f"Read more about {' '.join(f'{i:04d}{k}'.translate(LETTERS) for k in range(4))}") for i in range(2500)]
+    got = dropped(spark, rows)
+    assert [got[i] for i in range(20)] == [1] * 20 and sum(got.values()) == 20
+
+
+def test_fields_whose_values_recur(spark):
+    rows = [(i, f"{sentences(2, i)}\nPosted on day {i % 19} of month {i % 17} by the team of editor e{i % 23}") for i in range(400)]
+    assert set(dropped(spark, rows).values()) == {1}
+
+
+def test_short_lines_with_fields(spark):
+    rows = [(i, f"{sentences(2, i)}\nviews: {7 * i} likes: {i}\nTotal {i}") for i in range(40)]
+    assert set(dropped(spark, rows).values()) == {1}  # one constant is no template

@@ -2,8 +2,11 @@
 
 A line goes to the leaf named by its token count and its leading tokens, tokens with a digit being
 variable. Inside a leaf a token is constant where enough documents have it at that position, and a
-field otherwise; a line with its fields masked is its template. Lines whose template recurs across
-documents are dropped.
+field otherwise; a line with its fields masked is a template of it. Enough is a number of documents,
+whatever the size of the leaf: every level of ``LEVELS`` gives a line one template with tokens with a
+digit as they are and one with all of them masked. So the template of n documents shows at the last
+level below n, where rarer values of its fields are masked. Lines are dropped if one of their
+templates recurs across documents.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ from threadlab.session import materialise
 
 DEPTH = 3
 MIN_DOCS = 5
-SHARE = 0.01  # of a leaf's lines, for a token to be constant
-SIMILARITY = 0.6  # of a line's tokens that must be constant
+LEVELS = [4**k for k in range(14)]  # times min_docs: documents that make a token constant
+SIMILARITY = 0.6  # of a line's tokens that must be constant; fields with a digit do not count
+CONSTANTS = 2  # tokens that must be constant, in a line that has as many
 FIELD = "<*>"
 
 
@@ -42,7 +46,8 @@ def _lines(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Lines of leaves that enough documents reach: (doc_id, text_key, once, leaf, line, n_leaf).
+    """Lines of leaves that enough documents reach: (doc_id, text_key, once, leaf, name, line),
+    ``name`` being a digest of the line.
 
     ``once`` is true in one row of each distinct text: copies of a document count once.
     """
@@ -62,53 +67,72 @@ def candidates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) ->
     counted = each.join(copied, "text_key", "left").withColumn("once", F.coalesce(F.col("row") == F.col("first"), F.lit(True)))
     leaves = materialise(
         counted.where("once").select(F.explode("l.leaf").alias("leaf"))
-        .groupBy("leaf").agg(F.count("*").alias("n_leaf")).where(F.col("n_leaf") >= min_docs),
+        .groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"),
         "leaves",
     )
     lines = counted.select("doc_id", "text_key", "once", F.explode("l").alias("x")).select(
-        "doc_id", "text_key", "once", "x.leaf", "x.line"
+        "doc_id", "text_key", "once", "x.leaf", F.md5("x.line").alias("name"), "x.line"
     )
     return materialise(lines.join(leaves, "leaf"), "candidate-lines")
 
 
+def _forms(tokens: Column, min_docs: int) -> Column:
+    """Digests of the templates of a line, one for each level and way to mask.
+
+    ``tokens`` are structs (i, token, support, digit) in the order of the line.
+    """
+    def form(level: Column, mask: Column) -> Column:
+        def constant(x: Column) -> Column:
+            return F.coalesce(x["support"] >= level, F.lit(False)) & ~(mask & x["digit"])
+
+        constants = F.size(F.filter(tokens, constant))
+        told = F.size(F.filter(tokens, lambda x: constant(x) | ~x["digit"]))
+        enough = (constants >= F.least(F.lit(CONSTANTS), F.size(tokens))) & (constants >= SIMILARITY * told)
+        masked = F.transform(tokens, lambda x: F.when(constant(x), x["token"]).otherwise(F.lit(FIELD)))
+        return F.when(enough, F.md5(F.array_join(masked, " ")))
+
+    top = F.array_max(F.transform(tokens, lambda x: x["support"]))
+    levels = F.filter(F.array(*[F.lit(min_docs * k).cast("long") for k in LEVELS]), lambda t: t <= top)
+    ways = F.array(F.lit(False), F.lit(True))
+    return F.array_distinct(F.flatten(F.transform(
+        levels, lambda t: F.filter(F.transform(ways, lambda m: form(t, m)), lambda x: x.isNotNull())
+    )))
+
+
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Recurring templates among candidate lines: (leaf, line, template), one row per distinct line."""
-    distinct = lines.groupBy("leaf", "line", "n_leaf").agg(F.count_if("once").alias("n"))
-    tokens = distinct.select("leaf", "n_leaf", "n", F.posexplode(words(F.col("line"))).alias("i", "token"))
-    constant = (
-        tokens.groupBy("leaf", "n_leaf", "i", "token").agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= min_docs) & (F.col("n") >= SHARE * F.col("n_leaf")))
-        .groupBy("leaf").agg(F.collect_set(F.concat_ws(" ", "i", "token")).alias("constant"))
+    """Templates of the candidate lines: (name, template), digests; a distinct line has one or more."""
+    distinct = materialise(
+        lines.groupBy("leaf", "name").agg(F.any_value("line").alias("line"), F.count_if("once").alias("n")),
+        "distinct-lines",
     )
-    masked = distinct.join(materialise(constant, "constant-tokens"), "leaf").withColumn(
-        "tokens",
-        F.transform(
-            words(F.col("line")),
-            lambda t, i: F.when(F.array_contains("constant", F.concat_ws(" ", i, t)), t).otherwise(F.lit(FIELD)),
-        ),
+    tokens = distinct.select("leaf", "name", "n", F.posexplode(words(F.col("line"))).alias("i", "token"))
+    support = materialise(
+        tokens.groupBy("leaf", "i", "token").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs),
+        "token-support",
     )
-    fields = F.size(F.filter("tokens", lambda t: t == FIELD))
-    return masked.where(F.size("tokens") - fields >= SIMILARITY * F.size("tokens")).select(
-        "leaf", "line", F.array_join("tokens", " ").alias("template")
+    placed = F.struct("i", "token", "support", F.col("token").rlike("[0-9]").alias("digit"))
+    whole = tokens.join(support, ["leaf", "i", "token"], "left").groupBy("name").agg(
+        F.sort_array(F.collect_list(placed)).alias("tokens")
     )
+    return whole.select("name", F.explode(_forms(F.col("tokens"), min_docs)).alias("template"))
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, text_key, dropped): digests of the lines of a document whose template recurs.
+    """(doc_id, text_key, dropped): digests of the lines of a document with a recurring template.
 
     A template recurs if at least ``min_docs`` distinct texts have it, however many copies there
     are of each: copies neither make a template nor protect one.
     """
     lines = candidates(docs, depth, min_docs)
-    known = lines.join(materialise(templates(lines, min_docs), "templates"), ["leaf", "line"])
-    rows = materialise(known.select("doc_id", "text_key", "once", "template", F.md5("line").alias("line")), "template-lines")
+    found = materialise(templates(lines, min_docs), "templates")
     common = (
-        rows.where("once").select("template", "text_key").distinct()
+        lines.where("once").select("name", "text_key").join(found, "name").select("template", "text_key").distinct()
         .groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     )
+    names = found.join(materialise(common, "recurring-templates"), "template").select("name").distinct()
     return (
-        rows.join(materialise(common, "recurring-templates"), "template")
-        .groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("__dropped"))
+        lines.select("doc_id", "text_key", "name").join(materialise(names, "recurring-lines"), "name")
+        .groupBy("doc_id", "text_key").agg(F.collect_set("name").alias("__dropped"))
     )
 
 
