@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlab.llm import (
-    chat, decontamination, language, line_templates, ordinal, packing, rules, sentence_spans, simhash, suffixes,
+    bpe, chat, decontamination, language, line_templates, ordinal, packing, resampling, rules, sentence_spans, simhash,
+    suffixes, whitening,
 )
 from threadlab.llm.common import read
 
@@ -78,3 +79,27 @@ def op9_simhash_balls(spark: SparkSession, sf: str) -> DataFrame:
 def op10_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = sentence_spans.drop_repeated(read(spark, sf, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_sentences", "n_removed", "text")
+
+
+@query
+def op11_speculative_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), path)
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_exact_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    # The exact sum of squares outgrows a long on some 10^8 vectors; the operator's own column is wider.
+    return whitening.whiten(read(spark, sf, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query
+def op13_bit_sliced_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    scored = resampling.resample(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
