@@ -8,6 +8,7 @@ import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_SCRATCH: dict[str, str] = {}
 _LOCK = threading.Lock()
 _WRITES: dict[str, str | int] = {"open": 0}
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def get_spark(app: str = "threadlab", master: str | None = None, **conf: str) -> SparkSession:
@@ -90,4 +92,19 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     with _shuffle_cleanup(spark):
         writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``table``.
+
+    Only for a table whose every reader has been written itself: a task that runs again after its
+    executor was lost reads its input again.
+    """
+    path = _FOLDERS.pop(table, None)
+    if path:
+        context = table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
