@@ -19,18 +19,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlab.llm.common import text_key
-from threadlab.session import materialise
+from threadlab.session import discard, materialise
 
 LENGTH = 100
 GRAM = 32  # bytes hashed for a window's name
 LONGEST = 512  # windows of a run; longer ones are cut
 SHARD = 400_000  # bytes a suffix array is built over, about
-MERGE = 20_000  # windows that are merged at once, about
-JOINED = 1 << 20  # bytes of documents that are named at once
+MERGE = 2_000  # windows that are merged at once, about
+JOINED = 1 << 17  # bytes of documents that are named at once: arrays that stay in the cache
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,12 +50,17 @@ def names(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
         factor = np.uint64(pow(0x9E3779B97F4A7C15, size, 1 << 64))
         h = h[:-size] * factor + h[size:]
         size *= 2
-    h = hashes = _mixed(h)
-    wide, span = length - gram + 1, 1
+    hashes = _mixed(h)
+    return hashes, _sliding(np.minimum, hashes, length - gram + 1)
+
+
+def _sliding(extreme: np.ufunc, values: np.ndarray, wide: int) -> np.ndarray:
+    """Smallest or largest of every ``wide`` neighbours."""
+    h, span = values, 1
     while 2 * span <= wide:
-        h = np.minimum(h[:-span], h[span:])
+        h = extreme(h[:-span], h[span:])
         span *= 2
-    return hashes, np.minimum(h[:len(h) - (wide - span)], h[wide - span:])
+    return extreme(h[:len(h) - (wide - span)], h[wide - span:])
 
 
 def _places(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +91,12 @@ def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     which, part = _places(np.zeros(len(count), np.int64), -(-count // LONGEST))
     start = first[which] + part * LONGEST
     count = np.minimum(count[which] - part * LONGEST, LONGEST)
-    nth, place = _places(start, count + (length - GRAM))
-    again = np.bincount(nth[hashes[place] == name[start][nth]], minlength=len(start)) > 1
+    # Only strings that name a window can be a run's naming string: a few in a hundred.
+    beyond = np.zeros(length - GRAM, np.uint64)
+    naming = np.flatnonzero(_sliding(np.maximum, np.concatenate([beyond, name, beyond]), length - GRAM + 1) == hashes)
+    low = np.searchsorted(naming, start)
+    nth, place = _places(low, np.searchsorted(naming, start + count + (length - GRAM)) - low)
+    again = np.bincount(nth[hashes[naming[place]] == name[start][nth]], minlength=len(start)) > 1
     who = owner[start]
     return who, start - (ends - sizes)[who], count, name[start].view(np.int64), again
 
@@ -210,44 +219,55 @@ SPAN_ROWS = "doc_id long, text_key long, begin long, stop long"
 WINDOW_ROWS = SPAN_ROWS + ", window binary, none boolean"
 
 
-def _row() -> Column:
-    return F.xxhash64("doc_id", "text_key")
+NAMED_ROWS = "row long, doc_id long, text_key long, names array<long>, places array<long>"
 
 
-def run_names(rows: DataFrame) -> DataFrame:
-    """(row, name) of every run of every text, twice if it may repeat itself."""
+def named_runs(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, text_key, names, places): one row per text long enough, with the names of its runs
+    and where they are: first byte, windows less one in nine bits, whether it may repeat itself in one."""
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers, texts, batch in _portions(batches, 1):
-            who, _, _, name, again = runs(texts)
-            who, name = np.concatenate([who, who[again]]), np.concatenate([name, name[again]])
-            key = batch.column(0).to_numpy(zero_copy_only=False)[np.array(numbers)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[who]), pa.array(name)], names=["row", "name"])
+        for numbers, texts, batch in _portions(batches, 3):
+            who, start, count, name, again = runs(texts)
+            offsets = pa.array(np.searchsorted(who, np.arange(len(texts) + 1)).astype(np.int32))
+            lists = (pa.array(name), pa.array(start << 10 | (count - 1) << 1 | again))
+            keys = batch.select([0, 1, 2]).take(pa.array(numbers))
+            yield pa.RecordBatch.from_arrays(
+                [*keys.columns, *(pa.ListArray.from_arrays(offsets, x) for x in lists)],
+                names=["row", "doc_id", "text_key", "names", "places"],
+            )
+
+    long = rows.where(F.octet_length("text") >= LENGTH).withColumn("row", F.monotonically_increasing_id())
+    return long.select("row", "doc_id", "text_key", "text").mapInArrow(named, NAMED_ROWS)
+
 
-    return rows.select("row", "text").mapInArrow(named, "row long, name long")
+def _exploded(named: DataFrame) -> DataFrame:
+    """(row, name, place): a row per run."""
+    return named.select("row", F.inline(F.arrays_zip("names", "places"))).toDF("row", "name", "place")
 
 
 def suspect_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The runs (``RUN_ROWS``) whose name is in the ``names`` of their row."""
+    """The runs (``RUN_ROWS``) at the ``runs`` (name, place) of their text."""
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers, texts, batch in _portions(batches, 0):
-            who, start, count, name, again = runs(texts)
+        for batch in batches:
             made: list[list] = [[] for _ in RUNS]
-            for i, row in enumerate(numbers):
-                lo, hi = np.searchsorted(who, [i, i + 1])
-                known = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
-                doc, key = batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
-                for k in (np.flatnonzero(np.isin(name[lo:hi], known)) + lo).tolist():
-                    s = int(start[k])
-                    run = texts[i][s:s + int(count[k]) + LENGTH - 1]
-                    values = (int(name[k]), xxhash.xxh3_128_digest(run), doc is None, doc, key, s, bool(again[k]), run)
-                    for column, value in zip(made, values, strict=True):
+            columns = (batch.column(i) for i in range(4))
+            for text, doc, key, found in zip(*columns, strict=True):
+                data, doc, key = text.as_py().encode("utf-8"), doc.as_py(), key.as_py()
+                values = found.values
+                for name, place in zip(values.field(0).to_pylist(), values.field(1).to_pylist(), strict=True):
+                    start = place >> 10
+                    run = data[start:start + ((place >> 1) & 511) + LENGTH]
+                    row = (name, xxhash.xxh3_128_digest(run), doc is None, doc, key, start, bool(place & 1), run)
+                    for column, value in zip(made, row, strict=True):
                         column.append(value)
+                if len(made[0]) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, RUNS, strict=True)], schema=RUNS)
+                    made = [[] for _ in RUNS]
             if made[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(made, RUNS, strict=True)], schema=RUNS
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, RUNS, strict=True)], schema=RUNS)
 
-    return rows.join(wanted, "row").select("text", "doc_id", "text_key", "names").mapInArrow(taken, RUN_ROWS)
+    same = rows.doc_id.eqNullSafe(wanted["__id"]) & (rows.text_key == wanted["__key"])
+    return rows.join(wanted, same).select("text", "doc_id", "text_key", "runs").mapInArrow(taken, RUN_ROWS)
 
 
 def _shard(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
@@ -300,13 +320,21 @@ def repeated_spans(docs: DataFrame, shard: int = SHARD, merge: int = MERGE) -> D
     """(doc_id, text_key, spans): byte ranges to remove, unsorted, for documents that have any."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), "text"
-    ).withColumn("row", _row())
-    each = run_names(rows.where(F.octet_length("text") >= LENGTH))
+    )
+    # Hashed once: counted, joined and cut from this table.
+    named = materialise(named_runs(rows), "named-runs")
+    each = _exploded(named)
     repeated = materialise(
-        each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "repeated-names"
+        each.groupBy("name").agg(F.count("*").alias("n"), F.bit_or(F.col("place").bitwiseAND(1)).alias("again"))
+        .where("n > 1 or again > 0").select("name"),
+        "repeated-names",
     )
-    wanted = each.join(repeated, "name").groupBy("row").agg(F.collect_set("name").alias("names"))
+    suspects = each.join(repeated, "name").groupBy("row").agg(F.collect_list(F.struct("name", "place")).alias("runs"))
+    # Of repeated rows of a text one says where its runs are.
+    texts = named.groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
+    wanted = suspects.join(texts, "row").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "runs")
     found = materialise(suspect_runs(rows, wanted), "suspect-runs")
+    discard(named)
 
     place = F.struct(*PLACE)
     distinct = materialise(
