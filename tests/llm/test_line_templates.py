@@ -25,7 +25,7 @@ def test_documents_made_of_templates_only(spark):
 
 def test_origin_does_not_depend_on_the_leaf_of_the_line(spark):
     lines = [f"{a} {b} {c}" for a in "abcd" for b in "efgh" for c in "ijk"]  # some leaves are below those of the texts
-    rows = [(i, "\n".join([f"q{'r' * i} s t u", *lines])) for i in range(6)]
+    rows = [(i, "\n".join([sentences(12, f"own{i}-{k}") for k in range(8)] + lines)) for i in range(6)]
     assert set(dropped(spark, rows).values()) == {len(lines)}
 
 
@@ -44,3 +44,29 @@ def test_fields_whose_values_recur(spark):
 def test_short_lines_with_fields(spark):
     rows = [(i, f"{sentences(2, i)}\nviews: {7 * i} likes: {i}\nTotal {i}") for i in range(40)]
     assert set(dropped(spark, rows).values()) == {1}  # one constant is no template
+
+
+def test_one_of_a_family_of_near_copies_stays_whole(spark):
+    body = [sentences(1, f"body{k}") for k in range(20)]
+    rows = [(10 + i, "\n".join([*body, sentences(1, f"last{i}")])) for i in range(6)]
+    rows += [(100 + i, "\n".join([*body, sentences(1, f"late{i}")][i % 3:])) for i in range(300)]  # many, not all alike
+    rows += [(500 + i, f"{sentences(9, f'own{i}')}\nAll rights reserved by the owners.") for i in range(20)]
+    rows += [(600, "All rights reserved by the owners."), (601, "\n".join(body[:2]))]
+    for some in (rows[:6], rows):
+        got = {r.doc_id: r for r in line_templates.drop_recurring(table(spark, some)).collect()}
+        whole = [i for i, text in some if got[i].n_dropped == 0 and i < 500]
+        assert 10 in whole and len(whole) <= 4 and got[10].text == rows[0][1]
+        assert all(got[i].n_dropped >= 18 for i, _ in some if i < 500 and i not in whole)
+        assert all(got[i].n_dropped == 1 for i, _ in some if 500 <= i <= 600)
+
+
+def test_families_with_null_ids_and_repeated_rows(spark):
+    body = [sentences(1, f"body{k}") for k in range(9)]
+    rows = [(None, "\n".join([*body, sentences(1, f"last{i}")])) for i in range(6)] * 2
+    got = line_templates.drop_recurring(table(spark, rows)).collect()
+    assert sorted(r.n_dropped for r in got) == [0] * 2 + [9] * 10
+
+
+def test_pages_of_templates_are_no_family(spark):
+    rows = [(i, "\n".join(f"{w} {i} of {k} was seen" for k, w in enumerate("abcdef"))) for i in range(30)]
+    assert set(dropped(spark, rows).values()) == {6}

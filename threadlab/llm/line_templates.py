@@ -6,7 +6,9 @@ field otherwise; a line with its fields masked is a template of it. Enough is a
 whatever the size of the leaf: every level of ``LEVELS`` gives a line one template with tokens with a
 digit as they are and one with all of them masked. So the template of n documents shows at the last
 level below n, where rarer values of its fields are masked. Lines are dropped if one of their
-templates recurs across documents.
+templates recurs across documents. Near copies of one document share nearly all their lines, which
+would go from all of them: of documents that would lose most of their text, the first one of each
+family keeps it.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ MIN_DOCS = 5
 LEVELS = [4**k for k in range(14)]  # times min_docs: documents that make a token constant
 SIMILARITY = 0.6  # of a line's tokens that must be constant; fields with a digit do not count
 CONSTANTS = 2  # tokens that must be constant, in a line that has as many
+MOST = 0.5  # of the characters of a document's lines: more than this makes it one of a family
 FIELD = "<*>"
 
 
@@ -46,8 +49,8 @@ def _lines(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Lines of leaves that enough documents reach: (doc_id, text_key, once, leaf, name, line),
-    ``name`` being a digest of the line.
+    """Lines of leaves that enough documents reach: (doc_id, text_key, once, size, leaf, name, line),
+    ``name`` being a digest of the line and ``size`` the characters of all lines of the document.
 
     ``once`` is true in one row of each distinct text: copies of a document count once.
     """
@@ -70,8 +73,9 @@ def candidates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) ->
         .groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"),
         "leaves",
     )
-    lines = counted.select("doc_id", "text_key", "once", F.explode("l").alias("x")).select(
-        "doc_id", "text_key", "once", "x.leaf", F.md5("x.line").alias("name"), "x.line"
+    size = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"]))
+    lines = counted.select("doc_id", "text_key", "once", size.alias("size"), F.explode("l").alias("x")).select(
+        "doc_id", "text_key", "once", "size", "x.leaf", F.md5("x.line").alias("name"), "x.line"
     )
     return materialise(lines.join(leaves, "leaf"), "candidate-lines")
 
@@ -117,11 +121,12 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return whole.select("name", F.explode(_forms(F.col("tokens"), min_docs)).alias("template"))
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, most: float = MOST) -> DataFrame:
     """(doc_id, text_key, dropped): digests of the lines of a document with a recurring template.
 
     A template recurs if at least ``min_docs`` distinct texts have it, however many copies there
-    are of each: copies neither make a template nor protect one.
+    are of each: copies neither make a template nor protect one. The first document of a family of
+    near copies (``whole_families``) is left out.
     """
     lines = candidates(docs, depth, min_docs)
     found = materialise(templates(lines, min_docs), "templates")
@@ -130,16 +135,43 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
         .groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     )
     names = found.join(materialise(common, "recurring-templates"), "template").select("name").distinct()
+    dropped = materialise(
+        lines.join(materialise(names, "recurring-lines"), "name").groupBy("doc_id", "text_key").agg(
+            F.collect_set("name").alias("__dropped"), F.sum(F.length("line")).alias("lost"), F.max("size").alias("size")
+        ),
+        "dropped-lines",
+    )
+    first = whole_families(dropped, most).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    same = dropped.doc_id.eqNullSafe(first["__id"]) & (dropped.text_key == first["__key"])
+    return dropped.join(first, same, "left_anti").select("doc_id", "text_key", "__dropped")
+
+
+def whole_families(dropped: DataFrame, most: float = MOST) -> DataFrame:
+    """(doc_id, text_key) of the documents that keep their lines: the first of each family.
+
+    A family are different texts that would lose more than ``most`` of the characters of their lines
+    and share the lowest digest, or the lowest one read backwards, of the lines they would lose. So
+    documents of which most is the same are found, however many there are, while pages made of
+    templates with different fields are no family.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    lowest = F.array(
+        F.array_min("__dropped"), F.array_min(F.transform("__dropped", lambda x: F.concat(F.lit("r"), F.reverse(x))))
+    )
     return (
-        lines.select("doc_id", "text_key", "name").join(materialise(names, "recurring-lines"), "name")
-        .groupBy("doc_id", "text_key").agg(F.collect_set("name").alias("__dropped"))
+        dropped.where(F.col("lost") > most * F.col("size"))
+        .select(F.explode(lowest).alias("mark"), "text_key", place.alias("place"))
+        .groupBy("mark")
+        .agg(F.min("place").alias("first"), F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+        .where("a <> b").select("first.doc_id", "first.text_key").distinct()
     )
 
 
 def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` (doc_id, text, ...) without recurring lines; adds ``n_lines`` and ``n_dropped``.
+    """``docs`` (doc_id, text, ...) without recurring lines; adds ``n_lines`` and ``n_dropped``, which
+    replace columns of those names.
 
-    Every row stays; a text of recurring lines only becomes empty, a null text stays null. Lines
+    Of a family of near copies the first document stays whole. Every row stays; a text of recurring lines only becomes empty, a null text stays null. Lines
     without a word are kept. Repeated rows get the same result and count as one document; a null
     id is an id like any other.
     """
