@@ -361,26 +361,27 @@ def test_components(spark):
 # ---- sentences
 
 
-def plain_spans(rows, run=2, least=10):
-    first, out = set(), []
+def plain_spans(rows, run=2, least=10, alone=20):
+    """Every run that is long enough, of any length, and starts earlier."""
+    first, texts = {}, []
     for key, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         pieces = re.findall(sentence_spans.PIECE, text or "")
-        clean = [p.strip(" \t\r\n") for p in pieces]
-        gone = set()
-        for i in range(max(len(clean) - run, 0) + 1 if clean else 0):
-            span = "\n".join(clean[i:i + run])
-            if len(re.split(sentence_spans.BLANK, span)) < least:
-                continue
-            if span in first:
-                gone |= set(range(i, min(i + run, len(clean))))
-            first.add(span)
+        clean, gone = [p.strip(" \t\r\n") for p in pieces], set()
+        sizes = [len(re.split(sentence_spans.BLANK, s)) if s else 0 for s in clean]
+        for i in range(len(clean)):
+            for j in range(i + 1, min(len(clean), i + 12) + 1):  # longer runs are made of these
+                words = sum(sizes[i:j])
+                if (j - i >= run and words >= least) or (j - i == 1 and (words >= alone or len(clean) == 1 and words >= least)):
+                    if first.setdefault(tuple(clean[i:j]), (key, text, i)) != (key, text, i):
+                        gone |= set(range(i, j))
         kept = "".join(p for i, p in enumerate(pieces) if i not in gone)
-        out.append((key, len(pieces), len(gone), text if text is None else kept))
-    return out
+        texts.append((key, len(pieces), len(gone), text if text is None else kept))
+    return texts
 
 
 def test_repeated_sentences(spark):
     rows = [r for r in awkward() if r[0] not in (None, 14)] + [(None, sentences(12, "a"))]
+    rows += [(40, "One sentence of ten words that stands all by itself."), (41, "One sentence of ten words that stands all by itself.")]
     got = sentence_spans.drop_repeated(table(spark, rows)).select("doc_id", "n_sentences", "n_removed", "text")
     assert Counter(map(tuple, got.collect())) == Counter(plain_spans(rows))
     assert sentence_spans.drop_repeated(table(spark)).count() == len(awkward())
