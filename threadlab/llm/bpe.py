@@ -11,9 +11,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-CACHE = 800_000  # distinct chunks whose ids are kept by a worker
+CACHE = 300_000  # distinct chunks whose ids are kept by a worker
 BLOCK = 1 << 20  # bytes of text that are encoded at once
+ROWS = 500  # texts that are decoded at once
 SYMBOLS = 512  # bytes inside a word, then bytes that end one
 LONG = 200  # symbols of a word that is merged by itself
-# What the split pattern of the word vocabularies finds in lower-case ASCII without white space.
-ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+")
-SPACED_WORD = re.compile(ASCII_WORD.pattern + rb"| ")
 SPACE = re.compile(r"\s")
+# Kinds of the characters up to LATIN for the split pattern of the word vocabularies: white space,
+# letters, numbers, others, and those that take the library's way (quotes begin contractions).
+LATIN = 0x250
+BLANK, LETTER, NUMBER, OTHER, ODD = range(5)
+
+
+def _kind(c: str) -> int:
+    if c == " ":
+        return BLANK
+    if c.isspace() and not "\x1c" <= c <= "\x1f" or c == "'" or len(c.lower()) > 1 or ord(c.lower()) >= LATIN:
+        return ODD
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER)
+
+
+KINDS = np.array([*(_kind(chr(c)) for c in range(LATIN)), ODD], np.int8)
 
 
 def byte_chars() -> list[str]:
@@ -72,14 +86,38 @@ class Lookup:
         return out
 
 
-class Tokenizer:
+class Decoder:
+    """What decoding needs of a tokenizer file: the string of each id."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            self.spec = json.load(file)
+        added = {t["content"]: t["id"] for t in self.spec.get("added_tokens", [])}
+        vocab: dict[str, int] = self.spec["model"]["vocab"]
+        self.strings = [""] * (max([*vocab.values(), *added.values()], default=-1) + 1)
+        for token, i in [*vocab.items(), *added.items()]:
+            self.strings[i] = token
+        self.decoder = self.spec.get("decoder")
+        self.to_byte = {c: b for b, c in enumerate(byte_chars())}
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids: with a byte-level decoder their bytes, without one their strings and blanks."""
+        if self.decoder is None:
+            return " ".join(map(self.strings.__getitem__, ids))
+        if self.decoder["type"] != "ByteLevel":
+            raise ValueError(f"no rule for decoder {self.decoder['type']}")
+        known = "".join(map(self.strings.__getitem__, ids))
+        return bytes(self.to_byte[c] for c in known).decode("utf-8", "replace")
+
+
+class Tokenizer(Decoder):
     """A byte-level BPE file of the tokenizers library, with or without a mark for ends of words."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer as Library
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        super().__init__(path)
+        spec = self.__dict__.pop("spec")
         model, library = spec["model"], Library.from_file(path)
         if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
             raise ValueError(f"not a plain BPE file: {path}")
@@ -87,16 +125,11 @@ class Tokenizer:
         self.whole_first = bool(model.get("ignore_merges"))
         end = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
-        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.size = max([*vocab.values(), *added.values()], default=-1) + 1
-        self.strings = [""] * self.size
-        for token, i in [*vocab.items(), *added.items()]:
-            self.strings[i] = token
-        self.added = {token.encode(): i for token, i in added.items()}
+        self.size = len(self.strings)
+        self.added = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", [])}
         self.special = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or b"(?!)")
 
         chars = byte_chars()
-        self.to_byte = {c: b for b, c in enumerate(chars)}
         self.marked = bool(end)
         self.base = np.array([vocab[c] for c in chars] + [vocab[c + end] for c in chars], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -116,10 +149,8 @@ class Tokenizer:
         self.sound = len(np.unique(made)) == n and bool((np.maximum(born[left], born[right]) < np.arange(n)).all())
         self._proper(made)
         self._trie()
-        self.decoder = spec.get("decoder")
-        self.plain_ascii = False
         self.split_on_blanks = self._drops_blanks()
-        self.plain_ascii = self._splits_as_words()
+        self.as_words = self._splits_as_words()
         self.clear()
 
     # ---- speculation
@@ -286,12 +317,14 @@ class Tokenizer:
 
     # ---- words and chunks
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, number of ids of each); ``failed`` counts those that were merged."""
-        sizes = np.array([len(w) for w in words], np.int64)
+    def encode_words(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each) for words of ``sizes`` bytes, none of them empty,
+        end to end; ``failed`` counts those that were merged."""
+        if not len(sizes):
+            return np.zeros(0, np.int64), sizes
         stops = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(words)), sizes)
-        symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        symbols = data.astype(np.int64)
         if self.marked:
             symbols[stops - 1] += 256
         token, size = self.longest(symbols, stops[owner])
@@ -304,22 +337,24 @@ class Tokenizer:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, which = np.unique(token[inner] * self.size + token[inner + 1], return_inverse=True)
         bad = self.clashes(pairs // self.size, pairs % self.size)
-        failed = np.zeros(len(words), bool)
+        failed = np.zeros(len(sizes), bool)
         failed[owner[inner[bad[which]]]] = True
         if not self.sound or self.whole_first:
             failed[:] = True
-        counts = np.bincount(owner, minlength=len(words))
-        self.failed, self.tried = self.failed + int(failed.sum()), self.tried + len(words)
+        counts = np.bincount(owner, minlength=len(sizes))
+        self.failed, self.tried = self.failed + int(failed.sum()), self.tried + len(sizes)
         if not failed.any():
             return token, counts
-        mine = failed[np.repeat(np.arange(len(words)), sizes)]
-        merged, sizes = self.merge_all(self.base[symbols[mine]], sizes[failed])
+        mine = failed[np.repeat(np.arange(len(sizes)), sizes)]
+        merged, made = self.merge_all(self.base[symbols[mine]], sizes[failed])
         if self.whole_first:
-            merged, sizes = self._whole([w for w, f in zip(words, failed, strict=True) if f], merged, sizes)
+            begin = stops - sizes
+            words = [data[i:j].tobytes() for i, j in zip(begin[failed].tolist(), stops[failed].tolist(), strict=True)]
+            merged, made = self._whole(words, merged, made)
         # Both kinds in the order of words.
-        owners = np.concatenate([owner[~failed[owner]], np.repeat(np.flatnonzero(failed), sizes)])
+        owners = np.concatenate([owner[~failed[owner]], np.repeat(np.flatnonzero(failed), made)])
         order = np.argsort(owners, kind="stable")
-        return np.concatenate([token[~failed[owner]], merged])[order], np.bincount(owners, minlength=len(words))
+        return np.concatenate([token[~failed[owner]], merged])[order], np.bincount(owners, minlength=len(sizes))
 
     def _whole(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words that are tokens as they stand, where the file says that those come first."""
@@ -344,109 +379,129 @@ class Tokenizer:
                 at = found.end()
         return out
 
-    def split(self, chunks: list[bytes]) -> tuple[list[bytes | int], list[int]]:
-        """(words of all chunks, chunk number of each), in any order of chunks.
+    def split_latin(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all words, size of each, its chunk, chunks left over) for chunks without white space.
 
-        Chunks without white space are split together, blanks between them, which no word holds.
+        All chunks are lowered and split at once, by where the kind of their characters changes; those
+        with a character that is odd or beyond Latin, or with a special token, are left over.
         """
-        words: list[bytes | int] = []
-        owners: list[int] = []
-        plain, other, rest = [], [], []
-        for k, chunk in enumerate(chunks):
-            if not self.plain_ascii or self.special.search(chunk):
-                rest.append(k)
-            elif chunk.isascii():
-                plain.append(k)
-            else:
-                (rest if SPACE.search(chunk.decode("utf-8")) else other).append(k)
-        found = SPACED_WORD.findall(b" ".join(chunks[k] for k in plain).lower())
-        nth = np.cumsum(np.fromiter((w == b" " for w in found), bool, len(found)))
-        words += found
-        owners += np.where([w == b" " for w in found], -1, np.array([*plain, 0])[nth]).tolist() if found else []
-        joined = b" ".join(chunks[k] for k in other).decode("utf-8")
-        joined = self.normalizer.normalize_str(joined) if self.normalizer and joined else joined
-        blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
-        pieces = self.splitter.pre_tokenize_str(joined) if joined else []
-        to_byte = self.to_byte
-        words += [bytes([to_byte[c] for c in piece]) for piece, _ in pieces]
-        nth = np.searchsorted(blanks, np.fromiter((at for _, (at, _) in pieces), np.int64, len(pieces)))
-        owners += np.array([*other, 0])[nth].tolist()
-        for k in rest:
-            own = self.words_of(chunks[k])
-            words += own
-            owners += [k] * len(own)
-        return words, owners
+        if not self.as_words:
+            return (*(np.zeros(0, np.int64) for _ in range(3)), np.arange(len(chunks)))
+        text = b" ".join(chunks).decode("utf-8")
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kinds = KINDS[np.minimum(points, LATIN)]
+        blank = kinds == BLANK
+        chunk = np.cumsum(blank)
+        odd = kinds == ODD
+        odd[:-1] |= (points[:-1] == ord("<")) & (points[1:] == ord("|"))
+        left = np.zeros(len(chunks), bool)
+        left[chunk[odd]] = True
+        if left.any():  # again without them: what is left changes its length in no way
+            kept = np.flatnonzero(~left)
+            if len(kept) == len(chunks) or not len(kept):
+                return (*(np.zeros(0, np.int64) for _ in range(3)), np.flatnonzero(left))
+            data, sizes, owner, _ = self.split_latin([chunks[k] for k in kept.tolist()])
+            return data, sizes, kept[owner], np.flatnonzero(left)
+        low = text.lower()
+        points = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+        data = np.frombuffer(low.encode("utf-8"), np.uint8)
+        first = np.ones(len(kinds), bool)
+        first[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == NUMBER)
+        begin = np.flatnonzero(first & ~blank)
+        place = np.cumsum(np.where(points < 128, 1, 2)) - np.where(points < 128, 1, 2)
+        inside = np.flatnonzero(data != 32)  # a blank's byte is in no other character
+        word_of_byte = np.cumsum(np.bincount(place[begin], minlength=len(data)))[inside] - 1
+        return data[inside], np.bincount(word_of_byte, minlength=len(begin)), chunk[begin], np.zeros(0, np.int64)
 
     def _drops_blanks(self) -> bool:
         """Whether no word reaches over white space, so that a text can be cut there."""
         return self.words_of(b" one two\n\n three\t") == [b"one", b"two", b"three"]
 
     def _splits_as_words(self) -> bool:
-        """Whether the file splits ASCII the way ``ASCII_WORD`` does."""
-        tests = [bytes(p) for p in [*([c] for c in range(33, 127)), *([a, b] for a in range(33, 127) for b in b"a1.'")]]
-        tests += [b"it's", b"we'll''d", b"a1b22..x", b"'re've", b"\x01\x02a\x1c\x1d\x7f"]
-        tests = [t for t in tests if self.special.search(t) is None]
-        return self.split_on_blanks and all(self.words_of(t) == ASCII_WORD.findall(t.lower()) for t in tests)
+        """Whether the file splits Latin text by kind of character, in lower case."""
+        self.as_words = self.split_on_blanks
+        letters = [chr(c) for c in range(33, LATIN)]
+        tests = [t.encode() for t in [*letters, *(f"{c}a{c}{c}1{c}.{c}" for c in letters), "we'll", "a1b22..x", "\x01\x02a\x1c\x7f"]]
+        data, sizes, chunk, left = self.split_latin(tests)
+        stops = np.cumsum(sizes)
+        words: list[list[bytes]] = [[] for _ in tests]
+        for stop, size, k in zip(stops.tolist(), sizes.tolist(), chunk.tolist(), strict=True):
+            words[k].append(data[stop - size:stop].tobytes())
+        odd = set(left.tolist())
+        return self.split_on_blanks and all(self.words_of(t) == words[k] for k, t in enumerate(tests) if k not in odd)
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.table = np.zeros(1 << 16, np.int32)
         self.bounds = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
         self.failed = self.tried = 0
 
+    def _shrink(self, room: int) -> None:
+        """Keeps the most used chunks, as many as half the table and ``room`` new ones allow."""
+        keep = max(0, min(CACHE // 2, CACHE - room))
+        top = np.sort(np.argsort(-self.uses, kind="stable")[:keep])
+        wanted = set(top[self.uses[top] > 1].tolist())
+        kept = [(c, k) for c, k in self.number.items() if k in wanted]
+        places = np.array([k for _, k in kept], np.int64)
+        start, count = self.bounds[places], np.diff(self.bounds)[places]
+        flat = self.table[_ranges(start, count)]
+        self.table = np.concatenate([flat, np.zeros(1 << 16, np.int32)])
+        self.bounds = np.concatenate([[0], np.cumsum(count)])
+        self.number = {c: i for i, (c, _) in enumerate(kept)}
+        self.uses = self.uses[places] // 2
+
     def _learn(self, chunks: list[bytes]) -> None:
         """Adds the ids of new chunks to the table."""
-        found, owners = self.split(chunks)
-        chunk = np.array(owners, np.int64)
-        order = np.argsort(chunk, kind="stable")
-        order = order[np.searchsorted(chunk[order], 0):]  # without the blanks
-        distinct: dict[bytes | int, int] = {}
-        numbers = (-1 if k < 0 else distinct.setdefault(w, len(distinct)) for w, k in zip(found, owners, strict=True))
-        word, chunk = np.fromiter(numbers, np.int64, len(found))[order], chunk[order]
-        known = list(distinct)
-        added = np.array([isinstance(w, int) for w in known], bool)
-        spelled = [w for w in known if not isinstance(w, int)]
-        ids, sizes = self.encode_words(spelled) if spelled else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        counts = np.ones(len(known), np.int64)
-        counts[~added] = sizes
-        starts = np.zeros(len(known), np.int64)
-        starts[~added] = np.cumsum(sizes) - sizes
-        starts[added] = len(ids) + np.arange(added.sum())
-        ids = np.concatenate([ids, np.array([w for w in known if isinstance(w, int)], np.int64)])
-        flat = ids[_ranges(starts[word], counts[word])]
+        data, sizes, chunk, left = self.split_latin(chunks)
+        slow = [(w, k) for k in left.tolist() for w in self.words_of(chunks[k])]
+        spelled = [(w, k) for w, k in slow if isinstance(w, bytes)]
+        ids, counts = self.encode_words(
+            np.concatenate([data, np.frombuffer(b"".join(w for w, _ in spelled), np.uint8)]).astype(np.uint8),
+            np.concatenate([sizes, np.array([len(w) for w, _ in spelled], np.int64)]),
+        )
+        # Added tokens are words of one id. A chunk's words keep their order: all of them went one way.
+        stops = np.cumsum(counts)
+        known = np.array([w for w, _ in slow if isinstance(w, int)], np.int64)
+        start = np.concatenate([stops - counts, len(ids) + np.arange(len(known))])
+        counts = np.concatenate([counts, np.ones(len(known), np.int64)])
+        ids = np.concatenate([ids, known])
+        chunk = np.concatenate([chunk, np.array([k for _, k in spelled], np.int64), np.array([k for w, k in slow if isinstance(w, int)], np.int64)])
+        nth = np.concatenate([np.arange(len(sizes)), *(
+            np.array([i for i, (w, _) in enumerate(slow) if isinstance(w, kind)], np.int64) for kind in (bytes, int)
+        )])
+        order = np.lexsort([nth, chunk])
+        flat = ids[_ranges(start[order], counts[order])]
         used = int(self.bounds[-1])
         while used + len(flat) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[used:used + len(flat)] = flat
-        sizes = np.bincount(chunk, counts[word], minlength=len(chunks)).astype(np.int64)
+        sizes = np.bincount(chunk, counts, minlength=len(chunks)).astype(np.int64)
         self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks)), strict=True))
         self.bounds = np.concatenate([self.bounds, used + np.cumsum(sizes)])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         parts = [t.split() if self.split_on_blanks else [t] * bool(t) for t in texts]
-        new = set().union(*parts).difference(self.number)
-        if len(self.number) + len(new) > CACHE:
-            self.clear()
-            new = set().union(*parts)
-        if new:
-            self._learn(list(new))
         sizes = np.array([len(p) for p in parts], np.int64)
-        number = map(self.number.__getitem__, chain.from_iterable(parts))
-        chunk = np.fromiter(number, np.int64, int(sizes.sum()))
+        flat = list(chain.from_iterable(parts))
+        chunk = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(chunk < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys([flat[i] for i in unknown]))
+            if len(self.number) + len(new) > CACHE:
+                self._shrink(len(new))
+                unknown = range(len(flat))
+                new = [c for c in dict.fromkeys(flat) if c not in self.number]
+            self._learn(new)
+            chunk[unknown] = np.fromiter((self.number[flat[i]] for i in unknown), np.int64, len(unknown))
+        used = np.bincount(chunk, minlength=len(self.number))
+        used[:len(self.uses)] += self.uses
+        self.uses = used
         start, count = self.bounds[chunk], self.bounds[chunk + 1] - self.bounds[chunk]
         totals = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
         return self.table[_ranges(start, count)], np.diff(totals)
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: with a byte-level decoder their bytes, without one their strings and blanks."""
-        if self.decoder is None:
-            return " ".join(map(self.strings.__getitem__, ids))
-        if self.decoder["type"] != "ByteLevel":
-            raise ValueError(f"no rule for decoder {self.decoder['type']}")
-        known = "".join(map(self.strings.__getitem__, ids))
-        return bytes(self.to_byte[c] for c in known).decode("utf-8", "replace")
-
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """All places of the ranges, one after the other."""
@@ -459,6 +514,13 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    found = Decoder(path)
+    del found.spec
+    return found
+
+
 def _blocks(texts: pa.Array) -> Iterator[list[bytes]]:
     """UTF-8 texts, about ``BLOCK`` bytes at a time; null is empty."""
     block, total = [], 0
@@ -484,13 +546,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = tokenizer(path)
         for batch in batches:
-            flat, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
             for block in _blocks(batch):
                 found, sizes = own.encode(block)
-                flat.append(found)
-                counts.append(sizes)
-            offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(found))
 
     return docs.withColumn(out, ids(F.col(text).cast("string")))
 
@@ -500,8 +559,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
     @F.arrow_udf(StringType())
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = tokenizer(path)
+        own = decoder(path)
         for batch in batches:
-            yield pa.array([own.decode(found.values.to_pylist() if found.is_valid else []) for found in batch], pa.string())
+            for i in range(0, len(batch), ROWS):
+                part = batch.slice(i, ROWS)
+                yield pa.array([own.decode(found.values.to_pylist() if found.is_valid else []) for found in part], pa.string())
 
     return rows.withColumn(out, texts(F.col(ids)))
