@@ -29,7 +29,6 @@ def test_packing_is_a_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     ids = {
         t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for _, t in awkward()
     }
@@ -66,6 +65,22 @@ def test_packing_matches_the_tokenizer_on_the_given_texts(spark, sf):
         assert packing.id_bytes(text, encode, words) == want
 
 
+def test_packing_of_long_blanks_and_special_strings(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer, special = Tokenizer.from_file(TOKENIZER), packing.special_strings(TOKENIZER)
+    encode = packing.encoder(TOKENIZER)
+    words = packing.Words(encode)
+    blanks = ["word" + " " * 2_000_000 + "end", "word" + "\n" * 2_000_000 + "end", "a\n\t" * 400_000, "\t " * 300_000 + "x", "x" * 1_000_000]
+    odd = ["a <|endoftext|> b", "a  <|endoftext|>  b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x<|endoftext|> ", "<|endoftext|", "a <|ENDOFTEXT|>"]
+    for text in odd + blanks:
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing.id_bytes(text, encode, words, special) == want, text[:30]
+    rows = [(i, t) for i, t in enumerate(blanks[:2] + odd)]
+    got = packing.pack(table(spark, rows), TOKENIZER).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
 def test_steps_of_a_block_are_even():
     packer = packing.Packer(packing.TIERS, 0, 4096, 0)
     for i in range(300):

@@ -46,15 +46,34 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def special_strings(path: str) -> regex.Pattern | None:
+    """Matches the special tokens of a tokenizer file, in a group."""
+    with open(path, encoding="utf-8") as file:
+        found = [t["content"] for t in json.load(file).get("added_tokens", [])]
+    return regex.compile("(" + "|".join(regex.escape(t) for t in sorted(found, key=len, reverse=True)) + ")") if found else None
+
+
+def _long_blanks(text: str) -> bool:
+    return len(text) >= LONG_BLANKS and any(m.end() - m.start() >= LONG_BLANKS for m in BLANKS.finditer(text))
+
+
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text by the tokenizer file; strings of special tokens are ordinary text.
+    """Ids of a text by the tokenizer file; strings of special tokens are those tokens.
 
     A plain byte-level BPE whose ids follow its merges is run by tiktoken, which gives the same
-    ids in a quarter of the time; any other file by tokenizers.
+    ids in a quarter of the time; any other file by tokenizers, and so are special tokens and long
+    runs of white space, on which tiktoken's pattern overflows its stack.
     """
+    from tokenizers import Tokenizer
+
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    tokenizer = Tokenizer.from_file(path)
+
+    def slow(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
     plain = (
         model.get("type") == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel"
         and before.get("use_regex", True) and not before.get("add_prefix_space")
@@ -69,12 +88,14 @@ def encoder(path: str) -> Callable[[str], list[int]]:
             import tiktoken
 
             ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if token not in special}
-            return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
+            fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            found = special_strings(path)
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            def encode(text: str) -> list[int]:
+                return slow(text) if _long_blanks(text) or found and found.search(text) else fast(text)
+
+            return encode
+    return slow
 
 
 class Words(dict):
@@ -92,12 +113,19 @@ class Words(dict):
         return ids
 
 
+LONG_BLANKS = 20_000
+BLANKS = regex.compile(r"\s++")
 # The split pattern never joins a blank with what comes before it, unless it is inside white space.
 INSIDE = regex.compile(r"\s (?:\s|\Z)")
 
 
-def id_bytes(text: str, encode: Callable[[str], list[int]], words: Words) -> bytes:
-    """Ids of a text as little-endian 32-bit words."""
+def id_bytes(text: str, encode: Callable[[str], list[int]], words: Words, special: regex.Pattern | None = None) -> bytes:
+    """Ids of a text as little-endian 32-bit words; what lies between special tokens is split by itself."""
+    if special and special.search(text):
+        parts = special.split(text)
+        return b"".join(
+            array("I", encode(part)).tobytes() if k % 2 else id_bytes(part, encode, words) for k, part in enumerate(parts) if part
+        )
     if INSIDE.search(text):
         return array("I", encode(text)).tobytes()
     first, _, rest = text.partition(" ")
@@ -212,20 +240,21 @@ def pack(
     """One row per piece of a document: where it starts, its length and the CRC-32 of its ids, the
     sequence and offset it lies at, that sequence's context tier and step group.
 
-    ``tokenizer`` is a file all executors can open. An end id closes each document, so null and
-    empty texts are one token long. Ties keep the order of reading; repeated rows and null ids are
+    ``tokenizer`` is a file all executors can open. Strings of its special tokens in a text are those
+    tokens. An end id closes each document, so null and empty texts are one token long; texts of any
+    length and kind are cut into as many pieces as they need. Ties keep the order of reading; repeated rows and null ids are
     documents of their own. Sequences are full, but for ``slack`` tokens in the longest tier and
     one sequence per task. Sequence and step numbers hold the task's number in the upper half.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, special = encoder(tokenizer), special_strings(tokenizer)
         words = Words(encode)
         end = array("I", [END_ID]).tobytes()
         packer = Packer(tiers, slack, step_tokens, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(key, id_bytes(body.as_py() or "", encode, words) + end)
+                packer.add(key, id_bytes(body.as_py() or "", encode, words, special) + end)
                 if packer.tokens >= block_tokens:
                     yield from packer.flush()
         yield from packer.flush(last=True)
