@@ -43,7 +43,7 @@ def test_driver_figures_equal_the_report(spark):
 
 def test_weight_decay_shrinks_the_weights(spark, gold):
     def size(decay):
-        cfg = ExperimentConfig(train=TrainConfig(n_features=64, epochs=3, steps_per_epoch=2, weight_decay=decay))
+        cfg = ExperimentConfig(train=TrainConfig(n_features=64, epochs=3, batch_size=8, weight_decay=decay))
         rows = run_topic(gold, "en", cfg).history.filter("key = 'loss' AND epoch = 2").collect()
         return rows[0]["value"]
 
@@ -52,7 +52,7 @@ def test_weight_decay_shrinks_the_weights(spark, gold):
 
 def test_cross_validation(spark, gold, tmp_path):
     cfg = ExperimentConfig(topics=["en"], n_splits=2, train=TINY, models={"softmax": "s", "logreg": "l"})
-    result = run_experiments(gold, cfg, str(tmp_path / "cv"))
+    result = run_experiments(gold, cfg, str(tmp_path / "cv"), "gold.csv")
     folds = result.fold_metrics
     runs = folds.select("experiment_name", "model_key", "fold").distinct()
     assert runs.count() == 2 * 2 * 2
@@ -72,7 +72,11 @@ def test_cross_validation(spark, gold, tmp_path):
     assert all(r["mean"] > 0.8 for r in f1)
     assert result.summary.filter("metric = 'avg_inference_time_sec'").count() == 4
     (out,) = (tmp_path / "cv").glob("run_ts=*")
-    assert spark.read.json(str(tmp_path / "cv" / "run_config")).first().n_splits == 2
+    config = spark.read.json(str(tmp_path / "cv" / "run_config")).first()
+    assert config.n_splits == 2 and config.output_path == str(tmp_path / "cv") and config.data_path == "gold.csv"
+    assert result.totals["rows"] == result.predictions.count() == 2 * 135
+    assert result.totals["errors"] == metrics.misclassified(result.predictions, "gold_label", "predicted_label").count()
+    assert result.totals["seconds"] > 0
     summary = spark.read.option("header", True).csv(str(out / "summary_metrics"))
     assert summary.count() == 4 and "macro_f1_mean" in summary.columns and "macro_f1_std" in summary.columns
 

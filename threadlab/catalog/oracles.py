@@ -593,7 +593,9 @@ ORACLES["cv_outputs"] = f"""
 WITH {EXPERIMENTS},
 f AS (SELECT experiment_name AS e, label,
              (row_number() OVER (PARTITION BY experiment_name ORDER BY label, {_KEY}, id) - 1) % 5 + 1 AS fold
-      FROM v_exp WHERE experiment_name IN ('ul_all_topics', 'ul_de', 'ul_en')),
+      FROM v_exp WHERE experiment_name IN (
+        SELECT experiment_name FROM (SELECT experiment_name, label, count(*) AS n FROM v_exp GROUP BY ALL)
+        GROUP BY experiment_name HAVING min(n) >= 5)),
 runs AS (SELECT e || r.run AS run, e, CAST(r.run AS INT) AS n_run, label, fold
          FROM f, (VALUES (1), (2), (3), (4), (5)) r(run)),
 k AS (SELECT run, e, n_run, label, count(*) FILTER (WHERE fold <> n_run) AS n,

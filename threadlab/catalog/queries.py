@@ -536,11 +536,6 @@ def text_features(spark: SparkSession, sf: str) -> DataFrame:
     return weighted.select("id", "label", F.size(F.filter(size, lambda x: x > 0)).alias("active"))
 
 
-# Pooled, and the topics of the gold view that pass the class guard: es and fr have classes of fewer
-# rows than folds at the small scale.
-TOPICS = ("de", "en")
-
-
 @query
 def text_feature_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the hashed counts of a document hold."""
@@ -551,7 +546,12 @@ def text_feature_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _experiment() -> experiments.ExperimentConfig:
-    return experiments.ExperimentConfig(topics=TOPICS)
+    return experiments.ExperimentConfig(topics=("en",))
+
+
+def _all_experiments(gold: DataFrame) -> experiments.ExperimentConfig:
+    """Pooled, and every topic that the class guard lets through."""
+    return experiments.ExperimentConfig(topics=experiments.topics_with_folds(gold, experiments.ExperimentConfig()))
 
 
 @query
@@ -568,7 +568,8 @@ def train_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cv_fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(experiments.run_cv(views.gold(spark, sf), _experiment()).fold_metrics)
+    gold = views.gold(spark, sf)
+    return _rounded(experiments.run_cv(gold, _all_experiments(gold)).fold_metrics)
 
 
 @query
@@ -601,7 +602,8 @@ def workflow_outputs(spark: SparkSession, sf: str) -> DataFrame:
 def cv_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """The files of all cross-validation runs read back: split sizes and class sizes of each run."""
     path = scratch_path(spark, "cv")
-    experiments.run_experiments(views.gold(spark, sf), _experiment(), path)
+    gold = views.gold(spark, sf)
+    experiments.run_experiments(gold, _all_experiments(gold), path)
     folds = spark.read.options(**readers.CSV).csv(f"{path}/run_ts=*/all_folds_metrics")
     sizes = ("n_train", "n_val", "n_test", "belief_support", "fact_check_support", "other_support")
     return folds.select(

@@ -304,7 +304,9 @@ def binary_cells(one_vs_rest: DataFrame, group: Sequence[str] = ()) -> DataFrame
 
 
 def misclassified(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    return df.filter(~F.col(gold).eqNullSafe(F.col(pred)))
+    """Rows whose prediction is not their true label; rows without a true label are no errors, as they
+    are no part of accuracy."""
+    return df.filter(F.col(gold).isNotNull() & ~F.col(gold).eqNullSafe(F.col(pred)))
 
 
 def error_analysis(

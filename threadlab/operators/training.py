@@ -1,7 +1,6 @@
-"""Text features and classifiers with per-epoch validation.
+"""Settings of training, text features, and the classifier that Spark ML fits in one go.
 
-Spark ML does the numeric work.  The driver only loops over epochs and keeps the best weights
-(features x classes doubles).
+The classifiers trained by epoch are in ``minibatch``.
 """
 
 from __future__ import annotations
@@ -11,31 +10,34 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadlab.functions.text import first_words
 from threadlab.operators import metrics
-from threadlab.operators.history import should_stop
-
 
 RATES = ("precision", "recall", "f1")
 
 
 @dataclass(frozen=True)
 class TrainConfig:
+    """``batch_size`` training rows make a step; ``learning_rate`` falls to zero over all steps of all
+    epochs; ``weight_decay`` is decoupled from the gradient; a task scores ``eval_batch_size`` rows at
+    once. ``steps_per_epoch`` times ``epochs`` are the iterations of models fitted in one go."""
+
     max_length: int = 256
     n_features: int = 1024
     epochs: int = 10
+    learning_rate: float = 0.05
+    batch_size: int = 1024
+    eval_batch_size: int = 2048
     steps_per_epoch: int = 5
     patience: int = 2
     weight_decay: float = 0.01
     best_metric: str = "macro_f1"
-    block_size: int = 128
 
 
 @dataclass
@@ -94,55 +96,6 @@ def evaluate(predictions: DataFrame, classes: Sequence[str]) -> dict[str, float]
     return {**dict.fromkeys(names, 0.0), **found}
 
 
-def _train_epochs(
-    make: Callable[[object], tuple[Model, float, object]],
-    val: DataFrame,
-    classes: Sequence[str],
-    cfg: TrainConfig,
-) -> Trained:
-    """Alternate one epoch of fitting and one validation until the early-stop rule fires."""
-    best: Trained | None = None
-    history: list[dict] = []
-    state = None
-    for epoch in range(1, cfg.epochs + 1):
-        model, loss, state = make(state)
-        scores = evaluate(predict(model, val, classes), classes)
-        history.append({"epoch": epoch, "loss": loss, **{f"eval_{k}": v for k, v in scores.items()}})
-        watched = [h[f"eval_{cfg.best_metric}"] for h in history]
-        if best is None or watched[-1] > max(watched[:-1]):
-            best = Trained(model, history, epoch)
-        if should_stop(watched, cfg.patience):
-            break
-    return best
-
-
-def train_softmax(
-    train: DataFrame, val: DataFrame, classes: Sequence[str], cfg: TrainConfig, seed: int, hidden: Sequence[int] = ()
-) -> Trained:
-    """Soft-max classifier whose every epoch continues from the weights of the one before.
-
-    Weight decay is applied between epochs: each starts from the last weights times ``1 - weight_decay``.
-    """
-    layers = [cfg.n_features, *hidden, len(classes)]
-
-    def make(weights: object) -> tuple[Model, float, object]:
-        estimator = MultilayerPerceptronClassifier(
-            featuresCol="features", labelCol="label_id", layers=layers, maxIter=cfg.steps_per_epoch,
-            seed=seed, blockSize=cfg.block_size,
-        )
-        if weights is not None:
-            estimator.setInitialWeights(Vectors.dense(weights.toArray() * (1.0 - cfg.weight_decay)))
-        model = estimator.fit(train)
-        return model, float(model.summary().objectiveHistory[-1]), model.weights
-
-    return _train_epochs(make, val, classes, cfg)
-
-
-def train_hidden(train: DataFrame, val: DataFrame, classes: Sequence[str], cfg: TrainConfig, seed: int) -> Trained:
-    """As ``train_softmax`` with one hidden layer."""
-    return train_softmax(train, val, classes, cfg, seed, hidden=[16])
-
-
 def train_logreg(train: DataFrame, val: DataFrame, classes: Sequence[str], cfg: TrainConfig, seed: int) -> Trained:
     """Multinomial logistic regression, fitted in one go: Spark's has no warm start.
 
@@ -160,19 +113,31 @@ def train_logreg(train: DataFrame, val: DataFrame, classes: Sequence[str], cfg:
     return Trained(model, history, len(history))
 
 
-# The two families trained by epoch run per experiment by default; any of these keys may be listed.
-MODELS: dict[str, Callable[..., Trained]] = {
-    "softmax": train_softmax,
-    "logreg": train_logreg,
-    "hidden": train_hidden,
-}
+# Hidden layers of the two families trained by epoch, which run per experiment by default; models
+# that Spark ML fits in one go, on request.
+NETWORKS: dict[str, tuple[int, ...]] = {"softmax": (), "hidden": (16,)}
+MODELS: dict[str, Callable[..., Trained]] = {"logreg": train_logreg}
 DEFAULT_MODELS = {"softmax": "hashed-tfidf-softmax", "hidden": "hashed-tfidf-hidden"}
 
 
-def timed_count(df: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int, float | None]:
-    """Write ``df``; returns the written rows, their number and mean seconds per row."""
+def observed_write(
+    predictions: DataFrame, write: Callable[[DataFrame], DataFrame], seconds: str | None = "inference_time_sec"
+) -> tuple[DataFrame, dict[str, float]]:
+    """Write ``predictions``; returns the written rows and what the write itself counted: ``rows``,
+    ``errors`` (rows with a true label that is not the predicted one) and ``seconds`` inside models,
+    null without that column."""
+    seen = Observation()
+    wrong = F.col("gold_label").isNotNull() & ~F.col("gold_label").eqNullSafe(F.col("predicted_label"))
+    spent = F.sum(seconds) if seconds else F.sum(F.lit(None).cast("double"))
+    watched = predictions.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(wrong).alias("errors"), spent.alias("seconds")
+    )
+    return write(watched), seen.get
+
+
+def timed_write(predictions: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, float | None]:
+    """For models whose time cannot be taken apart: the written rows, and the seconds of the write per row."""
     start = time.perf_counter()
-    written = write(df)
+    written, seen = observed_write(predictions, write, None)
     seconds = time.perf_counter() - start
-    n = written.count()
-    return written, n, (seconds / n if n else None)
+    return written, seconds / seen["rows"] if seen["rows"] else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlab.functions.registry import DEFAULT_TOPICS
-from threadlab.operators import metrics, splits
+from threadlab.operators import metrics, minibatch, splits
 from threadlab.operators.labels import (
     class_index,
     encode_labels,
@@ -24,17 +24,19 @@ from threadlab.operators.labels import (
 from threadlab.operators.training import (
     DEFAULT_MODELS,
     MODELS,
+    NETWORKS,
     TrainConfig,
     evaluate,
+    observed_write,
     predict,
     term_frequencies,
-    timed_count,
+    timed_write,
     weighted_features,
 )
 from threadlab.session import materialise
 from threadlab.sources import writers
 
-HISTORY = "experiment_name string, model_key string, fold int, epoch int, key string, value double"
+HISTORY = "experiment_name string, model_key string, fold int, epoch int, step int, key string, value double"
 KEYS = ["experiment_name", "model_key", "model_name"]
 
 
@@ -57,9 +59,12 @@ class ExperimentConfig:
     def check(self) -> None:
         if not self.run_pooled and not self.run_per_topic:
             raise ValueError("set run_pooled, run_per_topic or both")
-        unknown = [m for m in self.models if m not in MODELS]
+        known = {**NETWORKS, **MODELS}
+        unknown = [m for m in self.models if m not in known]
         if unknown:
-            raise ValueError(f"unknown models {unknown}; known: {sorted(MODELS)}")
+            raise ValueError(f"unknown models {unknown}; known: {sorted(known)}")
+        if self.n_splits > 62:
+            raise ValueError("at most 62 folds")
 
 
 @dataclass
@@ -69,41 +74,56 @@ class CVResult:
     report: DataFrame
     summary: DataFrame
     history: DataFrame
+    totals: dict[str, float]  # rows, errors and seconds inside models, counted by the writes of predictions
 
 
-def run_config(spark: SparkSession, cfg: ExperimentConfig) -> DataFrame:
-    """The parameters of a run as one row, nested settings flattened."""
+def run_config(
+    spark: SparkSession, cfg: ExperimentConfig, data_path: str | None = None, output_path: str | None = None
+) -> DataFrame:
+    """The parameters of a run as one row, nested settings flattened, and where its rows come from and go."""
     flat = {k: v for k, v in asdict(cfg).items() if k != "train"}
     flat.update(asdict(cfg.train))
     flat["topics"] = list(cfg.topics)
     flat["models"] = dict(cfg.models)
-    return spark.createDataFrame([flat])
+    row = spark.createDataFrame([flat])
+    return row.withColumns({"data_path": F.lit(data_path).cast("string"), "output_path": F.lit(output_path).cast("string")})
 
 
 def _history_rows(trained, experiment: str, model_key: str, fold: int) -> list[tuple]:
+    """Long lines; figures of a step carry its number, those of an epoch none."""
     return [
-        (experiment, model_key, fold, line["epoch"], k, float(v))
+        (experiment, model_key, fold, line["epoch"], line.get("step"), k, float(v))
         for line in trained.history
         for k, v in line.items()
-        if k != "epoch" and v is not None
+        if k not in ("epoch", "step") and v is not None
     ]
 
 
+def _counted(rows: DataFrame, cfg: ExperimentConfig) -> DataFrame:
+    """Hashed words, as each kind of model wants them."""
+    train = cfg.train
+    out = rows.withColumn("slots", minibatch.hashed_words(cfg.text, train.max_length, train.n_features))
+    if any(m in MODELS for m in cfg.models):
+        out = term_frequencies(out, cfg.text, train.max_length, train.n_features)
+    return out
+
+
+def topics_with_folds(gold: DataFrame, cfg: ExperimentConfig) -> list[str]:
+    """Topics of which every class has a row for each fold, in order of name."""
+    rows = prepare_gold(gold, cfg.text, cfg.topic, cfg.label)
+    counts = rows.groupBy(cfg.topic, cfg.label).count().groupBy(cfg.topic).agg(F.min("count").alias("least"))
+    return [r[0] for r in counts.filter(F.col("least") >= cfg.n_splits).orderBy(cfg.topic).collect()]
+
+
 def prepare_folds(gold: DataFrame, cfg: ExperimentConfig) -> tuple[DataFrame, DataFrame]:
     """Written table of every row's hashed words, label id, experiment, fold and validation runs.
 
-    Text is turned into term counts once, and written.  Folds and the validation rows of all runs
+    Text is turned into hashed words once, and written.  Folds and the validation rows of all runs
     come from one ranking, so that each run later selects its rows by a filter, without a shuffle.
     The second table has the split sizes per experiment and run.
     """
     cfg.check()
-    clean = materialise(
-        term_frequencies(
-            prepare_gold(gold, cfg.text, cfg.topic, cfg.label),
-            cfg.text, cfg.train.max_length, cfg.train.n_features,
-        ),
-        "counted",
-    )
+    clean = materialise(_counted(prepare_gold(gold, cfg.text, cfg.topic, cfg.label), cfg), "counted")
     if cfg.run_per_topic:
         for topic in missing_topics(clean, cfg.topics, cfg.topic):
             warnings.warn(f"no rows for topic {topic!r}", stacklevel=3)
@@ -122,7 +142,8 @@ def prepare_folds(gold: DataFrame, cfg: ExperimentConfig) -> tuple[DataFrame, Da
 
 
 def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
-    """All experiments x models x folds; metrics of all of them in one grouped job at the end."""
+    """All experiments x models x folds: one training for all networks, the other models fitted one by
+    one; metrics of all of them in one grouped job at the end."""
     spark = gold.sparkSession
     data, sizes = prepare_folds(gold, cfg)
     class_rows = data.select("experiment_name", cfg.label, "label_id").distinct().collect()
@@ -131,32 +152,86 @@ def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
         own = sorted((r["label_id"], r[cfg.label]) for r in class_rows if r["experiment_name"] == name)
         classes[name] = [label for _, label in own]
 
-    def fit(experiment: str, model_key: str, fold: int, train_x, val_x, test_x) -> tuple[DataFrame, list, list]:
+    networks, others = _run_networks(data, classes, cfg), _run_others(data, classes, cfg)
+    written = [x for x in (networks, others) if x]
+    predictions = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [w.predictions for w in written])
+    group = [*KEYS, "fold"]
+    counts = metrics.confusion_counts(predictions, "gold_label", "predicted_label", group)
+    report = metrics.classification_report(counts, group, "union")
+    timings = predictions.groupBy(*group).agg(F.avg("inference_time_sec").alias("value")).select(
+        *group, F.lit("avg_inference_time_sec").alias("metric"), "value"
+    )
+    # All models of an experiment share its splits.
+    names = ("n_train", "n_val", "n_test")
+    size_cells = F.array(
+        *[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
+    )
+    size_rows = counts.select(*group).distinct().join(
+        sizes.withColumnRenamed("run", "fold"), ["experiment_name", "fold"]
+    ).select(*group, F.inline(size_cells))
+    scores = metrics.metric_rows(report, group)
+    fold_metrics = materialise(
+        timings.unionByName(size_rows).unionByName(scores), "fold-metrics"
+    )
+    history = spark.createDataFrame([line for w in written for line in w.history], HISTORY)
+    totals = {k: sum(w.totals[k] or 0 for w in written) for k in ("rows", "errors", "seconds")}
+    return CVResult(predictions, fold_metrics, report, metrics.fold_summary(fold_metrics), history, totals)
+
+
+@dataclass
+class _Written:
+    predictions: DataFrame
+    history: list[tuple]
+    totals: dict[str, float]
+
+
+def _named(predictions: DataFrame, cfg: ExperimentConfig) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for pair in cfg.models.items() for x in pair])
+    return predictions.withColumn("model_name", names[F.col("model_key")]).drop("val_runs", "tf")
+
+
+def _run_networks(data: DataFrame, classes: dict[str, list[str]], cfg: ExperimentConfig) -> _Written | None:
+    """All folds of all experiments for all models trained by epoch, in the same scans."""
+    runs = [
+        minibatch.Run(e, m, f, (cfg.train.n_features, *NETWORKS[m], len(names)), cfg.seed + f)
+        for e, names in classes.items() for m in cfg.models if m in NETWORKS for f in range(1, cfg.n_splits + 1)
+    ]
+    if not runs:
+        return None
+    rows = data.withColumn("val_mask", minibatch.fold_mask("val_runs"))
+    fitted = minibatch.train(rows, runs, classes, cfg.train, cfg.id_col, cfg.seed)
+    scored = _named(minibatch.predict(data, fitted, classes, cfg.label, cfg.train.eval_batch_size), cfg)
+    done, totals = observed_write(scored, lambda df: materialise(df, "predictions"))
+    history = [h for f in fitted for h in _history_rows(f, f.run.experiment, f.run.model_key, f.run.fold)]
+    return _Written(done, history, totals)
+
+
+def _run_others(data: DataFrame, classes: dict[str, list[str]], cfg: ExperimentConfig) -> _Written | None:
+    """Models that Spark ML fits, one run after another on a few threads."""
+    models = [m for m in cfg.models if m in MODELS]
+    if not models:
+        return None
+    spark = data.sparkSession
+
+    def fit(experiment: str, model_key: str, fold: int, train_x, val_x, test_x) -> tuple[DataFrame, list]:
         names = classes[experiment]
         trained = MODELS[model_key](train_x, val_x, names, cfg.train, cfg.seed + fold)
-        tagged = predict(trained.model, test_x, names, cfg.label).withColumns(
-            {
-                "fold": F.lit(fold),
-                "model_key": F.lit(model_key),
-                "model_name": F.lit(cfg.models[model_key]),
-                "experiment_name": F.lit(experiment),
-            }
-        ).drop("val_runs")
-        done, _, per_row = timed_count(tagged, lambda df: materialise(df, "predictions"))
-        keys = (experiment, model_key, cfg.models[model_key], fold)
-        lines = [] if per_row is None else [(*keys, "avg_inference_time_sec", per_row)]
-        return done, lines, _history_rows(trained, experiment, model_key, fold)
-
-    def run_fold(experiment: str, fold: int) -> list[tuple[DataFrame, list, list]]:
+        tagged = predict(trained.model, test_x, names, cfg.label).withColumns({
+            "fold": F.lit(fold), "model_key": F.lit(model_key), "experiment_name": F.lit(experiment),
+        })
+        done, per_row = timed_write(_named(tagged, cfg), lambda df: materialise(df, "predictions"))
+        timed = done.withColumn("inference_time_sec", F.lit(per_row).cast("double"))
+        return timed, _history_rows(trained, experiment, model_key, fold)
+
+    def run_fold(experiment: str, fold: int) -> list[tuple[DataFrame, list]]:
         """All models of one run: they share its weighted features."""
-        rows = data.filter(F.col("experiment_name") == experiment)
+        rows = data.filter(F.col("experiment_name") == experiment).drop("slots")
         test = rows.filter(F.col("fold") == fold)
         rest, is_val = rows.filter(F.col("fold") != fold), F.array_contains("val_runs", fold)
         train_x, val_x, test_x = weighted_features(rest.filter(~is_val), rest.filter(is_val), test)
-        # Every epoch of every model reads these again; lost blocks are rebuilt from the written table.
         train_x, val_x = train_x.persist(), val_x.persist()
         try:
-            return [fit(experiment, m, fold, train_x, val_x, test_x) for m in cfg.models]
+            return [fit(experiment, m, fold, train_x, val_x, test_x) for m in models]
         finally:
             train_x.unpersist()
             val_x.unpersist()
@@ -164,39 +239,23 @@ def run_cv(gold: DataFrame, cfg: ExperimentConfig) -> CVResult:
     jobs = [(e, f) for e in classes for f in range(1, cfg.n_splits + 1)]
     with ThreadPoolExecutor(cfg.parallelism) as pool:
         # Wrapped one by one: a wrapped function hands its one copy of the local properties to every thread.
-        runs = [pool.submit(inheritable_thread_target(spark)(run_fold), *job) for job in jobs]
-        results = [result for run in runs for result in run.result()]
-
+        running = [pool.submit(inheritable_thread_target(spark)(run_fold), *job) for job in jobs]
+        results = [result for run in running for result in run.result()]
     predictions = reduce(DataFrame.unionByName, [r[0] for r in results])
-    group = [*KEYS, "fold"]
-    counts = metrics.confusion_counts(predictions, "gold_label", "predicted_label", group)
-    report = metrics.classification_report(counts, group, "union")
-    timings = spark.createDataFrame(
-        [line for r in results for line in r[1]],
-        "experiment_name string, model_key string, model_name string, fold int, metric string, value double",
-    )
-    # Both models of an experiment share its splits.
-    names = ("n_train", "n_val", "n_test")
-    size_cells = F.array(
-        *[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
-    )
-    size_rows = timings.select(*group).join(
-        sizes.withColumnRenamed("run", "fold"), ["experiment_name", "fold"]
-    ).select(*group, F.inline(size_cells))
-    scores = metrics.metric_rows(report, group)
-    fold_metrics = materialise(
-        timings.unionByName(size_rows).unionByName(scores), "fold-metrics"
-    )
-    history = spark.createDataFrame([line for r in results for line in r[2]], HISTORY)
-    return CVResult(predictions, fold_metrics, report, metrics.fold_summary(fold_metrics), history)
+    wrong = F.col("gold_label").isNotNull() & ~F.col("gold_label").eqNullSafe(F.col("predicted_label"))
+    totals = predictions.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(wrong).alias("errors"), F.sum("inference_time_sec").alias("seconds")
+    ).first().asDict()
+    return _Written(predictions, [line for r in results for line in r[1]], totals)
 
 
-def run_experiments(gold: DataFrame, cfg: ExperimentConfig, path: str) -> CVResult:
-    """``run_cv`` with everything written below ``path``: parameters first, then the results."""
+def run_experiments(gold: DataFrame, cfg: ExperimentConfig, path: str, data_path: str | None = None) -> CVResult:
+    """``run_cv`` with everything written below ``path``: parameters first, then the results.
+    ``data_path`` says where ``gold`` was read from."""
     cfg.check()
     spark = gold.sparkSession
     stamp = writers.run_stamp(spark)
-    writers.write_json(run_config(spark, cfg), f"{path}/run_config/run_ts={stamp}")
+    writers.write_json(run_config(spark, cfg, data_path, path), f"{path}/run_config/run_ts={stamp}")
     result = run_cv(gold, cfg)
     writers.write_cv(result, f"{path}/run_ts={stamp}")
     return result
@@ -222,24 +281,38 @@ def run_topic(
     """One topic: 70/15/15 split, one model, validation and test metrics, matrices, error table."""
     spark = gold.sparkSession
     rows = topic_filter(gold, topic, cfg.topic).dropna(subset=[cfg.text, cfg.label])
-    counted = materialise(
-        term_frequencies(rows, cfg.text, cfg.train.max_length, cfg.train.n_features), "counted"
-    )
+    cfg = replace(cfg, models={model_key: cfg.models.get(model_key, model_key)})
+    cfg.check()
+    counted = materialise(_counted(rows, cfg), "counted")
     coded = encode_labels(counted, class_index(counted, cfg.label), cfg.label)
     drawn = materialise(
         splits.train_val_test_split(coded, 0.3, 0.5, cfg.seed, cfg.label, cfg.id_col), "split"
     )
     found = drawn.select(cfg.label, "label_id").distinct().orderBy("label_id").collect()
     names = [r[cfg.label] for r in found]
-    train, val, test = (drawn.filter(F.col("role") == r) for r in ("train", "val", "test"))
-    train_x, val_x, test_x = weighted_features(train, val, test)
-    train_x, val_x = train_x.persist(), val_x.persist()
-    try:
-        trained = MODELS[model_key](train_x, val_x, names, cfg.train, cfg.seed)
-        predictions = materialise(predict(trained.model, test_x, names, cfg.label), "predictions")
-    finally:
-        train_x.unpersist()
-        val_x.unpersist()
+    if model_key in NETWORKS:
+        run = minibatch.Run(topic, model_key, 1, (cfg.train.n_features, *NETWORKS[model_key], len(names)), cfg.seed)
+        tagged = drawn.withColumns({
+            "experiment_name": F.lit(topic),
+            "fold": F.when(F.col("role") == "test", 1).otherwise(0),
+            "val_mask": F.when(F.col("role") == "val", 2).otherwise(0).cast("long"),
+        })
+        (trained,) = minibatch.train(tagged, [run], {topic: names}, cfg.train, cfg.id_col, cfg.seed)
+        scored = minibatch.predict(
+            tagged.filter("fold = 1"), [trained], {topic: names}, cfg.label, cfg.train.eval_batch_size
+        ).drop("experiment_name", "fold", "val_mask", "model_key")
+        predictions, totals = observed_write(scored, lambda df: materialise(df, "predictions"))
+    else:
+        parts = (drawn.filter(F.col("role") == r).drop("slots") for r in ("train", "val", "test"))
+        train_x, val_x, test_x = weighted_features(*parts)
+        train_x, val_x = train_x.persist(), val_x.persist()
+        try:
+            trained = MODELS[model_key](train_x, val_x, names, cfg.train, cfg.seed)
+            scored = predict(trained.model, test_x, names, cfg.label)
+            predictions, totals = observed_write(scored, lambda df: materialise(df, "predictions"), None)
+        finally:
+            train_x.unpersist()
+            val_x.unpersist()
     counts = metrics.confusion_counts(predictions, "gold_label", "predicted_label")
     errors = metrics.error_analysis(predictions, [cfg.id_col], "gold_label", "predicted_label").select(
         cfg.id_col,
@@ -260,5 +333,5 @@ def run_topic(
         matrix=metrics.confusion_matrix_normalized(counts, **declared),
         one_vs_rest=metrics.one_vs_rest_metrics(counts, **declared),
         errors=errors,
-        n_errors=metrics.misclassified(predictions, "gold_label", "predicted_label").count(),
+        n_errors=totals["errors"],
     )

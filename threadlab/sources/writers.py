@@ -97,9 +97,9 @@ def write_binary_cells(cells: DataFrame, path: str) -> None:
 
 
 def write_history(history: DataFrame, path: str, keys: Sequence[str] = ("experiment_name", "model_key", "fold")) -> None:
-    """History lines, one row per epoch, as CSV and JSON; columns an epoch lacks stay empty."""
+    """History lines, one row per epoch and one per step, as CSV and JSON; figures a line lacks stay empty."""
     names = [r[0] for r in history.select("key").distinct().orderBy("key").collect()]
-    wide = history.groupBy(*keys, "epoch").pivot("key", names).agg(F.first("value"))
+    wide = history.groupBy(*keys, "epoch", "step").pivot("key", names).agg(F.first("value"))
     write_csv(wide, f"{path}/csv")
     write_json(wide, f"{path}/json")
 
