@@ -126,6 +126,54 @@ def test_an_emptied_checkpoint_keeps_earlier_output(spark, tmp_path):
     assert rows(got, "post_id") == [("p", 6), ("q", 6)]
 
 
+@pytest.mark.parametrize("size", [4, 10])
+@pytest.mark.parametrize("apart", [False, True])
+def test_a_thread_dumped_again_after_it_grew(spark, tmp_path, size, apart):
+    """Six comments in the second dump, two of them new and at the top: one whole dump is stored."""
+    def dump(ids):
+        data = [("p", c, "u", "t3_p", i) for i, c in enumerate(ids)]
+        posts = submissions(spark, ["p"])
+        return threads.thread_documents(raw(spark, data), posts, max_comments=size)
+
+    landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
+    old, new = dump("abcd"), dump(["n1", "n2", *"abcd"])
+    assert {r.n_parts for r in new.collect()} == {-(-6 // size)} and old.first().dump_id != new.first().dump_id
+    lots = [old, new] if not apart else [new.filter("part = 0"), old.filter("part = 1"), new.filter("part > 0"), old, new]
+    for lot in lots:
+        writers.write_threads(lot, landing)
+        ingest_threads(spark, landing, out, state)
+    found = sorted(r.id for r in read_table(spark, out, "comments").collect())
+    assert found == (sorted(["n1", "n2", *"abcd"]) if apart else list("abcd"))
+    assert read_table(spark, out, "posts").count() == 1
+
+
+def test_a_crash_between_tables(spark, tmp_path):
+    landing, out, state = str(tmp_path / "landing"), tmp_path / "out", str(tmp_path / "state")
+    docs = long_thread(spark)
+    writers.write_threads(docs.filter("part = 0"), landing)
+    ingest_threads(spark, landing, str(out), state)
+    writers.write_threads(docs.filter("part > 0"), landing)
+    (out / "edges").rename(tmp_path / "aside")
+    (out / "edges").write_text("in the way")
+    with pytest.raises(Exception, match="edges|exists|directory|mkdir"):
+        ingest_threads(spark, landing, str(out), state)
+    assert read_table(spark, str(out), "comments").count() == 0
+    (out / "edges").rename(tmp_path / "moved")
+    ingest_threads(spark, landing, str(out), state)
+    assert rows(read_table(spark, str(out), "comments").select("id"), "id") == [(f"c{i}",) for i in range(6)]
+    assert read_table(spark, str(out), "edges").count() == 5
+
+
+def test_records_without_parts_and_broken_lines(spark, tmp_path):
+    (tmp_path / "landing").mkdir()
+    whole = {"submission": {"id": "w"}, "comments": [{"id": "c"}], "reply_network": []}
+    lines = [json.dumps(whole), "{broken", "{}", json.dumps({**whole, "part": 3, "n_parts": 2, "dump_id": "x"})]
+    (tmp_path / "landing" / "a.json").write_text("\n".join(lines))
+    out = str(tmp_path / "out")
+    ingest_threads(spark, str(tmp_path / "landing"), out, str(tmp_path / "state"))
+    assert rows(read_table(spark, out, "comments").select("post_id", "id")) == [("w", "c")]
+
+
 def test_a_batch_that_failed_half_way_is_not_read(spark, tmp_path):
     landing, out = str(tmp_path / "landing"), tmp_path / "out"
     writers.write_threads(long_thread(spark), landing)

@@ -279,7 +279,9 @@ def thread_documents(
     """One nested record per thread: submission, comments and reply network in breadth-first order.
 
     A thread of more than ``max_comments`` comments continues in further records
-    (``part`` = 0, 1, ...), so no record and no task holds an unbounded thread.  ``submissions`` has
+    (``part`` = 0, 1, ... of ``n_parts``), so no record and no task holds an unbounded thread.
+    ``dump_id`` is a digest of the comments and of ``max_comments``: records of one thread with
+    different digests are of different dumps and must not be put together.  ``submissions`` has
     post_id, title, url, score, num_comments, author, created_epoch; ``edges`` may pass the
     result of ``reply_edges`` if it is at hand.
     """
@@ -289,9 +291,12 @@ def thread_documents(
         "post_id", F.col("comment_id").alias("id"), "source", "target"
     )
     author = F.coalesce("author", F.lit(UNKNOWN_AUTHOR))
+    comments = comment_rows(unique_comments(raw, [c for c in raw.columns if c not in {*KEY, "seq"}]))
+    dumps = comments.groupBy("post_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*comments.columns)).alias("digest")
+    )
     placed = (
-        comment_rows(unique_comments(raw, [c for c in raw.columns if c not in {*KEY, "seq"}]))
-        .join(order, KEY)
+        comments.join(order, KEY)
         .join(edges, KEY, "left")
         .withColumn("part", F.floor(F.col("bfs_pos") / F.lit(max_comments)).cast("bigint"))
     )
@@ -329,8 +334,10 @@ def thread_documents(
         F.lit(0).cast("bigint"),
         F.coalesce(F.floor(F.col("last") / F.lit(max_comments)), F.lit(0)).cast("bigint"),
     )
-    numbered = heads.join(last, "post_id", "left").select(
-        "post_id", "submission", F.explode(parts).alias("part")
+    dump_id = F.lower(F.hex(F.xxhash64(F.coalesce("n", F.lit(0)), F.coalesce("digest", F.lit(0)), F.lit(max_comments))))
+    numbered = heads.join(last, "post_id", "left").join(dumps, "post_id", "left").select(
+        "post_id", "submission", F.size(parts).cast("bigint").alias("n_parts"), dump_id.alias("dump_id"),
+        F.explode(parts).alias("part"),
     )
     empty_comments = F.array().cast(pieces.schema["comments"].dataType)
     empty_edges = F.array().cast(pieces.schema["reply_network"].dataType)
@@ -339,4 +346,6 @@ def thread_documents(
         F.coalesce("comments", empty_comments).alias("comments"),
         F.coalesce("reply_network", empty_edges).alias("reply_network"),
         "part",
+        "n_parts",
+        "dump_id",
     )

@@ -25,10 +25,11 @@ COMMENT = (
 )
 EDGE = "struct<source: string, target: string, comment_id: string>"
 
-# One thread per record; ``part`` numbers the pieces of a thread too long for one record and is
-# absent (null) in dumps that never split.
+# One thread per record; ``part`` numbers the pieces of a thread too long for one record. ``n_parts``
+# and ``dump_id`` say which pieces make up one dump; both are absent (null) in dumps that never split.
 THREADS = (
-    f"submission {SUBMISSION}, comments array<{COMMENT}>, reply_network array<{EDGE}>, part bigint"
+    f"submission {SUBMISSION}, comments array<{COMMENT}>, reply_network array<{EDGE}>, part bigint, "
+    "n_parts bigint, dump_id string"
 )
 
 SCORES = "id bigint, label string, pos int, score double"
