@@ -202,6 +202,65 @@ GROUP BY e.post_id, e.source, e.target"""
 
 ORACLES["reply_network_stats"] = f"WITH {COMMENTS}, {STATS} SELECT post_id, nodes, edges FROM v_stats"
 
+
+
+def _layout_round(r: int, rounds: int) -> str:
+    """Positions p{r + 1} from p{r}: pushes of the cells around, pulls of the edges, a step."""
+    cell = "(x - ((x % side) + side) % side) // side"
+    apart = "sqrt(dx * dx + dy * dy)"
+    whole = "CAST(floor({} * 1073741824.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)".format
+    return f"""
+k{r} AS MATERIALIZED (SELECT *, {cell} AS cx, {cell.replace("x", "y")} AS cy FROM p{r}),
+g{r} AS (SELECT post_id, cx, cy, count(*) AS m, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM k{r} GROUP BY ALL),
+near{r} AS (
+  SELECT k.post_id, k.node, k.n, g.m - o.own AS m,
+    (k.x - CAST(g.sx - o.own * k.x AS DOUBLE) / (g.m - o.own)) / 1073741824.0::DOUBLE AS dx,
+    (k.y - CAST(g.sy - o.own * k.y AS DOUBLE) / (g.m - o.own)) / 1073741824.0::DOUBLE AS dy
+  FROM k{r} k, (SELECT i, j, CASE WHEN i = 0 AND j = 0 THEN 1 ELSE 0 END AS own
+                FROM (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)) o, g{r} g
+  WHERE g.post_id = k.post_id AND g.cx = k.cx + o.i AND g.cy = k.cy + o.j AND g.m > o.own),
+pushed{r} AS (
+  SELECT post_id, node, dx, dy, CAST(m AS DOUBLE) * (1.0::DOUBLE / sqrt(CAST(n AS DOUBLE))) * (1.0::DOUBLE / sqrt(CAST(n AS DOUBLE))) AS push,
+    greatest({apart}, 0.01::DOUBLE) AS d FROM near{r}),
+met{r} AS (
+  SELECT e.post_id, e.a, e.b, dx, dy, greatest({apart}, 0.01::DOUBLE) / (1.0::DOUBLE / sqrt(CAST(n AS DOUBLE))) AS pull FROM (
+    SELECT e.post_id, e.a, e.b, p.n, CAST(p.x - q.x AS DOUBLE) / 1073741824.0::DOUBLE AS dx,
+      CAST(p.y - q.y AS DOUBLE) / 1073741824.0::DOUBLE AS dy
+    FROM pairs e JOIN p{r} p ON p.post_id = e.post_id AND p.node = e.a JOIN p{r} q ON q.post_id = e.post_id AND q.node = e.b) e),
+f{r} AS (
+  SELECT post_id, node, CAST(sum(fx) AS DOUBLE) / 1073741824.0::DOUBLE AS px, CAST(sum(fy) AS DOUBLE) / 1073741824.0::DOUBLE AS py FROM (
+    SELECT post_id, node, {whole("dx * push / (d * d)")} AS fx, {whole("dy * push / (d * d)")} AS fy FROM pushed{r}
+    UNION ALL SELECT post_id, a, {whole("dx * pull * -1.0::DOUBLE")}, {whole("dy * pull * -1.0::DOUBLE")} FROM met{r}
+    UNION ALL SELECT post_id, b, {whole("dx * pull * 1.0::DOUBLE")}, {whole("dy * pull * 1.0::DOUBLE")} FROM met{r}) GROUP BY ALL),
+s{r} AS (
+  SELECT p.*, coalesce(px, 0.0::DOUBLE) AS px, coalesce(py, 0.0::DOUBLE) AS py
+  FROM p{r} p LEFT JOIN f{r} f ON f.post_id = p.post_id AND f.node = p.node),
+t{r} AS (
+  SELECT *, {0.1 * (1 - r / (rounds + 1))!r}::DOUBLE
+    / CASE WHEN sqrt(px * px + py * py) < 0.01::DOUBLE THEN 0.1::DOUBLE ELSE sqrt(px * px + py * py) END AS share FROM s{r}),
+p{r + 1} AS MATERIALIZED (
+  SELECT post_id, node, x + {whole("px * share")} AS x, y + {whole("py * share")} AS y, n, side FROM t{r})"""
+
+
+ORACLES["network_layout"] = f"""
+WITH {COMMENTS},
+pairs AS MATERIALIZED (
+  SELECT DISTINCT post_id, least(source, target) AS a, greatest(source, target) AS b FROM v_edges WHERE source <> target),
+nodes AS (SELECT post_id, source AS node FROM v_edges UNION SELECT post_id, target FROM v_edges),
+sized AS (SELECT *, count(*) OVER (PARTITION BY post_id) AS n FROM nodes),
+p0 AS MATERIALIZED (
+  SELECT post_id, node, CAST('0x' || substr(md5('42:' || post_id || ':' || node || ':x'), 1, 8) AS BIGINT) >> 2 AS x,
+    CAST('0x' || substr(md5('42:' || post_id || ':' || node || ':y'), 1, 8) AS BIGINT) >> 2 AS y, n,
+    CAST(floor(2147483648.0::DOUBLE / sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS side
+  FROM sized),{",".join(_layout_round(r, 4) for r in range(4))},
+centre AS (
+  SELECT post_id, CAST(sum(x) AS DOUBLE) / count(*) AS mx, CAST(sum(y) AS DOUBLE) / count(*) AS my,
+    min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p4 GROUP BY post_id),
+edge AS (SELECT *, greatest(x1 - mx, mx - x0, y1 - my, my - y0) AS far FROM centre)
+SELECT p.post_id, p.node, round(CASE WHEN far > 0 THEN (x - mx) / far ELSE 0.0 END, 6) AS x,
+  round(CASE WHEN far > 0 THEN (y - my) / far ELSE 0.0 END, 6) AS y
+FROM p4 p JOIN edge e ON e.post_id = p.post_id"""
+
 _UPSERT = f"""
 WITH {COMMENTS}, {STATS}
 SELECT p.post_id, <extra>,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadlab.catalog import views
 from threadlab.functions import text
 from threadlab.functions.registry import CLASSES, COARSE_LABELS, FINE_LABELS, LABEL_MAP, Topic
-from threadlab.operators import history, labels, metrics, scoring, splits, threads, training
+from threadlab.operators import history, labels, layout, metrics, scoring, splits, threads, training
 from threadlab.plans import experiments, zero_shot
 from threadlab.plans.threads import process_threads
 from threadlab.session import materialise, scratch_path
@@ -86,6 +86,12 @@ def reply_network_stats(spark: SparkSession, sf: str) -> DataFrame:
     return threads.reply_network_stats(threads.reply_edges(views.comments(spark, sf)))
 
 
+@query
+def network_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Node positions after four rounds: as many as the SQL spells out."""
+    return _rounded(layout.network_layout(threads.reply_edges(views.comments(spark, sf)), 4))
+
+
 @query
 def upsert_post_stats(spark: SparkSession, sf: str) -> DataFrame:
     pending = threads.pending_posts(views.posts(spark, sf), views.done(spark, sf))
