@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -260,13 +262,66 @@ def test_contaminated_documents(spark):
     docs = table(spark, rows + awkward()[3:8])
     got = Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect())
     assert got == Counter({(d, i): n for d, n in ((30, 1), (31, 1), (33, 2), (None, 1)) for i in (1, 5)})
-    blocks = decontamination.contaminated(docs, bench, block_chars=100).collect()  # several passes
-    assert Counter((r.doc_id, r.item_id) for r in blocks) == got
     assert decontamination.drop_contaminated(docs, bench).count() == 20 + 1 + 5
     assert decontamination.contaminated(empty(spark), bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_repeated_words_are_no_quadratic_work():
+    start = time.perf_counter()
+    for i, j in ((400, 8_000), (2_000, 60_000)):
+        made = decontamination.tiles(np.full(i, 7, np.uint64), np.full(j, 7, np.uint64), 5, decontamination.Powers())
+        assert made == [(0, 0, i)]
+    assert time.perf_counter() - start < 2
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_tiling_of_few_different_words(seed):
+    rng = np.random.default_rng(seed)
+    item, doc = rng.integers(1, 3, 30).astype(np.uint64), rng.integers(1, 3, 60).astype(np.uint64)
+    made = decontamination.tiles(item, doc, 5, decontamination.Powers())
+    assert sum(t[2] for t in made) == plain_tiles(item.tolist(), doc.tolist(), 5)
+    assert all((item[i:i + n] == doc[j:j + n]).all() for i, j, n in made)
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame(
+        [(1, "Four words, right here"), (2, "just three words"), (3, "two words"), (4, "one"), (5, "?!"), (6, None)], "item_id long, text string"
+    )
+    rows = [
+        (1, "Prose with four words right here inside."), (2, "four words right there"), (3, "It is just three words long."),
+        (4, "There are two words in it."), (5, "head\nTwo words!\ntail"), (6, "One."), (7, "one two"), (8, "two\nwords"), (9, "two words one"),
+    ]
+    got = {(r.doc_id, r.item_id, r.n_tiles, r.n_matched) for r in decontamination.contaminated(table(spark, rows), bench).collect()}
+    assert got == {(1, 1, 1, 4), (3, 2, 1, 3), (5, 3, 1, 2), (6, 4, 1, 1)}
+
+
+def test_an_item_that_fills_the_benchmark(spark):
+    item = sentences(6, "hot")
+    bench = spark.createDataFrame([(i, item if i % 2 else sentences(6, f"b{i}")) for i in range(200)], "item_id long, text string")
+    rows = [(i, sentences(3, i) + " " + item if i % 3 == 0 else sentences(9, f"d{i}")) for i in range(30)]
+    got = Counter(r.doc_id for r in decontamination.contaminated(table(spark, rows), bench).collect())
+    assert got == {i: 100 for i in range(0, 30, 3)}
+
+
+def plain_coverage(text, item, least=5):
+    a, b = decontamination.words(item), decontamination.words(text)
+    return plain_tiles(a, b, least) / len(a) if a else 0.0
+
+
+def test_contamination_against_the_plain_version(spark):
+    rng = random.Random(8)
+    bench = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(5, 30)))) for i in range(12)]
+    rows = []
+    for i in range(25):
+        cut = " ".join(rng.choice(bench)[1].split()[rng.randint(0, 8):][:rng.randint(3, 25)])
+        rows.append((i, " ".join([*rng.choices("abcdefghxyz", k=15), cut, *rng.choices("klmnop", k=9)])))
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontamination.contaminated(
+        table(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = {(i, k): c for i, t in rows for k, item in bench if (c := plain_coverage(t, item)) >= 0.5}
+    assert want and got == pytest.approx(want)
+
+
 # ---- suffix arrays
 
 

@@ -1,34 +1,35 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share seeds (runs of words) are tiled: the longest common runs
-of unmarked words are marked in both, again and again, down to the length of a seed, found with
-running Karp-Rabin hashes. The share of an item's words under tiles is its coverage; the order of
-the tiles does not matter, so reordered passages count like others.
+Documents and benchmark items are joined on seeds: hashes of runs of words. Pairs with enough shared
+seeds are tiled: the longest common runs of unmarked words are marked in both, again and again,
+down to the length of a seed, found with running Karp-Rabin hashes. The share of an item's words
+under tiles is its coverage; the order of the tiles does not matter, so reordered passages count like
+others. Before the join, a bit table of bounded size tells which runs of a document can be seeds.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
-from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlab.llm.common import text_key
+from threadlab.session import materialise
 
 LEAST = 5  # words of the shortest tile
 COVERAGE = 0.5
-FIRST_LENGTH = 20  # words of the first search
-BLOCK_CHARS = 20_000_000  # benchmark text that one pass over the documents is held against
+LINE_WORDS = 2  # items with so many words or fewer match whole lines only
+MOST_BITS = 27  # the bit table has two to this power at most: 16 MB
+CHUNK = 1 << 16  # bytes of the table that are put together at once
+CACHE = 300_000
 BASE = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id long, text_key long, item_id long, n_tiles long, n_matched long, n_item_words long, coverage double"
-ARROW = pa.schema(
-    [(f.split()[0], pa.float64() if f.endswith("double") else pa.int64()) for f in SCHEMA.split(", ")]
-)
 WORD = re.compile(r"\w+")
 
 
@@ -36,6 +37,24 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+class Hashes(dict):
+    """64-bit hash of a word, never 0."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = made = xxhash.xxh64_intdigest(word) | 1
+        return made
+
+
+def word_hashes(text: str | None, known: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of a text, line number of each)."""
+    lines = [WORD.findall(line) for line in (text or "").lower().split("\n")]
+    sizes = [len(x) for x in lines]
+    flat = np.fromiter((known[w] for line in lines for w in line), np.uint64, sum(sizes))
+    return flat, np.repeat(np.arange(len(lines)), sizes)
+
+
 class Powers:
     """Powers of the hash base and of its inverse modulo 2^64."""
 
@@ -69,126 +88,166 @@ def _free(marked: np.ndarray, length: int) -> np.ndarray:
     return taken[length:] == taken[:-length]
 
 
+def _common(item: np.ndarray, doc: np.ndarray, in_item: np.ndarray, in_doc: np.ndarray, length: int, powers: Powers):
+    """(places in item, their hashes, places in doc, their hashes) of unmarked runs whose hash both have."""
+    if length > min(len(item), len(doc)):
+        return None
+    a, b = windows(item, length, powers), windows(doc, length, powers)
+    i, j = np.flatnonzero(_free(in_item, length)), np.flatnonzero(_free(in_doc, length))
+    shared = np.intersect1d(a[i], b[j])
+    if not len(shared):
+        return None
+    i, j = i[np.isin(a[i], shared)], j[np.isin(b[j], shared)]
+    return i, a[i], j, b[j]
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int, powers: Powers) -> list[tuple[int, int, int]]:
-    """Greedy tiling of two id arrays: (place in item, place in doc, length)."""
+    """Greedy tiling of two hash arrays: (place in item, place in doc, length).
+
+    Each round finds the length of the longest common unmarked run, by doubling and halving, and marks
+    all runs of that length that do not overlap, the first in the item with the first in the
+    document. No pairs of places are listed, so repeated words cost no more than others.
+    """
     out: list[tuple[int, int, int]] = []
     in_item, in_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    length = max(least, min(FIRST_LENGTH, len(item), len(doc)))
-    while length <= min(len(item), len(doc)):
-        found = _matches(item, doc, in_item, in_doc, length, powers)
-        longest = max((m[0] for m in found), default=0)
-        if longest > 2 * length:  # a long one: search for those first
-            length = longest
-            continue
-        queue = sorted(found, key=lambda m: (-m[0], m[1], m[2]))
-        while queue:
-            size, i, j = queue.pop(0)
-            free = ~(in_item[i:i + size] | in_doc[j:j + size])
-            if free.all():
-                in_item[i:i + size] = in_doc[j:j + size] = True
-                out.append((i, j, size))
+    while True:
+        low, found = least, _common(item, doc, in_item, in_doc, least, powers)
+        if found is None:
+            return out
+        high = 2 * least
+        while (more := _common(item, doc, in_item, in_doc, high, powers)) is not None:
+            low, found, high = high, more, 2 * high
+        while high - low > 1:
+            mid = (low + high) // 2
+            more = _common(item, doc, in_item, in_doc, mid, powers)
+            if more is None:
+                high = mid
+            else:
+                low, found = mid, more
+        places, own, theirs, hashes = found
+        order = np.argsort(hashes, kind="stable")
+        theirs, hashes = theirs[order], hashes[order]
+        begin, end = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
+        following: dict[int, int] = {}  # by hash: the next place in the document to look at
+        marked = False
+        for i, h, a, b in zip(places.tolist(), own.tolist(), begin.tolist(), end.tolist(), strict=True):
+            if in_item[i] or in_item[i + low - 1]:
                 continue
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if b - a >= length:
-                    queue.append((b - a, i + a, j + a))
-            queue.sort(key=lambda m: (-m[0], m[1], m[2]))
-        if length == least:
-            break
-        length = max(least, length // 2)
+            k = following.get(h, a)
+            while k < b:
+                j = int(theirs[k])
+                k += 1
+                if not (in_doc[j] or in_doc[j + low - 1]) and np.array_equal(item[i:i + low], doc[j:j + low]):
+                    in_item[i:i + low] = in_doc[j:j + low] = marked = True
+                    out.append((i, j, low))
+                    break
+            following[h] = k
+        if not marked:  # hashes alone met
+            return out
+
+
+def _salted(hashes: np.ndarray, length: int, line: bool) -> np.ndarray:
+    """Runs of different lengths, and whole lines, are different seeds."""
+    return hashes ^ np.uint64((2 * length + line) * 0xD1B54A32D192ED03 % (1 << 64))
+
+
+def item_seeds(item: np.ndarray, least: int, powers: Powers) -> np.ndarray:
+    """Hash of each run of ``least`` words; of the whole of a shorter item."""
+    n = len(item)
+    if n >= least:
+        return _salted(windows(item, least, powers), least, False)
+    return _salted(windows(item, n, powers), n, n <= LINE_WORDS)
+
+
+def document_seeds(doc: np.ndarray, line: np.ndarray, lengths: list[int], powers: Powers) -> tuple[np.ndarray, ...]:
+    """(hashes, first words, numbers of words) of the runs of a document that can be an item's seed."""
+    made = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for length in lengths:
+        found = windows(doc, length, powers)
+        at = np.arange(len(found))
+        if length <= LINE_WORDS:
+            begins = np.concatenate([[True], line[1:] != line[:-1]])[:len(found)]
+            ends = np.concatenate([line[1:] != line[:-1], [True]])[length - 1:]
+            at = np.flatnonzero(begins & ends & (line[:len(found)] == line[length - 1:]))
+        made.append((_salted(found[at], length, length <= LINE_WORDS), at, np.full(len(at), length)))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+
+class SeedFilter:
+    """Bit table of seeds: no seed is missed; a few other runs pass, which the join drops."""
+
+    def __init__(self, bits: int, table: np.ndarray | None = None) -> None:
+        self.bits, self.table = bits, table
+
+    def places(self, seeds: np.ndarray) -> np.ndarray:
+        return ((seeds * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, seeds: np.ndarray) -> np.ndarray:
+        at = self.places(seeds)
+        return (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def seed_filter(seeds: DataFrame) -> SeedFilter:
+    """The table of all rows of ``seeds``; its size follows their number up to ``MOST_BITS``."""
+    out = SeedFilter(max(16, min(MOST_BITS, (16 * seeds.count()).bit_length())))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << out.bits, bool)
+        for batch in batches:
+            flags[out.places(batch.column(0).to_numpy().view(np.uint64))] = True
+        packed = np.packbits(flags, bitorder="little")
+        chunks = [(i, packed[i:i + CHUNK]) for i in range(0, len(packed), CHUNK)]
+        chunks = [(i, c.tobytes()) for i, c in chunks if c.any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in chunks], pa.int64()), pa.array([c for _, c in chunks], pa.binary())], names=["at", "bits"]
+        )
+
+    def together(frame: pd.DataFrame) -> pd.DataFrame:
+        whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in frame["bits"]])
+        return pd.DataFrame({"at": frame["at"][:1], "bits": [whole.tobytes()]})
+
+    made = seeds.select("seed").mapInArrow(part, "at long, bits binary").groupBy("at").applyInPandas(together, "at long, bits binary")
+    out.table = np.zeros((1 << out.bits) // 8, np.uint8)
+    for row in made.collect():  # the table once: 2^MOST_BITS bits at most
+        chunk = np.frombuffer(bytes(row.bits), np.uint8)
+        out.table[row.at:row.at + len(chunk)] = chunk
     return out
 
 
-def _matches(
-    item: np.ndarray, doc: np.ndarray, in_item: np.ndarray, in_doc: np.ndarray, length: int, powers: Powers
-) -> list[tuple[int, int, int]]:
-    """Maximal common runs of at least ``length`` unmarked words: (length, in item, in doc)."""
-    own = windows(item, length, powers)
-    by_hash: dict[int, list[int]] = {}
-    for i in np.flatnonzero(_free(in_item, length)).tolist():
-        by_hash.setdefault(int(own[i]), []).append(i)
-    their = windows(doc, length, powers)
-    ok = _free(in_doc, length) & np.isin(their, np.fromiter(by_hash, np.uint64, len(by_hash)))
-    out, done = [], set()
-    for j in np.flatnonzero(ok).tolist():
-        for i in by_hash[int(their[j])]:
-            if (i - 1, j - 1) in done:  # inside the run that began before
-                done.add((i, j))
-                continue
-            if not np.array_equal(item[i:i + length], doc[j:j + length]):
-                continue
-            done.add((i, j))
-            size, most = length, min(len(item) - i, len(doc) - j)
-            while size < most and item[i + size] == doc[j + size] and not (in_item[i + size] or in_doc[j + size]):
-                size += 1
-            out.append((size, i, j))
-    return out
+def _rows(schema: str, made: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = zip(*made, strict=True) if made else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields]
+    )
 
 
-class Items:
-    """One block of the benchmark: words numbered from 1, and the seeds of every item."""
-
-    def __init__(self, rows: list[tuple[int | None, str]], least: int) -> None:
-        self.least, self.powers = least, Powers()
-        self.number: dict[str, int] = {}
-        self.ids: list[tuple[int | None, np.ndarray]] = []
-        for key, text in rows:
-            found = words(text)
-            if len(found) >= least:
-                ids = [self.number.setdefault(w, len(self.number) + 1) for w in found]
-                self.ids.append((key, np.array(ids, np.int64)))
-        seeds = [windows(ids, least, self.powers) for _, ids in self.ids]
-        hashes = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        owners = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        places = np.concatenate([*[np.arange(len(s)) for s in seeds], np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owners, self.places = hashes[order], owners[order], places[order]
-        self.distinct = np.unique(self.hashes)
-
-    def held_by(self, text: str, coverage: float) -> Iterator[tuple]:
-        """(item_id, tiles, words under tiles, words of the item) of the items a text covers."""
-        if not len(self.distinct):
-            return
-        found = words(text)
-        doc = np.fromiter(map(self.number.get, found, repeat(0)), np.int64, len(found))
-        known = doc > 0
-        if known.sum() < self.least:
-            return
-        whole = np.flatnonzero(_free(~known, self.least)) if len(doc) >= self.least else []
-        if not len(whole):
-            return
-        own = windows(doc, self.least, self.powers)[whole]
-        at = np.minimum(np.searchsorted(self.distinct, own), len(self.distinct) - 1)
-        hit = self.distinct[at] == own
-        if not hit.any():
-            return
-        values, spots = np.unique(own[hit]), whole[hit]
-        low, high = np.searchsorted(self.hashes, values), np.searchsorted(self.hashes, values, "right")
-        shared: dict[int, list[int]] = {}
-        for a, b in zip(low.tolist(), high.tolist(), strict=True):
-            for k in range(a, b):
-                shared.setdefault(int(self.owners[k]), []).append(int(self.places[k]))
-        for owner, starts in shared.items():
-            key, item = self.ids[owner]
-            reached = np.unique(np.concatenate([np.arange(s, s + self.least) for s in starts]))
-            if len(reached) < coverage * len(item):  # tiles are made of shared seeds
-                continue
-            region = np.zeros(len(doc), bool)
-            seeds = np.unique(windows(item, self.least, self.powers))
-            for s in spots[np.isin(own[hit], seeds)].tolist():
-                region[s:s + self.least] = True
-            near = self.apart(doc, region)
-            made = tiles(item, near, self.least, self.powers)
-            matched = sum(t[2] for t in made)
-            if matched >= coverage * len(item):
-                yield key, len(made), matched, len(item)
-
-    @staticmethod
-    def apart(doc: np.ndarray, region: np.ndarray) -> np.ndarray:
-        """The marked runs of a document, a word that matches nothing between them."""
-        starts = region & ~np.concatenate([[False], region[:-1]])
-        kept = np.flatnonzero(region)
-        return np.insert(doc[kept], np.flatnonzero(starts[kept]), 0)
+ITEM_ROWS = "item_id long, n_words long, words binary"
+SEED_ROWS = "seed long, item_key long, n_words long, times long"
+HIT_ROWS = "doc_id long, text_key long, seeds array<long>, region binary"
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Hashes()
+    for batch in batches:
+        made = []
+        for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            found, _ = word_hashes(text.as_py(), known)
+            if len(found):
+                made.append((key.as_py(), len(found), found.tobytes()))
+        yield _rows(ITEM_ROWS, made)
+
+
+def region_of(doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The words of a document under the runs, a word that matches nothing between them."""
+    steps = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + length, -1)
+    marked = np.cumsum(steps[:-1]) > 0
+    kept = np.flatnonzero(marked)
+    starts = marked & ~np.concatenate([[False], marked[:-1]])
+    return np.insert(doc[kept], np.flatnonzero(starts[kept]), 0)
 
 
 def contaminated(
@@ -200,50 +259,86 @@ def contaminated(
     item_text: str = "text",
     least: int = LEAST,
     coverage: float = COVERAGE,
-    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(doc_id, text_key, item_id, n_tiles, n_matched, n_item_words, coverage) of every document that
     covers an item.
 
-    Words are runs of letters, digits and underscores, in lower case. Items with fewer than
-    ``least`` words (null and empty ones too) are no evidence and never match; null documents have
-    no words. Repeated items and documents give repeated rows; null ids are kept. The benchmark is
-    held against the documents in blocks of about ``block_chars`` characters, one pass each, so
-    what a task holds has a bound; one item has to fit into memory.
+    Words are runs of letters, digits and underscores, in lower case; they are compared by 64-bit
+    hashes. An item with fewer than ``least`` words is covered where all its words stand in a row; one
+    of ``LINE_WORDS`` words or fewer only where they are a whole line. Items and documents without a
+    word (null and empty ones too) never match. Repeated items and documents give repeated rows, but
+    equal items are looked for once; null ids are kept; other columns are ignored. Of a document only
+    the words under possible seeds travel, whatever its length.
     """
-    items = benchmark.select(
-        F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")
+    items = materialise(
+        benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+        .mapInArrow(_item_words, ITEM_ROWS).withColumn("item_key", F.xxhash64("words")),
+        "items",
     )
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, ceil(total / block_chars))
+    texts = materialise(items.select("item_key", "n_words", "words").dropDuplicates(["item_key", "n_words"]), "item-texts")
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            made = []
+            for key, n, body in zip(*(batch.column(i) for i in range(3)), strict=True):
+                found, times = np.unique(item_seeds(np.frombuffer(body.as_py(), np.uint64), least, powers), return_counts=True)
+                made += zip(found.view(np.int64).tolist(), [key.as_py()] * len(found), [n.as_py()] * len(found), times.tolist(), strict=True)
+            yield _rows(SEED_ROWS, made)
+
+    seeds = materialise(texts.select("item_key", "n_words", "words").mapInArrow(seeded, SEED_ROWS), "item-seeds")
+    lengths = sorted({min(r[0], least) for r in texts.select(F.least("n_words", F.lit(least))).distinct().collect()})
+    shared = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))  # of bounded size
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, powers, may = Hashes(), Powers(), shared.value
+        for batch in batches:
+            made = []
+            for key, own, body in zip(*(batch.column(i) for i in range(3)), strict=True):
+                doc, line = word_hashes(body.as_py(), known)
+                hashes, at, length = document_seeds(doc, line, lengths, powers)
+                passed = may(hashes)
+                if passed.any():
+                    region = region_of(doc, at[passed], length[passed])
+                    made.append((key.as_py(), own.as_py(), np.unique(hashes[passed]).view(np.int64), region.tobytes()))
+            if made:
+                yield _rows(HIT_ROWS, made)
+
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text")
+        F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")
     ).where("text is not null")
-    out = None
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        share = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in mine.toLocalIterator()])
-
-        def run(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
-            known = Items(share.value, least)
-            for batch in batches:
-                made: list[tuple] = []
-                for key, own, body in zip(*(batch.column(i) for i in range(3)), strict=True):
-                    for item, n, matched, size in known.held_by(body.as_py(), coverage):
-                        made.append((key.as_py(), own.as_py(), item, n, matched, size, matched / size))
-                if made:
-                    columns = zip(*made, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW
-                    )
-
-        part = rows.mapInArrow(run, SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
+    hits = materialise(rows.mapInArrow(hit, HIT_ROWS).withColumn("row", F.monotonically_increasing_id()), "seeded-documents")
+    enough = F.col("n") * least >= F.lit(coverage) * F.col("n_words")  # tiles are made of shared seeds
+    pairs = (
+        hits.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed")
+        .groupBy("row", "item_key", "n_words").agg(F.sum("times").alias("n")).where(enough).select("row", "item_key", "n_words")
+    )
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            made = []
+            for values in zip(*(batch.column(i) for i in range(6)), strict=True):
+                key, own, region, item_key, n, body = (v.as_py() for v in values)
+                found = tiles(np.frombuffer(body, np.uint64), np.frombuffer(region, np.uint64), min(least, n), powers)
+                matched = sum(t[2] for t in found)
+                if matched >= coverage * n:
+                    made.append((key, own, item_key, n, len(found), matched, matched / n))
+            yield _rows(TILED_ROWS, made)
+
+    both = pairs.join(hits.drop("seeds"), "row").join(texts, ["item_key", "n_words"])
+    held = both.select("doc_id", "text_key", "region", "item_key", "n_words", "words").mapInArrow(tiled, TILED_ROWS)
+    # Equal items share their tiles.
+    return held.join(items.select("item_id", "item_key", "n_words"), ["item_key", "n_words"]).select(
+        "doc_id", "text_key", "item_id", "n_tiles", "n_matched", F.col("n_words").alias("n_item_words"), "coverage"
+    )
+
+
+TILED_ROWS = "doc_id long, text_key long, item_key long, n_words long, n_tiles long, n_matched long, coverage double"
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the documents that cover a benchmark item."""
+    """``docs`` without the documents that cover a benchmark item; columns as they were."""
     bad = contaminated(docs, benchmark, least=least, coverage=coverage).select(
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")
     ).distinct()
