@@ -73,8 +73,10 @@ def candidates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) ->
         .groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"),
         "leaves",
     )
+    # Below the explode: above it the lines of a document would be added up for each of them.
     size = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"]))
-    lines = counted.select("doc_id", "text_key", "once", size.alias("size"), F.explode("l").alias("x")).select(
+    sized = counted.withColumn("size", size)
+    lines = sized.select("doc_id", "text_key", "once", "size", F.explode("l").alias("x")).select(
         "doc_id", "text_key", "once", "size", "x.leaf", F.md5("x.line").alias("name"), "x.line"
     )
     return materialise(lines.join(leaves, "leaf"), "candidate-lines")
@@ -180,7 +182,8 @@ def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
     )
     keyed = docs.withColumn("__text_key", text_key("text"))
     same = keyed.doc_id.eqNullSafe(dropped["__id"]) & (keyed["__text_key"] == dropped["__key"])
-    joined = keyed.join(dropped, same, "left").drop("__id", "__key", "__text_key")
+    # The same plan at every size: a broadcast that fits a small table would not fit a large one.
+    joined = keyed.join(dropped.hint("merge"), same, "left").drop("__id", "__key", "__text_key")
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda s: ~F.array_contains("__dropped", F.md5(s)))
     touched = F.col("__dropped").isNotNull()
