@@ -142,6 +142,23 @@ def test_rules_are_learned(spark):
     assert rules.judge(empty(spark), labels)[0].count() == 0
 
 
+def test_a_rare_defect_gets_a_rule(spark):
+    """Five in a thousand documents are full of symbols, and that is what makes them poor."""
+    rows = [(i, sentences(3, i) if i % 200 else sentences(2, i).replace(" ", " <#> ")) for i in range(6000)]
+    labels = spark.createDataFrame([(i, int(i % 200 > 0), 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    judged, found = rules.judge(table(spark, rows), labels)
+    assert found and {r.doc_id for r in judged.where("NOT kept").collect()} == set(range(0, 6000, 200))
+
+
+def test_interval_counts_are_those_of_the_conditions(spark):
+    rows = spark.range(500).selectExpr("id % 7 = 0 AS bad", *[f"round((id * {3 + i}) % 100 / 10.0, 2) AS {s}" for i, s in enumerate(rules.STATISTICS)])
+    cuts = rules._thresholds(rows)
+    found = rules._split(rows, cuts)
+    some = [found[i] for i in range(0, len(found), 17)]
+    want = rules._tally(rows, {f"c{i}": c.column() for i, (c, _) in enumerate(some)})
+    assert [want[f"c{i}"] for i in range(len(some))] == [n for _, n in some]
+
+
 # ---- language
 
 
@@ -187,9 +204,78 @@ def test_languages(spark, sf):
     assert best[:10].count("en") >= 8 and best[-10:].count("de") >= 8
 
 
+def test_twenty_languages_share_the_sample(spark):
+    """Eighteen large ones and two of a few documents: all can be predicted."""
+    def text(lang, i):
+        rng = random.Random(f"{lang}-{i}")
+        parts = [chr(97 + (lang * 5 + k) % 26) + chr(97 + (lang + 3 * k) % 26) for k in range(6)]
+        return " ".join("".join(rng.choices(parts, k=3)) for _ in range(25))
+
+    rows = [(lang * 1000 + i, text(lang, i), f"l{lang:02}") for lang in range(20) for i in range(60 if lang < 18 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, sample=80)
+    assert model.languages == [f"l{i:02}" for i in range(20)]
+    got = language.identify(docs.withColumn("held_out", language.held_out()), model).where("held_out").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.9
+
+
+def test_long_texts_lend_a_bounded_number_of_chains(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda docs: seen.extend(docs))
+    rows = [(i, "\n".join(prose(4, f"{i}-{k}") for k in range(3000)), "en") for i in range(3)]
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen and all(len(found) == language.CHAINS for _, found in seen)
+
+
+def test_awkward_rows_are_identified(spark, sf):
+    model = language.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    docs = table(spark).selectExpr("*", "1 AS lang_pred", "'x' AS score")
+    got = language.identify(docs, model)
+    assert got.count() == len(awkward()) and got.where("score < 0 OR score > 1 OR lang_pred IS NULL").count() == 0
+    assert language.identify(empty(spark), model).count() == 0
+
+
 # ---- ordinal
 
 
+def test_ordinal_gradient_equals_finite_differences():
+    rng = np.random.default_rng(9)
+    n, k = 40, 12
+    owner = np.repeat(np.arange(n), 3)
+    flat, grades = rng.integers(0, k, 3 * n), rng.integers(0, 4, n)
+    theta, prior = rng.normal(size=k + 3) * 0.5, rng.normal(size=3)
+    loss, gradient = ordinal.loss_and_gradient(theta, flat, owner, grades, k, prior)
+    for i in range(k + 3):
+        up, down = theta.copy(), theta.copy()
+        up[i] += 1e-6
+        down[i] -= 1e-6
+        slope = (ordinal.loss_and_gradient(up, flat, owner, grades, k, prior)[0] - ordinal.loss_and_gradient(down, flat, owner, grades, k, prior)[0]) / 2e-6
+        assert gradient[i] == pytest.approx(slope, rel=1e-4, abs=1e-7)
+    assert loss > 0
+
+
+def test_ratings_equal_the_plain_version(spark):
+    """Scores, grades and decisions of every row from the weights alone."""
+    rows = awkward() + [(100 + i, sentences(3, i) + (" you stupid moron." if i % 3 else "")) for i in range(90)]
+    labels = spark.createDataFrame([(100 + i, 1, int(i % 3 > 0)) for i in range(90)] + [(100, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = table(spark, rows + [(101, "another text of this id")])
+    model = ordinal.train(docs, labels)
+    got = Counter()
+    for r in ordinal.rate(docs, model).collect():
+        got[(r.doc_id, round(r.expected_grade, 4), round(r.tail, 4), r.kept)] += 1
+    want, known = Counter(), ordinal.Features()
+    for key, text in rows + [(101, "another text of this id")]:
+        score = sum(model.weights[i] for i in set(ordinal.features(text, known).tolist()))
+        low = [1 / (1 + np.exp(-(t - score))) for t in model.thresholds]
+        expected = sum(k * (b - a) for k, (a, b) in enumerate(zip([0, *low], [*low, 1])))
+        want[(key, round(float(expected), 4), round(float(1 - low[-1]), 4), bool(1 - low[-1] >= ordinal.KEEP))] += 1
+    assert sum((got - want).values()) <= 2  # rounding at the fourth place
+    assert sum(got.values()) == sum(want.values())
+
+
+# ---- ordinal, order
+
+
 def test_ordinal_gradient_and_order():
     rng = np.random.default_rng(3)
     rows, grades = [], []

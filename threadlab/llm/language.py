@@ -9,17 +9,19 @@ document's language is the one with the largest share of them.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 17
-PER_LANGUAGE = 250  # documents of a language that are learned from, about
-SAMPLE = 4_000  # documents that are learned from, at most
+PER_LANGUAGE = 250  # documents of a language that are learned from
+SAMPLE = 4_000  # documents that are learned from, at most, shared out among the languages
+CHAINS = 64  # chains of a document that are learned from, at most: of longer ones those with the lowest hashes
 EPOCHS = 30
 RATE = 0.15
 DECAY = 1e-7
@@ -167,11 +169,11 @@ def label(texts: list[str | None], model: Model, known: Scores) -> tuple[list[li
     return found, forward_backward(scores, lengths, model.transitions, model.start, counts=False)[0]
 
 
-def fit(docs: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
-    """A model for (language, text) pairs by Adam on the likelihood of the whole sample."""
+def fit(docs: list[tuple[str, list[list[str]]]], epochs: int = EPOCHS) -> Model:
+    """A model for (language, chains) pairs by Adam on the likelihood of the whole sample."""
     languages = sorted({lang for lang, _ in docs})
     size = len(languages)
-    parts = [(languages.index(lang), part) for lang, text in docs for part in chains(text)]
+    parts = [(languages.index(lang), part) for lang, found in docs for part in found]
     rng = np.random.default_rng(7)
     tags: list[np.ndarray] = []
     words: list[list[str]] = []
@@ -240,30 +242,47 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
-    """Learns from about ``per_language`` documents (lowest hashed ids) of each language that are
-    not held out, ``sample`` in all; rows without id, text or language are left out. None without
-    any such row."""
+    """Learns from ``per_language`` documents (lowest hashed ids) of each language that are not held
+    out, or as many as make ``sample`` in all if each language has the same number, one at least; rows
+    without id, text or language are left out. None without any such row.
+
+    The driver gets at most ``CHAINS`` chains of ``CHAIN`` words of each of these documents. Repeated
+    rows of an id are documents of their own.
+    """
     usable = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out())
     drawn = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("draw"))
     total = drawn.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = (
-        drawn.distinct().join(total, "lang")
-        .where(F.col("draw") * F.col("n") <= per_language * 1_000_000.0)
-        .orderBy("draw", "doc_id", "lang").limit(sample)
-    )
+    limit = max(1, min(per_language, sample // max(1, total.count())))
+    # Few rows of a language are ranked, whatever its size: those whose draw is among the lowest.
+    near = drawn.distinct().join(total, "lang").where(F.col("draw") * F.col("n") <= (3.0 * limit + 50) * 1_000_000)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    picked = near.withColumn("place", place).where(F.col("place") <= limit).orderBy("place", "doc_id", "lang").limit(sample)
+
+    @F.pandas_udf("array<string>")
+    def some_chains(texts: pd.Series) -> pd.Series:
+        def chosen(text: str) -> list[str]:
+            found = [" ".join(c) for c in chains(text)]
+            if len(found) <= CHAINS:
+                return found
+            lowest = sorted(range(len(found)), key=lambda i: (zlib.crc32(found[i].encode()), i))[:CHAINS]
+            return [found[i] for i in sorted(lowest)]
+
+        return texts.map(chosen)
+
     rows = (  # texts are not shuffled: only those of the picked ids leave the scan
         usable.select("doc_id", "lang", "text")
-        .join(F.broadcast(picked.select("doc_id", "lang", "draw")), ["doc_id", "lang"])  # ``sample`` rows at most
-        .orderBy("draw", "doc_id", "lang", "text").limit(sample)
-        .select("lang", "text").collect()
+        .join(F.broadcast(picked.select("doc_id", "lang", "place")), ["doc_id", "lang"])  # ``sample`` rows at most
+        .orderBy("place", "doc_id", "lang", "text").limit(sample)
+        .select("lang", some_chains("text").alias("chains")).collect()
     )
-    return fit([(r.lang, r.text) for r in rows]) if rows else None
+    return fit([(r.lang, [c.split(" ") for c in r.chains]) for r in rows]) if rows else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the mean probability of that language over all
-    words. Texts without a letter (null and empty ones too) are ``und`` with score 0, as are all
-    texts without a model. Ties go to the first language in order of name."""
+    words; they replace columns of those names. Texts without a letter (null and empty ones too) are
+    ``und`` with score 0, as are all texts without a model. Ties go to the first language in order of
+    name. Rows are labelled one by one, so repeated rows and null ids are labelled like others."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
+from threadlab.llm.common import text_key
+
 BITS = 18
 SAMPLE = 8_000  # labelled documents that are learned from
 EPOCHS = 150
@@ -97,6 +99,38 @@ class Model:
         return (1 - low).sum(axis=1), 1 - low[:, -1]
 
 
+def thresholds(theta: np.ndarray, k: int) -> np.ndarray:
+    """The first one is a parameter, the next ones follow by steps whose logarithms are."""
+    return theta[k] + np.concatenate([[0.0], np.cumsum(np.exp(theta[k + 1:]))])
+
+
+def loss_and_gradient(
+    theta: np.ndarray, flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, k: int, prior: np.ndarray
+) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with its penalties, and its gradient.
+
+    theta: ``k`` weights, then the thresholds; ``flat`` and ``owner``: features and their documents.
+    """
+    n, w, cuts = len(grades), theta[:k], thresholds(theta, k)
+    s = np.bincount(owner, w[flat], minlength=n)
+    edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+    sig = 1 / (1 + np.exp(-np.clip(edge[None, :] - s[:, None], -30, 30)))
+    sig[:, 0], sig[:, -1] = 0.0, 1.0
+    at = np.arange(n)
+    hi, lo = sig[at, grades + 1], sig[at, grades]
+    p = np.maximum(hi - lo, 1e-9)
+    off = theta[k:] - prior
+    loss = -np.log(p).mean() + DECAY * (w @ w) / 4 + CUT_DECAY * (off @ off) / 2
+    d_hi, d_lo = hi * (1 - hi) / p / n, lo * (1 - lo) / p / n
+    gradient = np.zeros_like(theta)
+    gradient[:k] = np.bincount(flat, (d_hi - d_lo)[owner], minlength=k) + DECAY * w / 2
+    d_cut = np.array([d_lo[grades == j + 1].sum() - d_hi[grades == j].sum() for j in range(len(cuts))])
+    gradient[k] = d_cut.sum()
+    gradient[k + 1:] = [d_cut[j + 1:].sum() * step for j, step in enumerate(np.exp(theta[k + 1:]))]
+    gradient[k:] += CUT_DECAY * off
+    return float(loss), gradient
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3, epochs: int = EPOCHS) -> Model:
     """Weights and thresholds by Adam on the whole sample.
 
@@ -124,32 +158,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3, epochs: int
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     k = len(slots)
 
-    def unpack() -> tuple[np.ndarray, np.ndarray]:
-        cuts = theta[k] + np.concatenate([[0.0], np.cumsum(np.exp(theta[k + 1:]))])
-        return theta[:k], cuts
-
-    rows_at = np.arange(n)
     for step in range(1, epochs + 1):
-        w, cuts = unpack()
-        s = np.bincount(owner, w[flat], minlength=n)
-        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
-        sig = 1 / (1 + np.exp(-np.clip(edge[None, :] - s[:, None], -30, 30)))
-        sig[:, 0], sig[:, -1] = 0.0, 1.0
-        hi, lo = sig[rows_at, y + 1], sig[rows_at, y]
-        p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p / n, lo * (1 - lo) / p / n
-        d_score = d_hi - d_lo  # of the negative log likelihood
-        gradient = np.zeros_like(theta)
-        gradient[:k] = np.bincount(flat, d_score[owner], minlength=k) + DECAY * w / 2
-        d_cut = np.array([d_lo[y == j + 1].sum() - d_hi[y == j].sum() for j in range(levels - 1)])
-        gradient[k] = d_cut.sum()
-        steps = np.exp(theta[k + 1:])
-        gradient[k + 1:] = [d_cut[j + 1:].sum() * steps[j] for j in range(levels - 2)]
-        gradient[k:] += CUT_DECAY * (theta[k:] - prior)
+        _, gradient = loss_and_gradient(theta, flat, owner, y, k, prior)
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    w, cuts = unpack()
+    w, cuts = theta[:k], thresholds(theta, k)
     weights = np.zeros(1 << BITS)
     weights[slots] = w
     return Model(weights, cuts)
@@ -158,8 +172,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3, epochs: int
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from the ``sample`` labelled documents with the lowest hashed ids.
 
-    A document labelled twice takes the lower grade; rows without id or grade are left out. Only
-    feature numbers come to the driver, for at most ``sample`` documents.
+    A document labelled twice takes the lower grade, of several texts of one id the one with the lowest
+    ``text_key`` counts; rows without id or grade are left out, null and empty texts have no feature.
+    Only feature numbers come to the driver, for at most ``sample`` documents.
     """
     graded = (
         labels.withColumn("grade", grade()).where("grade is not null and doc_id is not null")
@@ -174,9 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(graded), "doc_id")  # at most ``sample`` rows
-        .dropDuplicates(["doc_id"])
-        .select("grade", "doc_id", numbers("text").alias("found"))
-        .orderBy("doc_id").collect()
+        .select("grade", "doc_id", text_key("text").alias("text_key"), numbers("text").alias("found"))
+        .groupBy("doc_id", "grade").agg(F.min(F.struct("text_key", "found")).alias("one"))
+        .select("grade", F.col("one.found").alias("found"), "doc_id").orderBy("doc_id").collect()
     )
     if not rows:
         return fit([], np.zeros(0, np.int64))
@@ -184,9 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def rate(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
-    """``docs`` with ``expected_grade``, ``tail`` (probability of the highest grade) and ``kept``.
+    """``docs`` with ``expected_grade``, ``tail`` (probability of the highest grade) and ``kept``, which
+    replace columns of those names.
 
-    Texts without a word (null, empty, blank) score zero: nothing speaks for or against them.
+    Texts without a word (null, empty, blank) score zero: nothing speaks for or against them. Rows are
+    rated one by one, so repeated rows and null ids are rated like others; ``tail`` at the limit is kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
         Model(model.weights.astype(np.float32), model.thresholds, model.bias)

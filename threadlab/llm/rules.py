@@ -2,8 +2,9 @@
 
 Each rule grows condition by condition on one part of the labelled documents (best information
 gain), is cut back on the other part, and takes the documents it covers out before the next rule
-grows. Counting is done by Spark over all labelled documents; the driver sees one count per
-statistic and threshold.
+grows. Thresholds lie between quantiles of the bad and of the good documents that are left, so a defect
+that few documents have gets some of its own. Counting is done by Spark over all labelled documents;
+the driver sees one count per statistic and interval between thresholds.
 """
 
 from __future__ import annotations
@@ -138,14 +139,16 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def _thresholds(rows: DataFrame) -> list[Condition]:
-    """Half-way between neighbouring quantiles, so rules keep a distance from either side."""
-    found = rows.agg(*[F.percentile_approx(s, QUANTILES, 10_000).alias(s) for s in STATISTICS]).first()
-    out = []
+Cuts = dict[str, list[float]]
+
+
+def _thresholds(rows: DataFrame) -> Cuts:
+    """Half-way between neighbouring quantiles of either kind, so rules keep a distance from both."""
+    found = rows.groupBy("bad").agg(*[F.percentile_approx(s, QUANTILES, 10_000).alias(s) for s in STATISTICS]).collect()
+    out = {}
     for s in STATISTICS:
-        values = sorted(set(found[s] or []))
-        cuts = [round((a + b) / 2, 6) for a, b in zip(values, values[1:], strict=False)]
-        out += [Condition(s, above, t) for t in cuts for above in (True, False)]
+        values = sorted({v for row in found for v in row[s] or []})
+        out[s] = sorted({round((a + b) / 2, 6) for a, b in zip(values, values[1:], strict=False)})
     return out
 
 
@@ -158,6 +161,27 @@ def _tally(rows: DataFrame, tests: dict[str, Column]) -> dict[str, tuple[int, in
     return {k: (found[f"{k}_bad"], found[f"{k}_good"]) for k in tests}
 
 
+def _split(rows: DataFrame, cuts: Cuts) -> list[tuple[Condition, tuple[int, int]]]:
+    """Every condition on one statistic with the bad and good documents it covers, in one pass: rows are
+    counted by the interval their statistics fall into, and the counts added up."""
+    def below(s: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cuts[s])), lambda c: F.col(s) > c))
+
+    place = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("s"), below(s).alias("k")) for i, s in enumerate(STATISTICS) if cuts[s]
+    ]))
+    counts = rows.select("bad", place.alias("x")).groupBy("x.s", "x.k", "bad").count().collect()
+    at = {(r["s"], r["k"], r["bad"]): r["count"] for r in counts}
+    out = []
+    for i, s in enumerate(STATISTICS):
+        for j, t in enumerate(cuts[s]):
+            for above in (True, False):
+                kept = range(j + 1, len(cuts[s]) + 1) if above else range(j + 1)
+                covered = tuple(sum(at.get((i, k, bad), 0) for k in kept) for bad in (True, False))
+                out.append((Condition(s, above, t), covered))
+    return out
+
+
 def _gain(before: tuple[int, int], after: tuple[int, int]) -> float:
     """Information gained on bad documents (none left: no gain)."""
     if not after[0]:
@@ -165,17 +189,18 @@ def _gain(before: tuple[int, int], after: tuple[int, int]) -> float:
     return after[0] * (log2(after[0] / sum(after)) - log2(before[0] / sum(before)))
 
 
-def grow(rows: DataFrame, options: list[Condition]) -> Rule:
+def grow(rows: DataFrame, cuts: Cuts) -> Rule:
     """Adds the best condition until no good document is covered or nothing is gained."""
     rule: Rule = []
     covered = _tally(rows, {"all": F.lit(True)})["all"]
     while covered[0] >= MIN_COVERED and covered[1] and len(rule) < MAX_CONDITIONS:
-        found = _tally(rows.where(matches(rule)), {f"c{i}": c.column() for i, c in enumerate(options)})
-        best = max(range(len(options)), key=lambda i: (_gain(covered, found[f"c{i}"]), -i))
-        if _gain(covered, found[f"c{best}"]) <= 1e-9 or found[f"c{best}"][0] < MIN_COVERED:
+        found = _split(rows.where(matches(rule)), cuts)
+        best = max(range(len(found)), key=lambda i: (_gain(covered, found[i][1]), -i))
+        condition, reached = found[best]
+        if _gain(covered, reached) <= 1e-9 or reached[0] < MIN_COVERED:
             break
-        rule.append(options[best])
-        covered = found[f"c{best}"]
+        rule.append(condition)
+        covered = reached
     return rule
 
 
@@ -195,11 +220,11 @@ def learn(rows: DataFrame, max_rules: int = MAX_RULES, precision: float = PRECIS
     Ends when a rule is not precise enough on the pruning part. Without rows of both kinds there
     is no rule. Ties go to the first statistic and the lowest threshold.
     """
-    options = _thresholds(rows)
     rules: list[Rule] = []
     rest = rows
-    while options and len(rules) < max_rules:
-        rule = grow(rest.where("growing"), options)
+    while len(rules) < max_rules:
+        cuts = _thresholds(rest)
+        rule = grow(rest.where("growing"), cuts) if any(cuts.values()) else []
         if not rule:
             break
         rule, bad, good = prune(rest.where("not growing"), rule)
