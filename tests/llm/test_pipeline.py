@@ -54,3 +54,31 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, folder).groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in whole} == sizes
+
+
+def test_columns_with_names_of_the_operators(spark, tmp_path):
+    folder = str(tmp_path)
+    write(spark, folder)
+    names = {"kept": "'mine'", "tail": "'t'", "expected_grade": "'g'", "score": "'s'", "n_lines": "'l'", "n_dropped": "'d'", "rule": "7",
+             "fingerprint": "'f'", "component_id": "'c'", "row": "1", "names": "2", "size": "3", "lost": "4", "text_key": "'k'"}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *[f"{v} AS {k}" for k, v in names.items()])
+    steps = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "line_dedup", "near_duplicates", "decontaminate"):
+        got = steps[name](spark, docs, folder)
+        assert got.schema.simpleString() == docs.schema.simpleString(), name
+        same = " AND ".join(f"{k} = {v}" for k, v in names.items())
+        assert got.count() > 0 and got.where(f"NOT ({same})").count() == 0, name
+    assert steps["pack"](spark, docs, folder).select("doc_id").distinct().count() == docs.count()
+
+
+def test_awkward_rows_and_empty_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    write(spark, folder)
+    steps = dict(corpus_pipeline.STAGES)
+    for docs in (table(spark), table(spark).limit(0)):
+        n = docs.count()
+        for name in ("quality", "line_dedup"):
+            assert steps[name](spark, docs, folder).count() == n, name
+        for name in ("near_duplicates", "decontaminate"):
+            assert steps[name](spark, docs, folder).columns == docs.columns
+        assert (steps["pack"](spark, docs, folder).count() > 0) == (n > 0)
