@@ -165,6 +165,13 @@ def test_metric_names(spark):
     }
 
 
+def test_a_class_wins_the_name_of_an_average(spark):
+    report = metrics.classification_report(counts_of(spark, ["macro", "test_x"], ["macro", "macro"]), ["grp"], "union")
+    got = [(r["metric"], r["value"]) for r in metrics.metric_rows(report, ["grp"]).collect()]
+    assert len(dict(got)) == len(got)
+    assert dict(got)["macro_recall"] == 1.0 and dict(got)["test_x_recall"] == 0.0 and dict(got)["accuracy"] == 0.5
+
+
 def test_rows_without_a_true_label_are_no_hits(spark):
     df = spark.createDataFrame([(None, None), ("a", "a"), ("a", "b")], "gold string, pred string")
     counts = metrics.confusion_counts(df, "gold", "pred")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.helpers import rows
-from threadlab.functions.registry import COARSE_LABELS, FINE_LABELS, LABEL_MAP, default_topics, topics_frame
+from threadlab.functions.registry import COARSE_LABELS, FINE_LABELS, LABEL_MAP, Topic, topics_frame
 from threadlab.operators import labels, scoring
 
 GOLD = "id long, comment string, topic string, label string"
@@ -45,10 +45,6 @@ def test_argmax_and_ranking_break_ties_by_position(spark):
     assert rows(scoring.argmax_label(df), "id") == [(1, "a", 0.5), (2, "b", 0.3)]
     ranked = scoring.label_ranking(df).filter("rank = 1").select("id", "label")
     assert rows(ranked, "id") == [(1, "a"), (2, "b")]
-    wide = spark.createDataFrame([(1, [0.5, 0.2])], "id long, s array<double>")
-    assert rows(scoring.explode_scores(wide, ["a", "b"], "s", ["id"]).select("id", "pos", "label", "score"), "pos") == [
-        (1, 0, "a", 0.5), (1, 1, "b", 0.2)
-    ]
 
 
 def test_prototypes(spark):
@@ -93,7 +89,7 @@ def test_prepare_gold(spark):
 
 def test_registry(spark):
     assert len(LABEL_MAP) == 14 and "political" not in LABEL_MAP
-    frame = topics_frame(spark, default_topics("fine"))
+    frame = topics_frame(spark, [Topic(name, labels=own) for name, own in FINE_LABELS.items()])
     got = {r["topic"]: r["label_set"] for r in frame.collect()}
     assert got == {k: list(v) for k, v in FINE_LABELS.items()}
-    assert all(tuple(t.labels) == COARSE_LABELS for t in default_topics())
+    assert tuple(Topic("health").labels) == COARSE_LABELS

@@ -665,6 +665,47 @@ SELECT e AS experiment_name, m.model_key, n_run AS fold, sum(quota) AS n_train,
        {", ".join(f"sum(n_test) FILTER (WHERE label = '{c}') AS {c.replace('-', '_')}_support" for c in CLASSES)}
 FROM q, (VALUES ('softmax'), ('hidden')) m(model_key) GROUP BY e, m.model_key, n_run"""
 
+ORACLES["training_log"] = """
+SELECT event_type AS kind, count(*) AS n,
+       count(*) FILTER (WHERE event_type <> 'error') AS n_lines,
+       sum(CASE WHEN event_type <> 'error' THEN event_id END)::BIGINT AS ids,
+       round(sum(CASE WHEN event_type IN ('click', 'view') THEN CAST(value AS DECIMAL(38, 4)) END)::DOUBLE, 6) AS loss,
+       max(CASE WHEN event_type = 'view' THEN 'a "b" ' || user_id END) AS note,
+       sum(CASE WHEN event_type = 'signup' THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END)::BIGINT AS k,
+       count(*) FILTER (WHERE event_type = 'signup') AS n_null
+FROM events GROUP BY event_type"""
+
+_RUNS = "experiment_name || '/' || model_key || '/' || fold"
+_ALL = _per_class("all_rows", "gold", "pred", ["one"], False, "w")
+_FIGURES = f"""
+figures AS (
+  {" UNION ALL ".join(f"SELECT replace(label, '-', '_') || '_{x}' AS key, CAST({x} AS DOUBLE) AS value FROM w"
+                      for x in ("precision", "recall", "f1", "support"))}
+  UNION ALL SELECT 'accuracy', {_ACC} FROM w
+  {" ".join(f"UNION ALL SELECT 'macro_{k}', {x} FROM w" for k, x in _MACRO.items())}
+  UNION ALL SELECT 'weighted_f1', {_WEIGHTED["f1"]} FROM w)"""
+ORACLES["report_sinks"] = f"""
+WITH {PRED},
+rows AS (SELECT topic AS experiment_name, * FROM v_pred),
+all_rows AS (SELECT 1 AS one, * FROM v_pred),
+{_per_class("rows", "gold", "pred", ["experiment_name", "model_key", "fold"], False)},
+{_ALL}, {_FIGURES},
+labels AS (SELECT gold AS label FROM v_pred UNION SELECT pred FROM v_pred),
+cells AS (
+  SELECT a.label AS t, b.label AS p, (SELECT count(*) FROM v_pred WHERE gold = a.label AND pred = b.label) AS n
+  FROM labels a, labels b),
+shares AS (SELECT *, sum(n) OVER (PARTITION BY t) AS total FROM cells)
+SELECT 'rows' AS output, {_RUNS} AS key, count(*)::DOUBLE AS value FROM rows GROUP BY ALL
+UNION ALL SELECT 'logits', {_RUNS}, round(sum(CAST(max_logit AS DECIMAL(38, 4)))::DOUBLE, 6) FROM rows GROUP BY {_RUNS}
+UNION ALL SELECT 'report', {_RUNS} || '/' || label, round(f1, 6) FROM m
+UNION ALL SELECT 'report', {_RUNS} || '/accuracy', round({_ACC}, 6) FROM m GROUP BY {_RUNS}
+UNION ALL SELECT 'report', {_RUNS} || '/macro avg', round({_MACRO["f1"]}, 6) FROM m GROUP BY {_RUNS}
+UNION ALL SELECT 'report', {_RUNS} || '/weighted avg', round({_WEIGHTED["f1"]}, 6) FROM m GROUP BY {_RUNS}
+UNION ALL (SELECT 'error', id::VARCHAR, round(max_logit, 6) FROM v_pred WHERE gold <> pred ORDER BY id LIMIT 50)
+UNION ALL SELECT 'matrix', t || '/' || p, CASE WHEN total > 0 THEN round(n / CAST(total AS DOUBLE), 6) ELSE 0.0 END FROM shares
+UNION ALL SELECT 'json', key, round(value, 6) FROM figures
+UNION ALL SELECT 'text', key, round(value, 6) FROM figures"""
+
 ORACLES["workflow_outputs"] = f"""
 WITH {GOLD.replace("v_gold", "v_all")}, v_gold AS (SELECT * FROM v_all WHERE topic = 'en'),
 {_CLASSES}, {_quota("k", "n", "0.3", "train_n", "q")},

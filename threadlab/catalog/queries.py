@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -604,6 +605,66 @@ def workflow_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query
+def training_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as log lines of differing keys, written and read back: what lines hold what, and as which type."""
+    path = scratch_path(spark, "log")
+    rows = views.events(spark, sf)
+    kind = F.col("event_type")
+    line = (
+        F.when(kind == "click", F.to_json(F.struct("event_id", F.col("value").alias("loss"))))
+        .when(kind == "view", F.to_json(F.struct("event_id", F.concat(F.lit('a "b" '), "user_id").alias("note"), F.col("value").alias("loss"))))
+        .when(kind == "signup", F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "loss": null, "nested": '), "props", F.lit("}")))
+        .when(kind == "error", F.concat(F.lit("{broken "), "event_id"))
+        .otherwise(F.to_json(F.struct("event_id", kind.alias("loss"))))
+    )
+    writers.write_log(rows.select(kind.alias("kind"), line.alias("line")), path)
+    log = readers.read_log(spark, path, {"event_id": "bigint", "loss": "double", "note": "string", "nested.k": "bigint"})
+    return _rounded(log.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count("line").alias("n_lines"), F.sum("event_id").alias("ids"),
+        F.sum("loss").cast("decimal(38,4)").cast("double").alias("loss"), F.max("note").alias("note"),
+        F.sum(F.col("`nested.k`")).alias("k"), F.count_if(F.is_variant_null(F.try_variant_get("line", "$.loss", "variant"))).alias("n_null"),
+    ))
+
+
+@query
+def report_sinks(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a run read back: predictions and reports by run, error table, normalised matrix, stamped metrics."""
+    path = scratch_path(spark, "sinks")
+    rows = views.predictions(spark, sf).select(
+        F.col("topic").alias("experiment_name"), "model_key", "fold", "id", F.col("gold").alias("gold_label"),
+        F.col("pred").alias("predicted_label"), "max_logit",
+    )
+    run = writers.RUN
+    writers.write_predictions(rows, f"{path}/predictions")
+    counts = metrics.confusion_counts(rows, "gold_label", "predicted_label", run)
+    writers.write_reports(metrics.classification_report(counts, run, "union"), f"{path}/reports")
+    writers.write_csv(metrics.error_analysis(rows, ["id"], "gold_label", "predicted_label"), f"{path}/errors")
+    whole = metrics.confusion_counts(rows, "gold_label", "predicted_label")
+    names = [r[0] for r in whole.select(F.explode(F.array("true_label", "pred_label"))).distinct().orderBy("col").collect()]
+    matrix = metrics.confusion_matrix_normalized(whole, grid="union")
+    writers.write_csv(metrics.wide_matrix(matrix, names, value="share"), f"{path}/matrix")
+    found = metrics.metric_rows(metrics.classification_report(whole, grid="union"), []).collect()
+    writers.write_metrics({r.metric: r.value for r in found}, spark, f"{path}/metrics", "ALL ROWS", "now")
+
+    name = F.concat_ws("/", *run)
+    value = F.col("value").cast("double")
+    back = spark.read.options(**readers.CSV).csv(f"{path}/predictions")
+    wide = spark.read.options(**readers.CSV).csv(f"{path}/matrix")
+    cells = wide.unpivot(["true_label"], names, "pred_label", "value")
+    text = spark.read.text(f"{path}/metrics/text").select(F.split("value", ": ").alias("p")).where("size(p) = 2")
+    parts = [
+        back.groupBy(name.alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("rows").alias("output"), "key", "value"),
+        back.groupBy(name).agg(F.sum(F.col("max_logit").cast("decimal(38,4)")).cast("double")).select(F.lit("logits"), "*"),
+        spark.read.json(f"{path}/reports").select(F.lit("report"), F.concat_ws("/", name, "label"), "f1"),
+        spark.read.options(**readers.CSV).csv(f"{path}/errors").select(F.lit("error"), "id", F.col("max_logit").cast("double")),
+        cells.select(F.lit("matrix"), F.concat_ws("/", "true_label", "pred_label"), value),
+        spark.read.json(f"{path}/metrics/json").select(F.lit("json"), "key", value),
+        text.select(F.lit("text"), F.col("p")[0], F.col("p")[1].cast("double")),
+    ]
+    return _rounded(reduce(DataFrame.union, parts))
+
+
 @query
 def cv_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """The files of all cross-validation runs read back: split sizes and class sizes of each run."""

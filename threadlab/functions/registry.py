@@ -47,16 +47,6 @@ class Topic:
     label_map: Mapping[str, str] = field(default_factory=lambda: dict(LABEL_MAP))
 
 
-def default_topics(label_set: str = "coarse") -> list[Topic]:
-    """The three topics with the coarse candidate labels, or with each topic's fine ones."""
-    if label_set not in ("coarse", "fine"):
-        raise ValueError("label_set is 'coarse' or 'fine'")
-    return [
-        Topic(name, labels=COARSE_LABELS if label_set == "coarse" else FINE_LABELS[name])
-        for name in DEFAULT_TOPICS
-    ]
-
-
 def topics_frame(spark: SparkSession, topics: Sequence[Topic]) -> DataFrame:
     """The registry as a table, so that topic is a column and one job serves all topics."""
     rows = [(t.name, t.posts_csv, list(t.labels), t.scorer) for t in topics]

@@ -100,10 +100,6 @@ def bare_id(fullname: Column | str) -> Column:
     return F.element_at(F.split(_c(fullname), "_"), -1)
 
 
-def epoch_to_timestamp(epoch: Column | str) -> Column:
-    return F.timestamp_micros(F.round(_c(epoch).cast("double") * 1e6).cast("bigint"))
-
-
 def epoch_to_iso(epoch: Column | str) -> Column:
     """Epoch seconds as ``2024-01-01T00:00:00+00:00``; microseconds shown when not zero.
 

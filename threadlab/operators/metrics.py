@@ -317,9 +317,10 @@ def error_analysis(
 
 
 def metric_rows(report: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Report rows as ``(keys..., metric, value)`` with names such as ``macro_f1``.
+    """Report rows as ``(keys..., metric, value)`` with names such as ``macro_f1``, each name once.
 
-    Class names lose their hyphens; only F1 is kept of the weighted average.
+    Class names lose their hyphens; averages lose ``test_`` marks, and only F1 is kept of the weighted
+    one. Where a class makes the name of an average (a class ``macro``), the class counts.
     """
     name = F.translate("label", "- ", "__")
     is_average = F.col("label").isin("macro avg", "weighted avg")
@@ -329,16 +330,17 @@ def metric_rows(report: DataFrame, keys: Sequence[str]) -> DataFrame:
         value = F.col(m).cast("double")
         return F.struct(F.concat(prefix, F.lit(f"_{m}")).alias("metric"), value.alias("value"))
 
+    whole = F.col("label") == "accuracy"
     cells = (
-        F.when(
-            F.col("label") == "accuracy",
-            F.array(F.struct(F.lit("accuracy").alias("metric"), F.col("f1").alias("value"))),
-        )
+        F.when(whole, F.array(F.struct(F.lit("accuracy").alias("metric"), F.col("f1").alias("value"))))
         .when(F.col("label") == "weighted avg", F.array(cell("f1")))
         .when(F.col("label") == "macro avg", F.array(*[cell(m) for m in ("precision", "recall", "f1")]))
         .otherwise(F.array(*[cell(m) for m in ("precision", "recall", "f1", "support")]))
     )
-    return report.select(*keys, F.inline(cells))
+    of_class = ~(whole | is_average)
+    named = report.select(*keys, of_class.alias("_of_class"), F.inline(cells))
+    clean = named.withColumn("metric", F.when(F.col("_of_class"), F.col("metric")).otherwise(metric_name("metric")))
+    return clean.groupBy(*keys, "metric").agg(F.max_by("value", "_of_class").alias("value"))
 
 
 def fold_summary(

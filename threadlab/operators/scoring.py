@@ -115,14 +115,6 @@ def topic_scorer(scorers: Mapping[str, Scorer], topic: str = "topic") -> Scorer:
     return score
 
 
-def explode_scores(df: DataFrame, labels: Sequence[str], scores: str, keys: Sequence[str]) -> DataFrame:
-    """Aligned score arrays -> long ``(keys..., label, pos, score)``."""
-    names = F.array(*[F.lit(x) for x in labels])
-    return df.select(*keys, F.posexplode(scores).alias("pos", "score")).withColumn(
-        "label", F.element_at(names, F.col("pos") + 1)
-    )
-
-
 def argmax_label(scores: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
     """Best label per key of long ``(key..., label, pos, score)``; ties go to the lowest ``pos``.
 

@@ -81,3 +81,10 @@ def read_raw_comments(spark: SparkSession, path: str) -> DataFrame:
 def read_threads(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
     """Thread records: one JSON object per line, or one indented object per file."""
     return spark.read.schema(THREADS).json(path, multiLine=pretty)
+
+
+def read_log(spark: SparkSession, path: str, figures: Mapping[str, str], line: str = "line") -> DataFrame:
+    """Log lines of ``writers.write_log`` with ``figures`` (key -> type) as columns, null where a line
+    lacks the key or holds another type; ``line`` stays, for all other keys."""
+    rows = spark.read.parquet(path)
+    return rows.withColumns({k: F.try_variant_get(line, f"$.{k}", kind) for k, kind in figures.items()})

@@ -108,6 +108,7 @@ def write_workflow(result, spark: SparkSession, path: str) -> None:
     """Everything a single-topic run reports: history, metrics, report, matrices, errors."""
     stamp = run_stamp(spark)
     write_history(result.history, f"{path}/training_history")
+    write_log(history_lines(result.history), f"{path}/training_log")
     write_metrics(result.validation, spark, f"{path}/validation_metrics", "VALIDATION SET RESULTS", stamp)
     write_metrics(result.test, spark, f"{path}/test_metrics", "TEST SET RESULTS", stamp)
     write_json(result.report, f"{path}/classification_report/run_ts={stamp}")
@@ -122,11 +123,31 @@ def land(df: DataFrame, path: str, partition_by: Sequence[str] = ("topic",), mod
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+RUN = ["experiment_name", "model_key", "fold"]
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Predicted rows as CSV, a folder for each run."""
+    predictions.write.options(**CSV).partitionBy(*RUN).csv(path)
+
+
+def write_reports(report: DataFrame, path: str) -> None:
+    """Report rows as JSON, a folder for each run."""
+    report.write.partitionBy(*RUN).json(path)
+
+
+def write_log(lines: DataFrame, path: str, line: str = "line") -> None:
+    """Log lines whose keys differ, as they are: column ``line`` (a JSON object each) becomes a VARIANT.
+
+    Keys, strings, nulls and nesting stay; a line that is no JSON becomes null.
+    """
+    lines.withColumn(line, F.try_parse_json(line)).write.parquet(path)
+
+
 def write_cv(result, path: str) -> None:
     """Predictions, fold metrics, reports, summary and history of a cross-validated run."""
-    parts = ["experiment_name", "model_key", "fold"]
-    result.predictions.write.options(**CSV).partitionBy(*parts).csv(f"{path}/predictions")
-    result.report.write.partitionBy(*parts).json(f"{path}/reports")
+    write_predictions(result.predictions, f"{path}/predictions")
+    write_reports(result.report, f"{path}/reports")
     keys = ["experiment_name", "model_key", "model_name"]
     names = [r[0] for r in result.fold_metrics.select("metric").distinct().orderBy("metric").collect()]
     folds = result.fold_metrics.groupBy(*keys, "fold").pivot("metric", names).agg(F.first("value"))
@@ -137,3 +158,12 @@ def write_cv(result, path: str) -> None:
         f"{path}/summary_metrics",
     )
     write_history(result.history, f"{path}/history")
+    write_log(history_lines(result.history), f"{path}/log")
+
+
+def history_lines(history: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """(keys..., line): the figures of one epoch or step as a JSON object with the keys it has."""
+    figures = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
+    whole = history.groupBy(*keys, "epoch", "step").agg(F.to_json(figures).alias("_figures"))
+    head = F.concat(F.lit('{"epoch": '), F.col("epoch"), F.coalesce(F.concat(F.lit(', "step": '), F.col("step")), F.lit("")), F.lit(", "))
+    return whole.select(*keys, F.concat(head, F.substr("_figures", F.lit(2))).alias("line"))
