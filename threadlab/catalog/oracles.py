@@ -298,6 +298,8 @@ SELECT r.post_id, r.id, coalesce(r.author, 'None') AS author, r.body, r.score, r
        r.created_utc
 FROM v_rows r JOIN tree t ON t.post_id = r.post_id AND t.id = r.id"""
 
+ORACLES["thread_files"] = ORACLES["flatten_threads"]
+
 ORACLES["incremental_ingest"] = ORACLES["reply_edges"]
 
 # ---- gold standard and labels ----------------------------------------------------------------

@@ -16,7 +16,7 @@ from threadlab.operators import history, labels, layout, metrics, scoring, split
 from threadlab.plans import experiments, zero_shot
 from threadlab.plans.threads import process_threads
 from threadlab.session import materialise, scratch_path
-from threadlab.sources import readers, writers
+from threadlab.sources import files, readers, writers
 from threadlab.streaming.ingest import ingest_threads, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +148,16 @@ def flatten_threads(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select("post_id", "id", "author", "body", "score", "parent_id", "depth", "created_utc")
 
 
+@query
+def thread_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Threads written to a JSON file each, then the listed ones read back."""
+    path = scratch_path(spark, "files").removeprefix("file://")
+    files.write_thread_files(_documents(spark, sf), path)
+    flat = threads.flatten_threads(readers.read_threads(spark, f"{path}/*.json", pretty=True))
+    listed = flat.join(files.read_manifest(spark, path), "post_id", "left_semi")
+    return listed.select("post_id", "id", "author", "body", "score", "parent_id", "depth", "created_utc")
+
+
 @query
 def process_pending_threads(spark: SparkSession, sf: str) -> DataFrame:
     """The whole extraction for the threads not done yet: the post list it writes back."""
