@@ -34,7 +34,9 @@ def test_query_matches_sql(spark, sf, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) - set(oracle_sql()) == {"text_features", "train_history", "topic_workflow", "cv_fold_metrics"}
+    assert set(QUERIES) - set(oracle_sql()) == {
+        "text_features", "train_history", "topic_workflow", "cv_fold_metrics", "zero_shot_trained_pairs",
+    }
 
 
 def test_entry(spark):

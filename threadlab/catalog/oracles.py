@@ -410,6 +410,7 @@ def _fine(topic: str) -> str:
     return "SELECT * FROM (WITH " + _zero_shot(source, scores, "SELECT * FROM labelled", names) + ")"
 
 
+ORACLES["zero_shot_pairs"] = ORACLES["zero_shot_model"]
 ORACLES["zero_shot_topics"] = f"WITH {GOLD} " + " UNION ALL ".join(_fine(t) for t in FINE)
 
 ORACLES["label_prototypes"] = """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from threadlab.catalog import views
 from threadlab.functions import text
 from threadlab.functions.registry import CLASSES, COARSE_LABELS, FINE_LABELS, LABEL_MAP, Topic
-from threadlab.operators import history, labels, layout, metrics, scoring, splits, threads, training
+from threadlab.operators import history, labels, layout, metrics, pairs, scoring, splits, threads, training
 from threadlab.plans import experiments, zero_shot
 from threadlab.plans.threads import process_threads
 from threadlab.session import materialise, scratch_path
@@ -356,6 +356,26 @@ def _letter_model():
     return lambda texts: [[float(t.count(c)) for c in LETTERS] for t in texts]
 
 
+def _letter_pairs():
+    """Stub pair model: how often the last letter of the statement stands in the comment."""
+    return lambda batch: [float(comment.count(statement[-1])) for comment, statement in batch]
+
+
+@query
+def zero_shot_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    scorer = pairs.pair_scorer(_letter_pairs, pairs.hypotheses(LETTERS, "has an {}"))
+    return _rounded(zero_shot.label_gold(views.gold_dirty(spark, sf), scorer).drop("comment"))
+
+
+@query
+def zero_shot_trained_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels by a pair model that learned from the gold rows."""
+    gold = views.gold(spark, sf)
+    model = pairs.train_pairs(gold, COARSE_LABELS)
+    scorer = pairs.pair_scorer(lambda: model, pairs.hypotheses(COARSE_LABELS))
+    return _rounded(zero_shot.evaluate(zero_shot.label_gold(gold, scorer)).report)
+
+
 @query
 def zero_shot_model(spark: SparkSession, sf: str) -> DataFrame:
     scorer = scoring.model_scorer(_letter_model, len(COARSE_LABELS))
