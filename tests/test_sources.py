@@ -72,6 +72,16 @@ def test_raw_dump(spark, tmp_path):
     assert rows(back, "post_id", "id") == rows(raw(spark, SMALL), "post_id", "id")
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every partition of keyed state starts a worker of its own in every batch."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    yield
+    spark.conf.set(key, before)
+
+
 def test_ingest_twice_adds_nothing(spark, tmp_path):
     landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
     docs = threads.thread_documents(raw(spark, SMALL), submissions(spark, ["p", "q"]), max_comments=4)
