@@ -174,27 +174,29 @@ def document_seeds(doc: np.ndarray, line: np.ndarray, lengths: list[int], powers
 
 
 class SeedFilter:
-    """Bit table of seeds: no seed is missed; a few other runs pass, which the join drops."""
+    """Table of two bits for each seed: no seed is missed; few other runs pass, which the join drops."""
 
     def __init__(self, bits: int, table: np.ndarray | None = None) -> None:
         self.bits, self.table = bits, table
 
-    def places(self, seeds: np.ndarray) -> np.ndarray:
-        return ((seeds * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def places(self, seeds: np.ndarray) -> list[np.ndarray]:
+        factors = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+        return [((seeds * np.uint64(f)) >> np.uint64(64 - self.bits)).astype(np.int64) for f in factors]
 
     def __call__(self, seeds: np.ndarray) -> np.ndarray:
-        at = self.places(seeds)
-        return (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        one, other = ((self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 for at in self.places(seeds))
+        return one & other
 
 
 def seed_filter(seeds: DataFrame) -> SeedFilter:
     """The table of all rows of ``seeds``; its size follows their number up to ``MOST_BITS``."""
-    out = SeedFilter(max(16, min(MOST_BITS, (16 * seeds.count()).bit_length())))
+    out = SeedFilter(max(16, min(MOST_BITS, (512 * seeds.count()).bit_length())))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << out.bits, bool)
         for batch in batches:
-            flags[out.places(batch.column(0).to_numpy().view(np.uint64))] = True
+            for at in out.places(batch.column(0).to_numpy().view(np.uint64)):
+                flags[at] = True
         packed = np.packbits(flags, bitorder="little")
         chunks = [(i, packed[i:i + CHUNK]) for i in range(0, len(packed), CHUNK)]
         chunks = [(i, c.tobytes()) for i, c in chunks if c.any()]
