@@ -141,3 +141,51 @@ def test_empty_and_null_texts_are_rows(spark):
     assert slots[1] == slots[2] == [] and len(slots[3]) == 2
     masks = df.select(minibatch.fold_mask(F.array(F.lit(1), F.lit(5))).alias("m")).first().m
     assert masks == 0b100010
+
+
+def _jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_more_steps_are_no_more_jobs(spark, gold):
+    """What the driver sees does not grow with the number of steps."""
+    jobs, steps = [], []
+    for size in (4, 1000):
+        cfg = ExperimentConfig(topics=[], run_per_topic=False, n_splits=2, train=TrainConfig(n_features=16, epochs=1, batch_size=size))
+        run = minibatch.Run("ul_all_topics", "softmax", 1, (16, 3), 1)
+        rows = _table(gold, cfg)
+        (fitted,), n = _jobs(spark, f"steps-{size}", lambda: minibatch.train(rows, [run], {"ul_all_topics": CLASSES}, cfg.train, "id", 42))
+        jobs.append(n)
+        steps.append(len(fitted.steps[0]))
+    assert steps[0] > 10 * steps[1] and jobs[0] <= jobs[1] + 2
+
+
+def test_portions_and_large_batches_give_the_same_weights(spark, gold, monkeypatch):
+    cfg = ExperimentConfig(topics=["en"], n_splits=2, train=TrainConfig(n_features=32, epochs=2, batch_size=8))
+    rows = _table(gold, cfg)
+    runs = [minibatch.Run(e, "hidden", f, (32, 4, 3), 7) for e in ("ul_all_topics", "ul_en") for f in (1, 2)]
+    classes = {"ul_all_topics": CLASSES, "ul_en": CLASSES}
+    found = []
+    for portion in (1 << 17, 24, 1):  # one portion, several, and each batch larger than a portion
+        monkeypatch.setattr(minibatch, "PORTION", portion)
+        found.append(minibatch.train(rows, runs, classes, cfg.train, "id", 42))
+    for other in found[1:]:
+        for a, b in zip(found[0], other, strict=True):
+            assert np.allclose(a.weights, b.weights, atol=1e-9) and a.best_epoch == b.best_epoch
+            assert [h.keys() for h in a.history] == [h.keys() for h in b.history]
+            assert all(h == pytest.approx(g) for h, g in zip(a.history, b.history, strict=True))
+
+
+def test_words_of_wide_rows_multiply_like_their_counts():
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 5000, n).tolist() + [7] * (n % 3) for n in (4, 0, 9, 30)]
+    slots, rows, mask = pa.array(lists, pa.list_(pa.int32())), np.array([3, 1, 0, 2]), np.array([True, False, True, True])
+    dense, words = minibatch.word_counts(slots, rows, 5000), minibatch.words_of(slots, rows, 5000)
+    right, left = rng.normal(size=(5000, 3)), rng.normal(size=(4, 3))
+    assert isinstance(words, minibatch.WordRows) and np.allclose(words @ right, dense @ right) and np.allclose(words.T @ left, dense.T @ left)
+    assert np.allclose(words[mask] @ right, dense[mask] @ right) and (words.rows_with() == (dense > 0).sum(axis=0)).all()

@@ -95,7 +95,7 @@ class PairModel:
         out = np.zeros(len(pairs))
         for i in range(0, len(pairs), 512):
             at = np.arange(i, min(i + 512, len(pairs)))
-            z = minibatch.logits(self.weights, (n, 2), minibatch.word_counts(lists, at, n), self.idf)[-1]
+            z = minibatch.logits(self.weights, (n, 2), minibatch.words_of(lists, at, n), self.idf)[-1]
             out[at] = z[:, 1] - z[:, 0]
         return out
 
