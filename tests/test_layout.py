@@ -91,3 +91,20 @@ def test_connected_nodes_end_near_each_other(spark):
     inside = [apart(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(6) for j in range(i)]
     between = [apart(f"a{i}", f"b{j}") for i in range(6) for j in range(6)]
     assert sum(inside) / len(inside) < sum(between) / len(between)
+
+
+def test_rounds_shuffle_numbers_and_cells(spark, monkeypatch):
+    """No name travels in a round, and what is dealt to the cells around is one row a cell."""
+    plans, write = [], layout.materialise
+
+    def spy(df, name, *args):
+        if name == "positions":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name, *args)
+
+    monkeypatch.setattr(layout, "materialise", spy)
+    layout.network_layout(spark.createDataFrame(EDGES, "post_id string, source string, target string"), 1)
+    moved = plans[-1]
+    assert "node#" not in moved and "post_id#" not in moved
+    spread = next(line for line in moved.splitlines() if "Generate explode" in line and "cx" in line)
+    assert "sx#" in moved[moved.index(spread):].splitlines()[1] or "Aggregate" in "".join(moved[moved.index(spread):].splitlines()[1:3])
