@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,18 @@ def test_odd_names(spark, tmp_path):
     files.write_thread_files(docs, str(tmp_path / "x"))
     assert rows(files.read_manifest(spark, str(tmp_path / "x")).select("post_id")) == [("a/b ü",)]
     assert [p.name for p in (tmp_path / "x").glob("*.json")] == ["a%2Fb%20%C3%BC.json"]
+
+
+def test_records_become_objects_one_at_a_time(tmp_path, monkeypatch):
+    """A batch of long records is never turned into Python objects as a whole."""
+    made = pa.RecordBatch.from_pylist([{"submission": {"id": f"t{i}"}, "comments": [{"id": "c"}], "part": 0, "n_parts": 1, "dump_id": "d"} for i in range(5)])
+
+    class Batch:
+        num_rows = made.num_rows
+
+        def slice(self, at, n):
+            assert n == 1
+            return made.slice(at, n)
+
+    written = files.ThreadFilesWriter(str(tmp_path / "x")).write(iter([Batch()]))
+    assert [f["file"] for f in written.files] == [f"t{i}.json" for i in range(5)] and {f["dump_id"] for f in written.files} == {"d"}

@@ -2,7 +2,8 @@
 
 Tasks write below a hidden folder. When all of them are done, the commit moves the files to their place
 and lists them in a manifest; a job that fails removes the hidden folder. So a file that a failed task
-left is never seen, and what the manifest lists is whole.
+left is never seen, and what the manifest lists is whole. Tasks get records as Arrow batches and turn
+one record at a time into Python objects, which are some ten times as large.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 FORMAT = "thread_files"
@@ -39,26 +41,26 @@ def file_name(post_id: str, part: int, n_parts: int) -> str:
     return f"{quote(post_id, safe='')}.json" if n_parts <= 1 or not part else f"{quote(post_id, safe='')}.part-{part:05}.json"
 
 
-class ThreadFilesWriter(DataSourceWriter):
+class ThreadFilesWriter(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
         self.path, self.run = path.rstrip("/"), uuid.uuid4().hex
 
     def _staging(self, root: str) -> str:
         return f"{root}/.staging-{self.run}"
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = _open(self.path)
         system.create_dir(self._staging(root), recursive=True)
         files = []
-        for row in iterator:
-            record = row.asDict(recursive=True)
+        for record in (batch.slice(i, 1).to_pylist()[0] for batch in iterator for i in range(batch.num_rows)):
+            dump = record.get("dump_id")
             post, part, n = record["submission"]["id"], record.get("part") or 0, record.get("n_parts") or 1
             if n == 1:  # a whole thread needs no numbers
                 record = {k: v for k, v in record.items() if k not in ("part", "n_parts", "dump_id")}
             name = file_name(post, part, n)
             with system.open_output_stream(f"{self._staging(root)}/{name}") as out:
                 out.write(json.dumps(record, indent=2, ensure_ascii=False).encode("utf-8"))
-            files.append({"post_id": post, "part": part, "n_parts": n, "dump_id": row.asDict().get("dump_id"), "file": name})
+            files.append({"post_id": post, "part": part, "n_parts": n, "dump_id": dump, "file": name})
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
