@@ -9,6 +9,7 @@ from tests.helpers import rows, walk
 from threadlab.functions.text import bare_id
 from threadlab.operators import threads
 from threadlab.plans.threads import process_threads
+from threadlab.session import materialise
 from threadlab.sources.schemas import RAW_COMMENTS
 
 
@@ -198,3 +199,60 @@ def test_loops_of_repeated_ids_end(spark):
     assert rows(threads.comment_depth(data).filter("post_id = 'q'"), "id") == [
         ("q", "a", 0), ("q", "b", 1), ("q", "c", 2),
     ]
+
+
+def test_rounds_hold_answered_comments_only(spark, monkeypatch):
+    sizes = []
+
+    def noted(df, name, *more):
+        table = materialise(df, name, *more)
+        sizes.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(threads, "materialise", noted)
+    order = threads.bfs_order(raw(spark, SMALL))
+    assert order.count() == 12
+    # a, b, c and d of p and a and b of q have answers.
+    assert [n for name, n in sizes if name == "paths"][0] == 6
+
+
+def test_thread_documents_read_the_landed_comments_once(spark, tmp_path):
+    path = f"{tmp_path}/landed"
+    raw(spark, SMALL).write.parquet(path)
+    docs = threads.thread_documents(spark.read.parquet(path), submissions(spark, ["p", "q"]))
+    assert docs.inputFiles() and not [f for f in docs.inputFiles() if "/landed/" in f]
+    edges = docs.select(F.col("submission.id").alias("post_id"), F.explode("reply_network").alias("e"))
+    got = rows(edges.select("post_id", "e.source", "e.target", "e.comment_id"), "post_id", "comment_id")
+    assert got == rows(threads.reply_edges(raw(spark, SMALL)), "post_id", "comment_id")
+
+
+def test_given_edges_make_the_same_documents(spark):
+    comments, posts = raw(spark, SMALL), submissions(spark, ["p", "q"])
+    plain = threads.thread_documents(comments, posts)
+    given = threads.thread_documents(comments, posts, edges=threads.reply_edges(comments))
+    assert rows(given, "submission.id") == rows(plain, "submission.id")
+
+
+def test_repeated_ids_that_differ_keep_their_rules(spark):
+    """Texts go by the lowest author, the tree by the lowest parent, each among rows of the lowest order number."""
+    data = [("p", "a", "zoe", "t3_p", 1), ("p", "b", "bob", "t3_p", 2), ("p", "b", "cat", "t1_a", 2)]
+    comments = raw(spark, data)
+    doc = threads.thread_documents(comments, submissions(spark, ["p"])).first()
+    assert [(c.id, c.author, c.parent_id, c.depth) for c in doc.comments] == [("a", "zoe", "p", 0), ("b", "bob", "p", 1)]
+    assert [(e.source, e.target) for e in doc.reply_network] == [("cat", "zoe")]
+    assert rows(threads.reply_edges(comments)) == [("p", "cat", "zoe", "b")]
+
+
+def test_comments_without_keys_or_parents(spark):
+    data = raw(spark, [
+        ("p", "a", "ann", "t3_p", 1), ("p", "b", "bob", None, 2), ("p", "c", "cat", "t1_b", 3), ("p", None, "dan", "t1_a", 4),
+        (None, "x", "eve", "t3_p", 5), (None, "y", "fay", "t1_x", 6),
+    ])
+    got = threads.thread_paths(data).select("post_id", "id", "depth", "reachable").collect()
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got} == {
+        ("p", "a"): (0, True), ("p", "b"): (0, True), ("p", "c"): (1, True), ("p", None): (1, True),
+        (None, "x"): (0, True), (None, "y"): (None, False),
+    }
+    docs = threads.thread_documents(data, submissions(spark, ["p"])).first()
+    assert [c.id for c in docs.comments] == ["a", "b", "c"]
+    assert rows(threads.distinct_edges(data), "source") == [("p", "cat", "bob", "c", 1)]
