@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadlab.functions.registry import COARSE_LABELS, LABEL_MAP
 from threadlab.operators import pairs, scoring
 from threadlab.operators.training import TrainConfig
+from threadlab.plans import zero_shot
 
 LABELS = ["belief", "fact-check", "other"]
 TERMS = {"belief": "truth hidden elites", "fact-check": "source false debunked", "other": "cat nice weather"}
@@ -46,6 +48,21 @@ def test_a_trained_model_labels_comments(spark, gold):
     assert np.allclose(many[:3], one) and np.allclose(many[897:900], one)
 
 
+def test_candidates_learn_from_the_gold_labels_they_map_to(spark, gold):
+    cfg = TrainConfig(n_features=512, epochs=8, batch_size=64, learning_rate=0.1)
+    spelt = gold.withColumn("label", F.when(F.col("id") % 2 == 0, F.upper("label")).otherwise(F.col("label")))
+    several = ("outrage", "meta", "skepticism", "endorse")
+    for names, mapping in ((COARSE_LABELS, LABEL_MAP), (several, LABEL_MAP), (("x", "y", "z"), dict(zip("xyz", LABELS, strict=True)))):
+        model = pairs.train_pairs(spelt, names, cfg, mapping=mapping)
+        for label in LABELS:
+            logits = model([(TERMS[label], s) for s in pairs.hypotheses(names)])
+            assert [z > 0 for z in logits] == [mapping[name] == label for name in names]
+    model = pairs.train_pairs(spelt, COARSE_LABELS, cfg)
+    scorer = pairs.pair_scorer(lambda: model, pairs.hypotheses(COARSE_LABELS))
+    labelled = zero_shot.label_gold(spelt.withColumn("topic", F.lit("t")), scorer)
+    assert labelled.where("assigned_label = pred_label_mapped").count() == 150
+
+
 def test_equal_comments_are_scored_once_and_masked_rows_never(spark, tmp_path):
     folder = str(tmp_path)
 

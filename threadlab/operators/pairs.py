@@ -7,7 +7,7 @@ that little of a padded batch is padding and none outgrows memory.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlab.functions.registry import LABEL_MAP
 from threadlab.operators import minibatch
 from threadlab.operators.scoring import Scorer
 from threadlab.operators.training import TrainConfig
@@ -108,16 +109,20 @@ def pair_slots(text: str, statement: str, max_length: int, n_features: int) -> l
 
 def train_pairs(
     gold: DataFrame, labels: Sequence[str], cfg: TrainConfig | None = None, template: str = TEMPLATE,
-    text: str = "comment", label: str = "label", id_col: str = "id", seed: int = 42,
+    text: str = "comment", label: str = "label", id_col: str = "id", seed: int = 42, mapping: Mapping[str, str] = LABEL_MAP,
 ) -> PairModel:
     """Learns which statements a comment entails from gold rows: its own label's, none of the others.
 
-    A tenth of the ids is kept for validation. Rows without text or label are left out.
+    A gold label is a candidate's own if it is the candidate or what ``mapping`` makes of it, in either
+    case; so all candidates mapped to the gold label are entailed. A tenth of the ids is kept for
+    validation. Rows without text or label are left out.
     """
     cfg = cfg or TrainConfig(n_features=8192)
     rows = gold.dropna(subset=[text, label])
+    own = [sorted({name.lower(), mapping.get(name, name).lower()}) for name in labels]
     pair = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(statement).alias("statement")) for name, statement in zip(labels, hypotheses(labels, template), strict=True)
+        F.struct(F.lit(name).alias("name"), F.lit(statement).alias("statement"), F.array(*map(F.lit, names)).alias("own"))
+        for name, statement, names in zip(labels, hypotheses(labels, template), own, strict=True)
     ]))
 
     @F.arrow_udf("array<int>")
@@ -128,7 +133,7 @@ def train_pairs(
     held = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10)) == 0
     made = rows.select(id_col, text, label, pair.alias("p")).select(
         F.lit("pairs").alias("experiment_name"), F.lit(0).alias("fold"), F.when(held, 2).otherwise(0).cast("long").alias("val_mask"),
-        (F.col(label) == F.col("p.name")).cast("int").alias("label_id"), slots(F.col(text), F.col("p.statement")).alias("slots"),
+        F.array_contains("p.own", F.lower(label)).cast("int").alias("label_id"), slots(F.col(text), F.col("p.statement")).alias("slots"),
         F.xxhash64(id_col, "p.name").alias("pair_id"),
     )
     run = minibatch.Run("pairs", "entailment", 1, (cfg.n_features, 2), seed)
